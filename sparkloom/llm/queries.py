@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import quality_rules
+from sparkloom.llm import chat_template, quality_rules
 from sparkloom.storage import table
 
 
@@ -14,10 +14,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_template.with_control_case(table(spark, sf_dir, "conversations"))
+    return chat_template.digests(chat_template.format_conversations(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_format": op2_chat_format,
 }
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op2_chat_format": chat_template.ORACLE,
 }
