@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import chat_template, quality_rules
+from sparkloom.llm import chat_template, quality_rules, simhash
 from sparkloom.storage import table
 
 
@@ -19,9 +19,15 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_template.digests(chat_template.format_conversations(turns))
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
+    "op3_simhash_dedup": op3_simhash_dedup,
 }
 
 ORACLE: dict[str, str] = {
