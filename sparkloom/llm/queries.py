@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import chat_template, decontaminate, quality_rules, simhash
+from sparkloom.llm import bin_packing, chat_template, decontaminate, quality_rules, simhash, token_counts
 from sparkloom.storage import table
 
 
@@ -28,10 +29,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.shard_slots(table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op7_sharding": op7_sharding,
     "op10_decontaminate": op10_decontaminate,
 }
 
