@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bin_packing, chat_template, decontaminate, quality_rules, simhash, token_counts
+from sparkloom.llm import bin_packing, chat_template, decontaminate, quality_rules, simhash, token_counts, url_filter
 from sparkloom.storage import table
 
 
@@ -25,6 +25,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,11 +47,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
+    "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_chat_format": chat_template.ORACLE,
+    "op9_url_filter": url_filter.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
