@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bin_packing, chat_template, decontaminate, quality_classifier, quality_rules, simhash, token_counts, url_filter
+from sparkloom.llm import bin_packing, chat_template, decontaminate, language_id, mixing, quality_classifier, quality_rules, simhash, token_counts, url_filter
 from sparkloom.storage import table
 
 
@@ -37,6 +37,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.QUERY)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.document_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -49,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_mixing": op4_mixing,
+    "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_quality_classifier": op8_quality_classifier,
@@ -59,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_chat_format": chat_template.ORACLE,
+    "op4_mixing": mixing.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
