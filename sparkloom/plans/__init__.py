@@ -1 +1 @@
-"""Spark plans."""
+"""Query plans: the search plan, and the registered queries by subject."""
