@@ -13,6 +13,7 @@ from sparkloom.storage import table
 # Thresholds of warnings.
 LOW_SCORE, FAIL_RATE, MIN_SAMPLES, QUEUE_DEPTH = 0.7, 0.15, 5, 50
 
+#: Averages are lifted by 1e-9 before rounding, so that engines that round ties differently agree.
 #: Evaluation samples made of events: a status, two scores, a failure stage.
 SAMPLES = """s AS (SELECT event_id, user_id, ts, event_type, CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'skipped' ELSE 'done' END AS status,
   CASE WHEN event_id % 5 > 2 THEN (event_id % 101) / 100.0::DOUBLE END AS faith, CASE WHEN event_id % 5 > 2 THEN (event_id % 37) / 36.0::DOUBLE END AS precision_,
@@ -31,21 +32,21 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SAMPLES} SELECT count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending,
-  count(*) FILTER (status = 'skipped') AS skipped, round(count(*) FILTER (status = 'failed') / count(*), 4) AS failure_rate, round(avg(faith), 4) AS avg_faith, round(avg(precision_), 4) AS avg_precision FROM s""")
+  count(*) FILTER (status = 'skipped') AS skipped, round(count(*) FILTER (status = 'failed') / count(*), 4) AS failure_rate, round(avg(faith) + 1e-9, 4) AS avg_faith, round(avg(precision_) + 1e-9, 4) AS avg_precision FROM s""")
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda v: F.count_if(F.col("status") == v)
     return samples(spark, sf_dir).agg(
         F.count("*").alias("total"), *(n(v).alias(v) for v in ("done", "failed", "pending", "skipped")),
-        F.round(n("failed") / F.count("*"), 4).alias("failure_rate"), F.round(F.avg("faith"), 4).alias("avg_faith"), F.round(F.avg("precision_"), 4).alias("avg_precision"),
+        F.round(n("failed") / F.count("*"), 4).alias("failure_rate"), F.round(F.avg("faith") + 1e-9, 4).alias("avg_faith"), F.round(F.avg("precision_") + 1e-9, 4).alias("avg_precision"),
     )
 
 
 def _trend(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
     b = F.date_format(F.date_trunc(unit, "ts"), "yyyy-MM-dd HH:mm").alias("bucket")
-    return samples(spark, sf_dir).groupBy(b).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "failed").alias("failed"), F.round(F.avg("faith"), 4).alias("avg_faith"))
+    return samples(spark, sf_dir).groupBy(b).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "failed").alias("failed"), F.round(F.avg("faith") + 1e-9, 4).alias("avg_faith"))
 
 
-TREND = "WITH {s} SELECT strftime(date_trunc('{u}', ts), '%Y-%m-%d %H:%M') AS bucket, count(*) AS total, count(*) FILTER (status = 'failed') AS failed, round(avg(faith), 4) AS avg_faith FROM s GROUP BY 1"
+TREND = "WITH {s} SELECT strftime(date_trunc('{u}', ts), '%Y-%m-%d %H:%M') AS bucket, count(*) AS total, count(*) FILTER (status = 'failed') AS failed, round(avg(faith) + 1e-9, 4) AS avg_faith FROM s GROUP BY 1"
 
 
 @query(TREND.format(s=SAMPLES, u="day"))

@@ -153,10 +153,10 @@ def parent_child_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH e AS (SELECT doc_id, regexp_extract_all(text, '\b(1[0-9]{3}|20[0-9]{2})\b', 1) AS y FROM documents)
-SELECT doc_id, list_min(list_transform(y, lambda x: x::INT)) AS first_year, list_max(list_transform(y, lambda x: x::INT)) AS last_year FROM e""")
+SELECT doc_id, coalesce(list_min(list_transform(y, lambda x: x::INT)), -1) AS first_year, coalesce(list_max(list_transform(y, lambda x: x::INT)), -1) AS last_year FROM e""")
 def year_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", T.year_interval(F.col("text")).alias("y"))
-    return d.select("doc_id", F.col("y.first").alias("first_year"), F.col("y.last").alias("last_year"))
+    return d.select("doc_id", F.coalesce("y.first", F.lit(-1)).alias("first_year"), F.coalesce("y.last", F.lit(-1)).alias("last_year"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(x) > 48 THEN substr(x, 1, 47) || '…' ELSE x END AS label, CASE WHEN length(e) BETWEEN 1 AND 256 THEN e END AS entity, substr(lower(trim(x, ' ')), 1, 64) AS tag
