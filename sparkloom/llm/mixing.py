@@ -35,7 +35,7 @@ from sparkloom.storage import staged
 #: Exponents evaluated per aggregation: bisection steps are taken several at a time.
 STEPS_AT_ONCE, ROUNDS = 4, 8
 #: Rows in a bucket of a permutation, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 HASH_BITS = 60
 
 

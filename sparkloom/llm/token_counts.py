@@ -1,13 +1,15 @@
 """Exact token counts without token ids: pieces are counted once per distinct pre-token.
 
-Three jobs: (1) the distinct pre-tokens of all texts, counted with map-side combination;
-(2) the pieces of each distinct pre-token, by the library, in parallel; (3) per document
-the frequencies of its pre-tokens, joined to these piece counts and summed.
+Each text is cut once into the frequencies of its pre-tokens. The pieces of each distinct
+pre-token are counted once, by the library's model, in parallel; these counts are joined to
+the frequencies and summed per document.
 
-The join is split by frequency. The ``HEAD`` most frequent pre-tokens of at most
-``HEAD_BYTES`` bytes are a dictionary of a few MB at most, which is broadcast; that covers
-the hot keys. What is left of each document is rare by construction and is joined by a
-shuffle, so the vocabulary may grow without bound and no key is hot.
+The join is split by frequency. Pre-tokens that are frequent in a bounded sample of texts
+(``SAMPLE_DOCS``, picked by a hash of the doc_id) form a dictionary of at most ``HEAD``
+entries of at most ``HEAD_BYTES`` bytes, a few MB, which is broadcast; that takes the hot
+keys out of the shuffle. Whatever the dictionary lacks, frequent or not, goes through a
+distinct and a join by shuffle, so the sample affects the cost and never a count, and the
+vocabulary may grow without bound.
 
 Pre-tokens are cut with the pattern of the byte-level scheme where a text has only
 characters whose classes all Unicode versions share, and by the library itself elsewhere.
@@ -24,6 +26,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -34,6 +37,11 @@ from sparkloom.storage import small_text_batches, staged
 
 #: Entries of the broadcast dictionary, and the longest pre-token in it.
 HEAD, HEAD_BYTES = 1 << 16, 64
+#: Texts from which the dictionary is drawn, about.
+SAMPLE_DOCS = 4000
+#: The byte-level alphabet by its rule: printable Latin-1 characters stand for their own byte, others follow from 256 on.
+OWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+ALPHABET = {b: 256 + n for n, b in enumerate(x for x in range(256) if x not in set(OWN))}
 #: Distinct pre-tokens that a task holds before it passes their counts on.
 HELD = 1 << 18
 #: A fixed value: the pattern of byte-level pre-tokens.
@@ -70,14 +78,26 @@ class PreTokens:
                 found.update(PATTERN.findall(part))
         return found, len(parts) - 1
 
-    def pieces(self, tokens: list[str]) -> list[int]:
-        return [len(e) for e in self.library.encode_batch(tokens, add_special_tokens=False)]
+    def pieces(self, token: str) -> int:
+        """Pieces of one pre-token, by the library's model."""
+        return len(self.library.model.tokenize(token.encode().decode("latin-1").translate(ALPHABET)))
 
 
-def piece_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(pre, n, pieces) of every distinct pre-token of all texts."""
+def counted(pre: DataFrame, vocabulary: str) -> DataFrame:
+    """``pre(pre)``, distinct pre-tokens, with ``pieces``."""
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = PreTokens(vocabulary)
+        for b in batches:
+            yield b.append_column("pieces", pa.array([cutter.pieces(t) for t in b.column(0).to_pylist()], pa.int32()))
+
+    return pre.mapInArrow(run, "pre string, pieces int")
+
+
+def frequent(texts: DataFrame, vocabulary: str, most: int) -> DataFrame:
+    """The ``most`` most frequent pre-tokens of ``texts(text)``, short ones only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, held = PreTokens(vocabulary), Counter()
 
         def out() -> pa.RecordBatch:
@@ -91,47 +111,45 @@ def piece_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
                     held.clear()
         yield out()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = PreTokens(vocabulary)
-        for b in batches:
-            yield b.append_column("pieces", pa.array(cutter.pieces(b.column(0).to_pylist()), pa.int32()))
-
-    texts = docs.select(docs["text"].cast("string").alias("text")).where("text <> ''")
-    seen = texts.mapInArrow(distinct, "pre string, n bigint").groupBy("pre").agg(F.sum("n").alias("n"))
-    return seen.mapInArrow(count, "pre string, n bigint, pieces int")
+    seen = texts.mapInArrow(run, "pre string, n bigint").where(F.octet_length("pre") <= HEAD_BYTES).groupBy("pre").agg(F.sum("n").alias("n"))
+    return seen.orderBy(F.desc("n"), "pre").limit(most).select("pre")
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, head: int = HEAD) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row; ``vocabulary`` is a path that all executors have."""
     spark = docs.sparkSession
     small_text_batches(spark)
-    pieces = staged(piece_counts(docs, vocabulary), "pieces")
-    top = pieces.where(F.octet_length("pre") <= HEAD_BYTES).orderBy(F.desc("n"), "pre").limit(head)
-    known = spark.sparkContext.broadcast({r.pre: r.pieces for r in top.select("pre", "pieces").toLocalIterator()})
+    slim = docs.select(docs["doc_id"], F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    parts = -(-max(1, slim.count()) // SAMPLE_DOCS)
+    sample = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).select("text")
+    top = counted(frequent(sample, vocabulary, head), vocabulary)
+    known = spark.sparkContext.broadcast({r.pre: r.pieces for r in top.toLocalIterator()})
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, get = PreTokens(vocabulary), known.value.get
         for b in batches:
-            total, rest = [], []
+            total, sizes, rest, times = [], [], [], []
             for t in b.column(1).to_pylist():
                 found, n = cutter.cut(t)
-                own = []
-                for token, times in found.items():
-                    if (k := get(token)) is None:
-                        own.append({"pre": token, "times": times})
+                before = len(rest)
+                for token, k in found.items():
+                    if (pieces := get(token)) is None:
+                        rest.append(token)
+                        times.append(k)
                     else:
-                        n += k * times
+                        n += pieces * k
                 total.append(n)
-                rest.append(own)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(total, pa.int64()), pa.array(rest, REST)], names=["doc_id", "n_bytes", "head_tokens", "rest"])
+                sizes.append(len(rest) - before)
+            offsets = pa.array([0, *accumulate(sizes)], pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(times, pa.int64())], names=["pre", "times"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(total, pa.int64()), lists], names=["doc_id", "n_bytes", "head_tokens", "rest"])
 
-    REST = pa.list_(pa.struct([("pre", pa.string()), ("times", pa.int64())]))
-    slim = docs.select(docs["doc_id"], F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    slim = slim.select("doc_id", "text", F.octet_length("text").cast("bigint").alias("n_bytes"))
+    sized = slim.select("doc_id", "text", F.octet_length("text").cast("bigint").alias("n_bytes"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    by_row = slim.mapInArrow(sums, f"doc_id {id_type}, n_bytes bigint, head_tokens bigint, rest array<struct<pre:string,times:bigint>>")
+    by_row = sized.mapInArrow(sums, f"doc_id {id_type}, n_bytes bigint, head_tokens bigint, rest array<struct<pre:string,times:bigint>>")
     by_row = staged(by_row.withColumn("row", F.monotonically_increasing_id()), "frequencies")
     rare = by_row.select("row", F.explode("rest").alias("r")).select("row", "r.pre", "r.times")
-    tail = rare.join(pieces.select("pre", "pieces"), "pre").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("tail_tokens"))
+    pieces = staged(counted(rare.select("pre").distinct(), vocabulary), "pieces")
+    tail = rare.join(pieces, "pre").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("tail_tokens"))
     n = F.col("head_tokens") + F.coalesce("tail_tokens", F.lit(0))
     return by_row.drop("rest").join(tail, "row", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
