@@ -215,7 +215,8 @@ def _slices(sizes: np.ndarray, most: int = 1 << 22) -> Iterator[slice]:
 def near_links(prints: DataFrame, budget: int) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``prints(fp)`` that connect all pairs within ``budget`` bits."""
     walks = cuts(prints.count(), budget)
-    depth = sum(w for _, w in walks[0])
+    # blocks differ in width by a bit: only the narrowest key's bits are equal in the nodes of every walk
+    depth = min(sum(w for _, w in lead) for lead in walks)
     keyed = [F.struct(F.lit(k).alias("walk"), key.alias("key"), moved.alias("moved")) for k, (key, moved) in enumerate(leading(F.col("fp"), lead) for lead in walks)]
     rows = prints.select("fp", F.explode(F.array(*keyed)).alias("w")).select("w.walk", "w.key", "w.moved", "fp")
     ordered = rows.repartition("walk", "key").sortWithinPartitions("walk", "key", "moved")

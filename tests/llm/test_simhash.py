@@ -93,3 +93,19 @@ def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (3, 3)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, 901: 900}
+
+
+def test_large_starting_nodes_of_narrow_walks(spark, monkeypatch):
+    """Pairs that only the walk of the last, narrower blocks can find, in one starting node of over 1,000."""
+    rng = random.Random(4)
+    prints = [rng.getrandbits(44) << 20 | 0xABCDE for _ in range(1500)]
+    for p in prints[:100]:
+        prints.append(p ^ sum(1 << 63 - rng.randrange(a, b) for a, b in ((0, 11), (13, 22), (26, 33), (39, 44))))
+    fps = np.array(prints, np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps) <= 4, 1))
+    assert len(near) == 100
+    df = spark.createDataFrame([(int(p),) for p in fps.view(np.int64)], "fp long")
+    for node_rows in (4096, 0.01):
+        monkeypatch.setattr(simhash, "NODE_ROWS", node_rows)
+        got = {frozenset((r.a, r.b)) for r in simhash.near_links(df, 4).collect()}
+        assert got == {frozenset(fps[[i, j]].view(np.int64).tolist()) for i, j in near}
