@@ -15,12 +15,14 @@ is one row per task before a shuffle, and its rows are joined by a split or broa
 
 Cases: a null URL, or one without ``://``, has an empty host and path; no rule fits and the
 method allows it. Labels may be missing altogether: then no template is rejected. Repeated
-rows get equal results. Extra columns are ignored. Segments below ``DEPTH`` keep their shape.
+rows get equal results. Extra columns are ignored. Every level is generalised, down to the
+deepest path; each costs a round over the paths that reach it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
+#: Levels that the SQL spells out; the method itself goes down to the deepest path.
 DEPTH = 4
 
 
@@ -116,14 +119,19 @@ def _level(tree: DataFrame, level: int, limits: Purity) -> DataFrame:
     return renamed(merged)
 
 
-def templates(urls: DataFrame, limits: Purity | None = None, depth: int = DEPTH) -> DataFrame:
+def templates(urls: DataFrame, limits: Purity | None = None, depth: int | None = None) -> DataFrame:
     """(host, shaped, template, labelled, purity, rejected) for ``urls(host, shaped, bad)``; bad is 1, 0 or null."""
     limits = limits or Purity()
     grown = urls.groupBy("host", "shaped").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("bad")), F.lit(0)).alias("bad"), F.coalesce(F.sum(1 - F.col("bad")), F.lit(0)).alias("good"))
     tree = staged(grown.withColumn("tokens", F.expr("slice(split(shaped, '/', -1), 2, 1000000)")), "paths")
     deepest = tree.agg(F.max(F.size("tokens"))).first()[0] or 0
-    for level in range(min(depth, deepest)):
+    ended = []
+    for level in range(deepest if depth is None else min(depth, deepest)):
+        if level:  # paths without a segment at this level are done
+            ended.append(tree.where(F.size("tokens") <= level))
+            tree = tree.where(F.size("tokens") > level)
         tree = staged(_level(tree, level, limits), "paths")
+    tree = reduce(DataFrame.unionByName, ended, tree)
     tree = tree.withColumn("template", F.array_join("tokens", "/"))
     base = tree.agg((F.sum("bad") / F.greatest(F.lit(1), F.sum("bad") + F.sum("good"))).alias("base"))
     sums = tree.groupBy("host", "template").agg((F.sum("bad") + F.sum("good")).alias("labelled"), F.sum("bad").alias("bad")).join(F.broadcast(base))  # one row
@@ -132,7 +140,7 @@ def templates(urls: DataFrame, limits: Purity | None = None, depth: int = DEPTH)
     return tree.select("host", "shaped", "template").join(judged, ["host", "template"])
 
 
-def url_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, limits: Purity | None = None, depth: int = DEPTH) -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, limits: Purity | None = None, depth: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, template) of every page.
 
     Labels come from ``labels(page_id, bad)``, at most one row per page, and otherwise from

@@ -58,3 +58,11 @@ def test_tree_generalises_merges_and_rejects(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_levels_below_the_fourth_are_generalised(spark):
+    urls = [f"http://h.io/a/b/c/d/slug-{chr(97 + i % 26)}{i}x" for i in range(300)] + [f"http://h.io/a/b/c/d/e/f/{i}" for i in range(20)]
+    labels = spark.createDataFrame([(i, 1) for i in range(200)] + [(i, 0) for i in range(300, 320)], "page_id long, bad int")
+    got = run(spark, urls, labels=labels)
+    assert {got[i].template for i in range(300)} == {"a/b/c/d/*"}
+    assert all(got[i].verdict == "block" for i in range(300)) and all(got[i].verdict == "allow" for i in range(300, 320))
