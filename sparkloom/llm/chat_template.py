@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.storage import small_text_batches
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 CHATML = (
     "{% for m in messages %}"
@@ -39,6 +41,8 @@ CHATML = (
 )
 #: Code points in a piece of a formatted conversation, about.
 PIECE_CHARS = 1 << 20
+#: Rows in an Arrow batch of turns or pieces: 64 MB of pieces at most.
+BATCH_ROWS = 16
 
 TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*')|(\d+)|(==|!=|[().|~])|([A-Za-z_]\w*))")
 Fragments = Iterator[tuple[str, bool]]
@@ -353,6 +357,7 @@ def format_conversations(turns: DataFrame, template: str = CHATML, piece_chars:
     Pieces of a conversation, joined in order, are its text; all but very long ones have one piece.
     """
     parse(template)  # a faulty template is refused here
+    small_text_batches(turns.sparkSession, BATCH_ROWS)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rendered = compile_template(template)
@@ -369,8 +374,8 @@ def format_conversations(turns: DataFrame, template: str = CHATML, piece_chars:
 
 def read_turns(parts: Iterable[tuple[str, list[dict]]]) -> Iterator[tuple[str, str, str]]:
     """(role, text, text under the mask) of each turn, read back from formatted pieces in order."""
-    text, spans, base, pending = "", [], 0, list(parts)
-    for piece, marks in pending:
+    text, spans, base = "", [], 0
+    for piece, marks in parts:
         spans += [(base + len(text) + m["start"], base + len(text) + m["end"]) for m in marks]
         text += piece
         at = 0
@@ -389,6 +394,7 @@ DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Per conversation what can be read back from its formatted text and mask."""
+    small_text_batches(formatted.sparkSession, BATCH_ROWS)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, rows in _runs(batches, "conv_id"):

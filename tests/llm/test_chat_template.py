@@ -49,3 +49,19 @@ def test_table_cases(spark):
     got = {r.conv_id: r for r in digests(format_conversations(spark.createDataFrame(rows, schema))).collect()}
     assert (got[1].n_turns, got[1].loss_chars, got[None].n_turns, got[None].loss_chars) == (3, 2, 1, 0)
     assert got[None].formatted_chars == 3_000_000 + 12 + 4 + 1 + 11
+
+
+def test_turns_are_read_before_all_pieces_are_there():
+    taken = []
+    run = compile_template(CHATML)
+    parts = [(t, [{"start": a, "end": b} for a, b in s]) for t, s in pieces(run({"role": "user", "text": f"text {i}"} for i in range(100)), 40)]
+    turns = read_turns(taken.append(1) or p for p in parts)
+    assert next(turns) == ("user", "text 0", "") and len(taken) < 5
+    assert len(list(turns)) == 99 and len(taken) == len(parts)
+
+
+def test_batches_of_pieces_are_small(spark):
+    """A piece has a million characters: a batch of the default number of rows would have 10 GB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    df = digests(format_conversations(spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")))
+    assert df.count() == 1 and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 64
