@@ -4,8 +4,9 @@ For each text and each language l the posterior is proportional to
 
     P(text | l)^t * P(declared | l) * P(l | host)
 
-* text: hashed trigrams of letters over the whole text; a table fitted on a bounded sample
-  (``TRAIN_DOCS`` documents with a declared language, picked by hash); t tempers the product,
+* text: hashed trigrams of letters over the whole text; a table fitted on a sample (about
+  ``TRAIN_DOCS`` documents of each declared language, all where there are fewer, picked by
+  hash); t tempers the product,
   whose factors are not independent, so that a long text counts as ``FULL`` trigrams.
 * declared: the language that mark-up or metadata states, weighed by how far the statements
   of that value agree with the text evidence over the whole corpus.
@@ -14,6 +15,9 @@ For each text and each language l the posterior is proportional to
   posteriors of all documents; sums are combined on the map side, so a host with a third
   of all rows is a row per task before the shuffle.
 
+Every declared value with a letter in its texts is a language. The model has ``SLOTS`` numbers
+for each (64 KB in a worker), and each row a posterior of that many numbers.
+
 A document is rejected when it has no letters to go by or no language reaches ``least``.
 
 Cases: a null text has no letters and is rejected; a null host or declaration is a value of
@@ -25,7 +29,6 @@ is rejected. Extra columns are ignored by ``identify`` and kept by ``keep_identi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.columns import let
 from sparkloom.storage import small_text_batches, staged
 
-TRAIN_DOCS = 40_000
-#: Distinct declared values that become languages: the most frequent, a bound for tables and arrays.
-MOST_LANGUAGES = 128
+#: Documents of each language that the trigram table is fitted on, about.
+TRAIN_DOCS = 10_000
 SLOTS = 1 << 14
 FULL, TEMPER = 300, 0.2
 KAPPA = 20.0
@@ -56,28 +58,30 @@ def trigrams(text: str | None) -> np.ndarray:
 def text_model(df: DataFrame, text: str, label: str) -> tuple[list[str], np.ndarray]:
     """The languages, and the log-likelihood of each slot in each of them."""
     shown = df.where(f"{label} <> ''")
-    top = shown.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(MOST_LANGUAGES).toLocalIterator()
-    sizes = {r[0]: r.n for r in top}
+    sizes = {r[0]: r.n for r in shown.groupBy(label).agg(F.count("*").alias("n")).toLocalIterator()}
     languages = sorted(sizes)
     if not languages:
-        return [], np.zeros((0, SLOTS))
-    share = min(1.0, TRAIN_DOCS / sum(sizes.values()))
-    sample = shown.where(F.pmod(F.xxhash64(text, label), F.lit(1_000_000)) < int(share * 1_000_000) + 1).where(F.col(label).isin(languages))
-    index = {l: k for k, l in enumerate(languages)}
+        return [], np.zeros((0, SLOTS), np.float32)
+    shares = [(l, k, int(min(1.0, TRAIN_DOCS / sizes[l]) * 1_000_000) + 1) for k, l in enumerate(languages)]
+    declared = staged(df.sparkSession.createDataFrame(shares, f"`{label}` string, k int, share int"), "declared")
+    sample = shown.join(declared, label).where(F.pmod(F.xxhash64(text, label), F.lit(1_000_000)) < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(languages), SLOTS), np.int64)
         for b in batches:
-            for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                table[index[l]] += np.bincount(trigrams(t), minlength=SLOTS)
-        at, slot = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at * SLOTS + slot), pa.array(table[at, slot])], names=["cell", "n"])
-
-    cells = sample.select(text, label).mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = np.full((len(languages), SLOTS), 0.5)
-    for r in cells.toLocalIterator():  # MOST_LANGUAGES x SLOTS rows at most
+            if b.num_rows:
+                found = [k * SLOTS + trigrams(t) for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                cell, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+
+    cells = sample.select(text, "k").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    table = np.full((len(languages), SLOTS), 0.5, np.float32)
+    seen = np.zeros(len(languages), bool)
+    for r in cells.toLocalIterator():  # SLOTS rows a language at most
         table.reshape(-1)[r.cell] += r.n
-    return languages, np.log(table / table.sum(axis=1, keepdims=True))
+        seen[r.cell // SLOTS] = True
+    table = table[seen]
+    table /= table.sum(axis=1, keepdims=True, dtype=np.float64).astype(np.float32)
+    return [l for l, s in zip(languages, seen) if s], np.log(table, out=table)
 
 
 def _softmax(logs: Column) -> Column:
@@ -86,12 +90,17 @@ def _softmax(logs: Column) -> Column:
     return let(logs, lambda v: let(powers(v), lambda w: let(total(w), lambda t: F.transform(w, lambda p: p / t))))
 
 
-def _smoothed(sums: DataFrame, above: DataFrame, on: list[str], k: int) -> DataFrame:
-    """Sums ``s0..`` of each group, drawn to the prior ``p0..`` of the group above it."""
-    total = reduce(lambda a, b: a + b, (F.col(f"s{i}") for i in range(k)))
-    joined = sums.join(above, on) if on else sums.crossJoin(F.broadcast(above))  # one row
-    kept = [c for c in sums.columns if not c.startswith("s") or c == "suffix"]
-    return joined.select(*kept, *(((F.col(f"s{i}") + KAPPA * F.col(f"p{i}")) / (total + KAPPA)).alias(f"q{i}") for i in range(k)))
+def _smoothed(sums: DataFrame, above: DataFrame, on: list[str]) -> DataFrame:
+    """Sums ``s`` of each group and language ``i``, drawn to the prior ``p`` of the group above it."""
+    group = [c for c in sums.columns if c not in ("i", "s")]
+    totals = sums.groupBy(*group).agg(F.sum("s").alias("total"))
+    prior = (F.col("s") + KAPPA * F.col("p")) / (F.col("total") + KAPPA)
+    return sums.join(totals, group).join(above, [*on, "i"]).select(*group, "i", prior.alias("p"))
+
+
+def _in_order(x: Column) -> Column:
+    """The values of ``x`` by language, as an array."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("i", x.alias("x")))), lambda e: e.x)
 
 
 def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys: list[Column], least: float = 0.5) -> DataFrame:
@@ -111,7 +120,7 @@ def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys:
     if not languages:
         none = F.lit(None).cast("string")
         return slim.select(*names, none.alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), none.alias("text_language"))
-    held, at = spark.sparkContext.broadcast(table.T.astype(np.float32).copy()), slim.columns.index("text")
+    held, at = spark.sparkContext.broadcast(table.T.copy()), slim.columns.index("text")
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = held.value
@@ -132,20 +141,17 @@ def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys:
     scored = staged(slim.mapInArrow(likelihood, schema), "likelihood")
     k = len(languages)
     shares = scored.where("n > 0").withColumn("p", _softmax(F.col("logs")))
-    sums = [F.sum(F.get("p", F.lit(i))).alias(f"s{i}") for i in range(k)]
-    added = [F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]
-    cells = staged(shares.groupBy("suffix", "host", "declared").agg(*sums), "host-sums")
-    hosts, suffixes = cells.groupBy("suffix", "host").agg(*added), cells.groupBy("suffix").agg(*added)
-    whole = F.broadcast(cells.agg(*added))  # one row
-    total = reduce(lambda a, b: a + b, (F.coalesce(f"s{i}", F.lit(0.0)) for i in range(k)))
-    prior = whole.select(*(((F.coalesce(f"s{i}", F.lit(0.0)) + 1.0) / (total + k)).alias(f"p{i}") for i in range(k)))
-    by_suffix = _smoothed(suffixes, prior, [], k).select("suffix", *(F.col(f"q{i}").alias(f"p{i}") for i in range(k)))
-    by_host = _smoothed(hosts, by_suffix, ["suffix"], k).select("suffix", "host", F.array(*(F.log(f"q{i}") for i in range(k))).alias("host_logs"))
-    said = cells.groupBy("declared").agg(*added)
-    stated = said.crossJoin(F.broadcast(whole.select(*(F.col(f"s{i}").alias(f"w{i}") for i in range(k)))))  # one row
-    weights = F.array(*(F.log((F.col(f"s{i}") + 0.5) / (F.col(f"w{i}") + 1.0)) for i in range(k)))
-    by_statement = stated.where("declared <> ''").select("declared", weights.alias("said_logs"))
-    flat = F.array(*(F.lit(0.0) for _ in range(k)))
+    each = shares.select("suffix", "host", "declared", F.posexplode("p").alias("i", "p"))
+    cells = staged(each.groupBy("suffix", "host", "declared", "i").agg(F.sum("p").alias("s")), "host-sums")
+    added = lambda *by: cells.groupBy(*by, "i").agg(F.sum("s").alias("s"))
+    whole = staged(added(), "whole-sums")  # a row a language
+    total = F.broadcast(whole.agg(F.sum("s").alias("total")))  # one row
+    prior = whole.join(total).select("i", ((F.col("s") + 1.0) / (F.col("total") + k)).alias("p"))
+    by_suffix = _smoothed(added("suffix"), prior, [])
+    by_host = _smoothed(added("suffix", "host"), by_suffix, ["suffix"]).groupBy("suffix", "host").agg(_in_order(F.log("p")).alias("host_logs"))
+    stated = added("declared").where("declared <> ''").join(whole.withColumnRenamed("s", "w"), "i")
+    by_statement = stated.groupBy("declared").agg(_in_order(F.log((F.col("s") + 0.5) / (F.col("w") + 1.0))).alias("said_logs"))
+    flat = F.array_repeat(F.lit(0.0), k)
     fused = scored.join(staged(by_host, "host-priors"), ["suffix", "host"], "left").join(staged(by_statement, "statements"), "declared", "left")
     plus = lambda a, b: F.zip_with(a, F.coalesce(b, flat), lambda x, y: x + y)
     fused = fused.withColumn("posterior", _softmax(plus(plus(F.col("logs"), F.col("host_logs")), F.col("said_logs"))))

@@ -2,6 +2,7 @@
 
 import random
 
+from sparkloom.llm import language_id
 from sparkloom.llm.language_id import document_languages, keep_identified, page_languages
 
 WORDS = {"en": "the and that with this from have which there their".split(), "de": "der die und das nicht ist mit für auf sich".split(), "fr": "les des est que une dans pour sur avec plus".split()}
@@ -48,3 +49,16 @@ def test_cases(spark):
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2]
     undeclared = spark.createDataFrame([(1, good, None, "s")], "doc_id long, text string, lang string, source string")
     assert [r.accepted for r in document_languages(undeclared).collect()] == [False]
+
+
+def test_rare_languages_among_many_are_learnt(spark, monkeypatch):
+    """150 languages, of which one has a hundredth of the documents of the largest, and a small sample."""
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 50)
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"q{a}{b}" for a in letters[:15] for b in letters[:10]]
+    words = {l: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(6)] for l in names}
+    rows = [(l, " ".join(rng.choice(words[l]) for _ in range(40))) for k, l in enumerate(names) for _ in range(500 if k == 0 else 5 if k == 149 else 8)]
+    df = spark.createDataFrame([(i, t, l, "s") for i, (l, t) in enumerate([*rows, ("qzz", "12 34")])], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.text_language for r in document_languages(df).collect()}
+    assert got.pop(len(rows)) is None and [got[i] for i in range(len(rows))] == [l for l, _ in rows]
