@@ -40,6 +40,28 @@ def sliding_chunks(docs: DataFrame, size: int = 800, overlap: int = 100) -> Data
     return at.select("doc_id", "chunk_index", (F.col("chunk_index") * step).alias("char_start"), F.trim(F.substring(F.col("text"), F.col("chunk_index") * step + 1, F.lit(size))).alias("text"))
 
 
+def share_budget(chars: np.ndarray, budget: int) -> np.ndarray:
+    """What each of ``chars`` gets of ``budget``: an equal share first, then the rest again and again, in order, until it is spent."""
+    share = np.minimum(chars, budget // max(1, len(chars)))
+    while (rest := min(budget, int(chars.sum())) - int(share.sum())) > 0:
+        active = np.flatnonzero(share < chars)
+        each, more = divmod(rest, len(active))
+        share[active] += np.minimum(each + (np.arange(len(active)) < more), (chars - share)[active])
+    return share
+
+
+def budget_shares(chunks: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, chunk_index, share) for ``chunks(doc_id, chunk_index, chars)``; only documents over the budget go through Python."""
+    c = chunks.withColumn("total", F.sum("chars").over(Window.partitionBy("doc_id")))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["chunk_index", "chars"])
+        return rows.assign(share=share_budget(rows["chars"].to_numpy(np.int64), budget))[["doc_id", "chunk_index", "share"]]
+
+    over = c.where(F.col("total") > budget).groupBy("doc_id").applyInPandas(fill, "doc_id bigint, chunk_index int, share bigint")
+    return c.where(F.col("total") <= budget).select(F.col("doc_id").cast("bigint").alias("doc_id"), "chunk_index", F.col("chars").alias("share")).unionByName(over)
+
+
 def pack_paragraphs(body: str, size: int, overlap: int) -> Iterator[str]:
     """Paragraphs packed greedily up to ``size``; the tail of a full chunk is carried into the next."""
     held = ""

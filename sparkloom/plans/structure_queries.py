@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sparkloom.functions import text as T
 from sparkloom.operators import structure as S
@@ -177,7 +176,6 @@ def rule_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CHUNKS}, n AS (SELECT doc_id, chunk_index, length(text) AS chars FROM c)
 SELECT doc_id, chunk_index, least(chars, 80000 // count(*) OVER (PARTITION BY doc_id))::BIGINT AS share FROM n""")
 def equal_share_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An even share of 80 000 characters for each chunk of a document, at most its length."""
-    c = S.sliding_chunks(docs(spark, sf_dir)).select("doc_id", "chunk_index", F.length("text").alias("chars"))
-    per = F.floor(F.lit(80_000) / F.count("*").over(Window.partitionBy("doc_id")))
-    return c.select("doc_id", "chunk_index", F.least(F.col("chars").cast("bigint"), per).alias("share"))
+    """80 000 characters shared evenly among the chunks of a document; what short chunks leave goes to the others."""
+    c = S.sliding_chunks(docs(spark, sf_dir)).select("doc_id", "chunk_index", F.length("text").cast("bigint").alias("chars"))
+    return S.budget_shares(c, 80_000)

@@ -1,8 +1,10 @@
 """Queries over small tables whose rows must all count."""
 
+import numpy as np
 import pytest
 
-from sparkloom.plans import graph_queries, relational_queries
+from sparkloom.operators.structure import share_budget
+from sparkloom.plans import graph_queries, relational_queries, structure_queries
 
 
 @pytest.fixture
@@ -37,3 +39,12 @@ def test_links_of_all_rows_four_hops_and_wide_claims(spark, saved):
 def test_intervals_of_all_customers(spark, saved):
     d = saved(orders=([(k, 7, "1995-01-01") for k in (1, 2, 3)], "o_orderkey long, o_custkey long, o_orderdate string"))
     assert sorted((r.a, r.b) for r in relational_queries.interval_overlap(spark, d).collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_budget_is_spent(spark, saved):
+    assert share_budget(np.array([10, 1, 10, 2]), 15).tolist() == [6, 1, 6, 2]
+    assert share_budget(np.array([10, 10, 10]), 11).tolist() == [4, 4, 3] and share_budget(np.array([3, 4]), 80).tolist() == [3, 4]
+    d = saved(documents=([(1, "x" * 159_710), (2, "y" * 900)], "doc_id long, text string"))
+    got = structure_queries.equal_share_budget(spark, d).collect()
+    assert sum(r.share for r in got if r.doc_id == 1) == 80_000
+    assert sorted(r.share for r in got if r.doc_id == 2) == [200, 800]
