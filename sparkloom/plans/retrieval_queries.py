@@ -201,7 +201,7 @@ def scope_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight diverse hits of each item's first twenty."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_id"), (F.col("doc_id") % 7).alias("chunk_index"), F.substring("text", 1, 400).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_id"), (F.col("doc_id") % 7).alias("chunk_index"), "text")
     hits = R.text_candidates(doc_terms(spark, sf_dir), item_terms(spark, sf_dir), 20)
     return R.diversify(hits.select("query_id", "id", "score").join(docs, "id"), 8)
 

@@ -135,11 +135,12 @@ def profile_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT d.doc_id, sha256('workspace: ' || d.source || chr(10) || 'tags: ' || d.lang || ', q' || coalesce(l.quality::VARCHAR, '?') || chr(10) || 'file: ' || d.doc_id || chr(10) || '---' || chr(10) || substr(d.text, 1, 800)) AS input_sha
 FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def embed_input_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash of the embedding input: a header of metadata over the first chunk."""
+    """Hash of the embedding input of each chunk: a header of metadata over its text."""
     d, l = docs(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    c = S.sliding_chunks(d.select(F.struct("doc_id", "source", "lang").alias("doc_id"), "text")).select("doc_id.*", "chunk_index", "text")
     tags = F.array_join(F.array_sort(F.array(F.col("lang"), F.concat(F.lit("q"), F.coalesce(F.col("quality").cast("string"), F.lit("?"))))), ", ")
-    whole = F.concat_ws("\n", F.concat(F.lit("workspace: "), "source"), F.concat(F.lit("tags: "), tags), F.concat(F.lit("file: "), "doc_id"), F.lit("---"), F.substring("text", 1, 800))
-    return d.join(l, "doc_id", "left").select("doc_id", F.sha2(whole, 256).alias("input_sha"))
+    whole = F.concat_ws("\n", F.concat(F.lit("workspace: "), "source"), F.concat(F.lit("tags: "), tags), F.concat(F.lit("file: "), "doc_id"), F.lit("---"), "text")
+    return c.join(l, "doc_id", "left").select("doc_id", "chunk_index", F.sha2(whole, 256).alias("input_sha"))
 
 
 @query(f"""WITH {CHUNKS}, k AS (SELECT doc_id, chunk_index, text, chunk_index // 4 AS parent FROM c)

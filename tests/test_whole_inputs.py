@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sparkloom.operators.structure import share_budget
-from sparkloom.plans import graph_queries, relational_queries, structure_queries
+from sparkloom.plans import graph_queries, relational_queries, retrieval_queries, structure_queries
 
 
 @pytest.fixture
@@ -48,3 +48,15 @@ def test_budget_is_spent(spark, saved):
     got = structure_queries.equal_share_budget(spark, d).collect()
     assert sum(r.share for r in got if r.doc_id == 1) == 80_000
     assert sorted(r.share for r in got if r.doc_id == 2) == [200, 800]
+
+
+def test_every_chunk_has_an_embedding_input(spark, saved):
+    d = saved(documents=([(1, "x" * 2000, "s", "en")], "doc_id long, text string, source string, lang string"), labels=([(1, 1)], "doc_id long, quality int"))
+    got = structure_queries.embed_input_header(spark, d).collect()
+    assert sorted(r.chunk_index for r in got) == [0, 1, 2] and len({r.input_sha for r in got}) == 2
+
+
+def test_whole_texts_are_diversified(spark, monkeypatch):
+    monkeypatch.setattr(retrieval_queries.R, "diversify", lambda hits, k: hits)
+    hits = retrieval_queries.mmr_diversify(spark, "/root/testdata/sf0.001")
+    assert hits.selectExpr("max(length(text)) AS n").first().n > 400
