@@ -247,29 +247,40 @@ def near_links(prints: DataFrame, budget: int) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
-def simhash_components(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the least doc_id reachable over links."""
+def _grouped(docs: DataFrame, width: int, budget: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row; root names the group."""
     prints = staged(fingerprints(docs, width), "fingerprints")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected_components(near_links(nodes.select("fp"), budget), "simhash-links").withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = staged(rooted.join(named, "root").select("fp", "component_id"), "components")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = staged(rooted.join(named, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def simhash_components(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id is the least doc_id reachable over links."""
+    return _grouped(docs, width, budget).drop("root")
 
 
 def near_dedup(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
     """The rows of ``docs``, one for each near-duplicate group: the one with the least doc_id.
 
-    Of rows that repeat that doc_id one stays, with the least text. Rows with a null doc_id
-    cannot be told apart by id and stay.
+    Of a group's rows that repeat that doc_id one stays, with the least text; a doc_id on
+    texts of several groups may stay for each that it leads. Rows with a null doc_id cannot
+    be told apart by id and stay.
     """
-    found = simhash_components(docs, width, budget).where("doc_id IS NOT NULL")
-    own = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
-    state = staged(own.select("doc_id", F.when(F.col("c") < F.col("doc_id"), 0).when(F.col("n") > 1, 2).otherwise(1).alias("state")).where("state <> 1"), "dropped")
+    found = _grouped(docs, width, budget).where("doc_id IS NOT NULL")
+    rows = found.groupBy("doc_id", "fp", "root", "component_id").agg(F.count("*").alias("n"))
+    leads = F.col("component_id") == F.col("doc_id")
+    own = rows.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max(leads).alias("leads"), F.collect_set(F.when(leads, F.struct("fp", "root"))).alias("groups"))
+    state = staged(own.where("n > 1 OR NOT leads").select("doc_id", "leads", "groups"), "dropped")
     once = docs.join(state, docs["doc_id"].eqNullSafe(state["doc_id"]), "left_anti")
-    again = docs.join(state.where("state = 2"), docs["doc_id"] == state["doc_id"], "left_semi")
-    best = again.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.struct(F.coalesce("text", F.lit("")))).alias("row"))
+    signed = F.udf(lambda t: (f := fingerprint(t, width)) - (f >> 63 << 64), "bigint")
+    led = state.where("leads").select(F.col("doc_id").alias("_id"), F.explode("groups").alias("_g")).select("_id", "_g.fp", "_g.root")
+    again = docs.join(led.select("_id").distinct(), docs["doc_id"] == F.col("_id"), "left_semi")
+    keyed = again.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"), signed("text").alias("_fp"))
+    best = keyed.join(led, (F.col("_doc") == F.col("_id")) & (F.col("_fp") == F.col("fp"))).groupBy("_doc", "root").agg(F.min_by("_row", "_text").alias("row"))
     return once.unionByName(best.select("row.*"))
 
 

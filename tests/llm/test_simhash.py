@@ -109,3 +109,10 @@ def test_large_starting_nodes_of_narrow_walks(spark, monkeypatch):
         monkeypatch.setattr(simhash, "NODE_ROWS", node_rows)
         got = {frozenset((r.a, r.b)) for r in simhash.near_links(df, 4).collect()}
         assert got == {frozenset(fps[[i, j]].view(np.int64).tolist()) for i, j in near}
+
+
+def test_each_group_keeps_a_row_when_an_id_repeats_on_other_texts(spark):
+    a, b, c = "a b c d e f", "zz yy xx ww vv", "one two three four five six"
+    rows = [(1, a), (5, a), (5, b), (9, b), (3, b + " q"), (7, c), (7, "k l m n o p q"), (8, c)]
+    kept = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == sorted([(1, a), (5, b), (3, b + " q"), (7, c), (7, "k l m n o p q")])
