@@ -13,7 +13,7 @@ from sparkloom.storage import table
 TAGS = "ft AS (SELECT DISTINCT l_orderkey AS file_id, p_brand AS tag FROM lineitem JOIN part ON l_partkey = p_partkey)"
 #: Links between nations: customers of one order from suppliers of the other.
 LINKS = """e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE c_nationkey <> s_nationkey AND (l_orderkey + l_linenumber) % 97 = 0)"""
+  WHERE c_nationkey <> s_nationkey)"""
 
 
 def file_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def tree_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {LINKS}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-w AS (SELECT 0::BIGINT AS node, 0 AS hops, [0::BIGINT] AS path UNION ALL SELECT u.dst, w.hops + 1, list_append(w.path, u.dst::BIGINT) FROM w JOIN u ON u.src = w.node WHERE w.hops < 3 AND NOT list_contains(w.path, u.dst::BIGINT)),
+w AS (SELECT 0::BIGINT AS node, 0 AS hops, [0::BIGINT] AS path UNION ALL SELECT u.dst, w.hops + 1, list_append(w.path, u.dst::BIGINT) FROM w JOIN u ON u.src = w.node WHERE w.hops < 4 AND NOT list_contains(w.path, u.dst::BIGINT)),
 b AS (SELECT node, hops, path FROM w QUALIFY row_number() OVER (PARTITION BY node ORDER BY hops, path) = 1)
 SELECT node, hops, array_to_string(path, '>') AS path FROM b""")
 def shortest_path_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,18 +141,19 @@ def surprising_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT slug, count(DISTINCT src) AS n_sources, array_to_string(list_sort(list(DISTINCT src))[1:5], ',') AS sample
-FROM (SELECT p_partkey AS src, lower(replace(p_type, ' ', '-')) AS slug FROM part) WHERE slug NOT IN (SELECT lower(replace(p_type, ' ', '-')) FROM part WHERE p_partkey % 50 = 0) GROUP BY slug HAVING count(DISTINCT src) >= 2""")
+FROM (SELECT p_partkey AS src, lower(replace(p_name, ' ', '-')) AS slug FROM part) WHERE slug NOT IN (SELECT lower(replace(p_name, ' ', '-')) FROM part WHERE p_retailprice <= 902) GROUP BY slug HAVING count(DISTINCT src) >= 2""")
 def pending_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slugs that several sources name and no page has."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), F.lower(F.replace("p_type", F.lit(" "), F.lit("-"))).alias("slug"))
-    missing = p.join(p.where("src % 50 = 0").select("slug").distinct(), "slug", "left_anti")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("slug"), "p_retailprice")
+    missing = p.join(p.where("p_retailprice <= 902").select("slug").distinct(), "slug", "left_anti")  # the cheapest have pages
     g = missing.groupBy("slug").agg(F.countDistinct("src").alias("n_sources"), F.slice(F.array_sort(F.collect_set("src")), 1, 5).alias("s")).where("n_sources >= 2")
     return g.select("slug", "n_sources", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("sample"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def orphan_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    """Customers that no urgent order names."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
 
 
@@ -183,7 +184,7 @@ def entity_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LINKS}, c AS (SELECT src * 100 + dst AS claim_id, src AS a, dst AS b FROM e), u AS (SELECT claim_id, a, b FROM c UNION ALL SELECT claim_id, b, a FROM c),
-k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY a ORDER BY claim_id, b) <= 4),
+k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY a ORDER BY claim_id, b) <= 24),
 p1 AS (SELECT 0 AS start, b AS node, [0, b] AS nodes, [claim_id] AS claims FROM k WHERE a = 0 AND b <> 0),
 p2 AS (SELECT start, k.b AS node, list_append(nodes, k.b) AS nodes, list_append(claims, k.claim_id) AS claims FROM p1 JOIN k ON k.a = p1.node WHERE NOT list_contains(nodes, k.b)),
 p3 AS (SELECT start, k.b AS node, list_append(claims, k.claim_id) AS claims FROM p2 JOIN k ON k.a = p2.node WHERE NOT list_contains(nodes, k.b))

@@ -113,11 +113,11 @@ def min_score_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, coalesce(least(0.25, 0.12 * len(list_filter(['the', 'der', 'les', lang, source], lambda w: w <> '' AND (contains(lower(trim(q)), w) OR contains(w, lower(trim(q))))))), 0.0)::DOUBLE AS boost
-FROM (SELECT *, substr(text, 1, 60) AS q FROM documents)""")
+FROM (SELECT *, text AS q FROM documents)""")
 def keyword_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     words = F.concat_ws(",", F.lit("the, der ,les"), "lang", "source")
-    return d.select("doc_id", R.keyword_boost(F.substring("text", 1, 60), words).alias("boost"))
+    return d.select("doc_id", R.keyword_boost(F.col("text"), words).alias("boost"))
 
 
 @query("""SELECT page_id, CASE WHEN contains(lower(url), '.html') THEN 0.2 ELSE 0.0 END::DOUBLE AS boost, CASE WHEN url LIKE '%\\_source%' ESCAPE '\\' THEN 1 ELSE 0 END AS tagged FROM pages""")

@@ -46,9 +46,9 @@ def text_quality_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *(F.round(f"q.{c}", 6).alias(c) for c in ("mean_line", "odd", "letters")), "q.good")
 
 
-@query(r"""SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 60), ' ')), '[\s_]+', '-', 'g'), '[^\p{L}\p{N}-]', '', 'g'), '-{2,}', '-', 'g'), '^-|-$', '', 'g'), 1, 128) AS slug FROM documents""")
+@query(r"""SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(text, ' ')), '[\s_]+', '-', 'g'), '[^\p{L}\p{N}-]', '', 'g'), '-{2,}', '-', 'g'), '^-|-$', '', 'g'), 1, 128) AS slug FROM documents""")
 def slug_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+    return docs(spark, sf_dir).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query(r"""SELECT page_id, pos::INT AS pos, href FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages))""")
@@ -132,8 +132,8 @@ def profile_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", S.profile(name, F.length("html")).alias("profile"), T.file_bucket(name).alias("bucket"))
 
 
-@query("""SELECT d.doc_id, sha256('workspace: ' || d.source || chr(10) || 'tags: ' || d.lang || ', q' || coalesce(l.quality::VARCHAR, '?') || chr(10) || 'file: ' || d.doc_id || chr(10) || '---' || chr(10) || substr(d.text, 1, 800)) AS input_sha
-FROM documents d LEFT JOIN labels l USING (doc_id)""")
+@query(f"""WITH {CHUNKS} SELECT d.doc_id, chunk_index, sha256('workspace: ' || d.source || chr(10) || 'tags: ' || d.lang || ', q' || coalesce(l.quality::VARCHAR, '?') || chr(10) || 'file: ' || d.doc_id || chr(10) || '---' || chr(10) || c.text) AS input_sha
+FROM c JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id)""")
 def embed_input_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash of the embedding input of each chunk: a header of metadata over its text."""
     d, l = docs(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -174,8 +174,11 @@ def rule_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.coalesce(caps, F.lit(0)).alias("capitalised"), F.md5(F.regexp_extract("text", "^[^.!?]*[.!?]", 0)).alias("first_sentence"))
 
 
-@query(f"""WITH {CHUNKS}, n AS (SELECT doc_id, chunk_index, length(text) AS chars FROM c)
-SELECT doc_id, chunk_index, least(chars, 80000 // count(*) OVER (PARTITION BY doc_id))::BIGINT AS share FROM n""")
+@query(f"""WITH {CHUNKS}, n AS (SELECT doc_id, chunk_index, length(text) AS chars FROM c),
+v AS (SELECT *, (80000 - coalesce(sum(chars) OVER (PARTITION BY doc_id ORDER BY chars, chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) // (count(*) OVER (PARTITION BY doc_id) - row_number() OVER (PARTITION BY doc_id ORDER BY chars, chunk_index) + 1) AS fair FROM n),
+l AS (SELECT *, max(CASE WHEN chars > fair THEN fair END) OVER (PARTITION BY doc_id) AS level FROM v),
+r AS (SELECT *, least(chars, coalesce(level, chars)) AS own, row_number() OVER (PARTITION BY doc_id, chars > coalesce(level, chars) ORDER BY chunk_index) AS place FROM l)
+SELECT doc_id, chunk_index, (own + CASE WHEN chars > level AND place <= 80000 - sum(own) OVER (PARTITION BY doc_id) THEN 1 ELSE 0 END)::BIGINT AS share FROM r""")
 def equal_share_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """80 000 characters shared evenly among the chunks of a document; what short chunks leave goes to the others."""
     c = S.sliding_chunks(docs(spark, sf_dir)).select("doc_id", "chunk_index", F.length("text").cast("bigint").alias("chars"))
