@@ -4,11 +4,14 @@ Rules decide where one fits (the longest wins). For the rest, each host has a tr
 segments. Segments of a plain variable shape become wildcards at once, so the tree is built
 over the distinct shaped paths of a host and not over its URLs. Level by level from the
 host down, (1) literal segments with a small share of their parent become ``*``, and
-(2) sibling branches are merged when they are statistically alike: among siblings of one
-label class and with the same main subtree, a branch joins the merged one when a chi-squared
-test does not tell its distribution over subtrees from that of these siblings pooled.
-Branches meet their pool and never each other. A template is rejected if it has enough labelled URLs and its share of
-bad ones, smoothed by the overall share, is high.
+(2) sibling branches are merged when they are statistically alike: among siblings with the
+same main subtree, a branch joins the merged one when a chi-squared test tells neither its
+distribution over subtrees nor that of its labels from these siblings pooled. A branch
+without labels says nothing against any, so what is known of one branch reaches its
+unlabelled likes; branches with opposite labels stay apart. Branches meet their pool and
+never each other. A template is rejected if it has enough labelled URLs and its share of
+bad ones, smoothed by the overall share, is high. A literal segment that looks like a
+wildcard is written with a backslash before it.
 
 All sums are combined on the map side first; a host or template with a third of all URLs
 is one row per task before a shuffle, and its rows are joined by a split or broadcast join.
@@ -47,9 +50,9 @@ class Purity:
     """When a segment is variable, branches are alike, and a template is bad."""
 
     rare_share: float = 0.02
-    least_labelled: int = 5
-    prior_weight: float = 5.0
-    reject_at: float = 0.9
+    least_labelled: int = 3
+    prior_weight: float = 2.0
+    reject_at: float = 0.75
 
 
 def url_host(url: Column) -> Column:
@@ -79,7 +82,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def shape(segment: Column) -> Column:
     """A segment, or the wildcard of its shape: numbers and long hexadecimal strings, a file's ending kept."""
     number = F.regexp_replace(segment, r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$", "{n}$1")
-    return F.when(segment.rlike(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$"), number).when(segment.rlike(r"^[0-9A-Fa-f-]{12,}$"), F.lit("{x}")).otherwise(segment)
+    literal = F.when(segment.rlike(r"^[*{\\]"), F.concat(F.lit("\\"), segment)).otherwise(segment)
+    return F.when(segment.rlike(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$"), number).when(segment.rlike(r"^[0-9A-Fa-f-]{12,}$"), F.lit("{x}")).otherwise(literal)
 
 
 def shaped_path(path: Column) -> Column:
@@ -102,20 +106,22 @@ def _level(tree: DataFrame, level: int, limits: Purity) -> DataFrame:
     rare = branches.join(parents, ["host", "prefix"]).where((F.col("n") < limits.rare_share * F.col("total")) & ~F.col("token").rlike(r"^([{*]|$)"))
     tree = renamed(rare.select("host", "prefix", "token", F.lit("*").alias("name")))
 
-    labelled = F.sum("bad") + F.sum("good")
-    kind = F.when(labelled == 0, "").when(F.sum("bad") >= limits.reject_at * labelled, "+").when(F.sum("good") >= limits.reject_at * labelled, "-").otherwise("~")
+    by = ["host", "prefix", "main"]
     cells = tree.where(deep & F.get("tokens", F.lit(level)).rlike(r"^[^{*]")).withColumns(at).groupBy("host", "prefix", "token", "rest").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    kinds = cells.groupBy("host", "prefix", "token").agg(kind.alias("kind"), F.sum("n").alias("own"), F.max_by("rest", F.struct("n", "rest")).alias("main"))
-    cells = cells.join(kinds, ["host", "prefix", "token"])
-    pool = cells.groupBy("host", "prefix", "kind", "main", "rest").agg(F.sum("n").alias("pooled"))
-    pools = pool.groupBy("host", "prefix", "kind", "main").agg(F.sum("pooled").alias("all"), F.count("*").alias("cells"))
-    fitted = cells.join(pool, ["host", "prefix", "kind", "main", "rest"]).join(pools, ["host", "prefix", "kind", "main"])
-    # the sum over all cells of (observed - expected)^2 / expected, from the cells that were observed
-    chi = F.sum(F.col("n") * F.col("n") * F.col("all") / (F.col("own") * F.col("pooled"))) - F.max("own")
-    freedom = F.max("cells") - 1
-    alike = fitted.groupBy("host", "prefix", "kind", "main", "token").agg(chi.alias("chi"), freedom.alias("df")).where(F.col("chi") <= F.col("df") + 3 * F.sqrt(2 * F.col("df")) + 1e-9)
-    several = alike.groupBy("host", "prefix", "kind", "main").agg(F.count("*").alias("members")).where("members > 1")
-    merged = alike.join(several, ["host", "prefix", "kind", "main"]).select("host", "prefix", "token", F.concat(F.lit("*"), "kind").alias("name"))
+    own = cells.groupBy("host", "prefix", "token").agg(F.sum("n").alias("own"), F.max_by("rest", F.struct("n", "rest")).alias("main"), F.sum("bad").alias("own_bad"), F.sum("good").alias("own_good"))
+    cells = cells.join(own, ["host", "prefix", "token"])
+    pool = cells.groupBy(*by, "rest").agg(F.sum("n").alias("pooled"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    pools = pool.groupBy(*by).agg(F.sum("pooled").alias("all"), F.count("*").alias("cells"), F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
+    fitted = cells.join(pool.drop("bad", "good"), [*by, "rest"]).groupBy(*by, "token").agg(F.sum(F.col("n") * F.col("n") / (F.col("own") * F.col("pooled"))).alias("square"), F.max("own").alias("own"), F.max("own_bad").alias("own_bad"), F.max("own_good").alias("own_good"))
+    # the sum over all cells of (observed - expected)^2 / expected, from the cells that were observed; the same over labels
+    known, labels = F.col("own_bad") + F.col("own_good"), F.col("all_bad") + F.col("all_good")
+    part = lambda seen, whole: F.when(F.col(whole) > 0, F.col(seen) * F.col(seen) * labels / (known * F.col(whole))).otherwise(0.0)
+    by_label = F.when(known > 0, part("own_bad", "all_bad") + part("own_good", "all_good") - known).otherwise(0.0)
+    chi = F.col("square") * F.col("all") - F.col("own") + by_label
+    freedom = F.col("cells") - 1 + F.when((F.col("all_bad") > 0) & (F.col("all_good") > 0), 1).otherwise(0)
+    alike = fitted.join(pools, by).withColumns({"chi": chi, "df": freedom}).where(F.col("chi") <= F.col("df") + 3 * F.sqrt(2 * F.col("df")) + 1e-9)
+    several = alike.groupBy(*by).agg(F.count("*").alias("members")).where("members > 1")
+    merged = alike.join(several, by).select("host", "prefix", "token", F.concat(F.lit("*"), F.substring(F.md5("main"), 1, 8)).alias("name"))
     return renamed(merged)
 
 
@@ -172,7 +178,7 @@ def _oracle(depth: int = DEPTH, limits: Purity = Purity()) -> str:
 v AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r AS (SELECT *, CASE {cases(lambda k, h, p: h + p)} END AS rule, CASE {cases(lambda k, h, p: k)} END AS ruled,
   array_to_string(list_transform(string_split(path, '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+(\\.[A-Za-z0-9]{{1,5}})?') THEN regexp_replace(s, '^[0-9]+', '{{n}}')
-    WHEN regexp_full_match(s, '[0-9A-Fa-f-]{{12,}}') THEN '{{x}}' ELSE s END), '/') AS shaped FROM v),
+    WHEN regexp_full_match(s, '[0-9A-Fa-f-]{{12,}}') THEN '{{x}}' WHEN regexp_matches(s, '^[*{{\\\\]') THEN '\\' || s ELSE s END), '/') AS shaped FROM v),
 t0 AS (SELECT host, shaped, count(*) AS n, count(*) FILTER (ruled = 'block') AS bad, count(*) FILTER (ruled = 'allow') AS good, string_split(shaped, '/')[2:] AS tokens FROM r GROUP BY host, shaped)"""
     ]
     for k in range(depth):
@@ -184,11 +190,12 @@ t0 AS (SELECT host, shaped, count(*) AS n, count(*) FILTER (ruled = 'block') AS
 d{k} AS (SELECT host, prefix, token, '*' AS name FROM (SELECT *, sum(n) OVER (PARTITION BY host, prefix) AS total FROM b{k}) WHERE n < {limits.rare_share} * total AND NOT regexp_matches(token, '^([{{*]|$)')),
 s{k} AS (SELECT t.host, shaped, n, bad, good, {swap} AS tokens FROM t{k} t LEFT JOIN d{k} d {join("d")}),
 c{k} AS (SELECT host, prefix, token, rest, sum(n) AS n, sum(bad) AS bad, sum(good) AS good FROM (SELECT *, {keys} FROM s{k} WHERE len(tokens) > {k} AND regexp_matches(tokens[{k + 1}], '^[^{{*]')) GROUP BY ALL),
-k{k} AS (SELECT host, prefix, token, sum(n) AS own, first(rest ORDER BY n DESC, rest DESC) AS main, CASE WHEN sum(bad + good) = 0 THEN '' WHEN sum(bad) >= {limits.reject_at} * sum(bad + good) THEN '+' WHEN sum(good) >= {limits.reject_at} * sum(bad + good) THEN '-' ELSE '~' END AS kind FROM c{k} GROUP BY host, prefix, token),
-p{k} AS (SELECT *, sum(n) OVER (PARTITION BY host, prefix, kind, main, rest) AS pooled, sum(n) OVER (PARTITION BY host, prefix, kind, main) AS everything FROM c{k} JOIN k{k} USING (host, prefix, token)),
-z{k} AS (SELECT host, prefix, kind, main, count(DISTINCT rest) - 1 AS df FROM p{k} GROUP BY ALL),
-a{k} AS (SELECT host, prefix, kind, main, token, sum(n::DOUBLE * n * everything / (own * pooled)) - max(own) AS chi, max(df) AS df FROM p{k} JOIN z{k} USING (host, prefix, kind, main) GROUP BY ALL),
-m{k} AS (SELECT host, prefix, token, '*' || kind AS name, count(*) OVER (PARTITION BY host, prefix, kind, main) AS members FROM a{k} WHERE chi <= df + 3 * sqrt(2 * df) + 1e-9),
+k{k} AS (SELECT host, prefix, token, sum(n) AS own, first(rest ORDER BY n DESC, rest DESC) AS main, sum(bad) AS own_bad, sum(good) AS own_good FROM c{k} GROUP BY host, prefix, token),
+p{k} AS (SELECT *, sum(n) OVER (PARTITION BY host, prefix, main, rest) AS pooled, sum(n) OVER w AS everything, sum(bad) OVER w AS all_bad, sum(good) OVER w AS all_good FROM c{k} JOIN k{k} USING (host, prefix, token) WINDOW w AS (PARTITION BY host, prefix, main)),
+z{k} AS (SELECT host, prefix, main, count(DISTINCT rest) - 1 + CASE WHEN max(all_bad) > 0 AND max(all_good) > 0 THEN 1 ELSE 0 END AS df FROM p{k} GROUP BY ALL),
+y{k} AS (SELECT host, prefix, main, token, sum(n::DOUBLE * n * everything / (own * pooled)) - max(own) AS chi, max(own_bad)::DOUBLE AS b, max(own_good)::DOUBLE AS g, max(all_bad) AS all_b, max(all_good) AS all_g FROM p{k} GROUP BY ALL),
+a{k} AS (SELECT host, prefix, main, token, df, chi + CASE WHEN b + g > 0 THEN (CASE WHEN all_b > 0 THEN b * b * (all_b + all_g) / ((b + g) * all_b) ELSE 0 END) + (CASE WHEN all_g > 0 THEN g * g * (all_b + all_g) / ((b + g) * all_g) ELSE 0 END) - b - g ELSE 0 END AS chi FROM y{k} JOIN z{k} USING (host, prefix, main)),
+m{k} AS (SELECT host, prefix, token, '*' || substr(md5(main), 1, 8) AS name, count(*) OVER (PARTITION BY host, prefix, main) AS members FROM a{k} WHERE chi <= df + 3 * sqrt(2 * df) + 1e-9),
 t{k + 1} AS (SELECT t.host, shaped, n, bad, good, {swap} AS tokens FROM s{k} t LEFT JOIN (SELECT * FROM m{k} WHERE members > 1) d {join("d")})"""
         )
     parts.append(

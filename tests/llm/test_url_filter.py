@@ -45,17 +45,31 @@ def test_parts_and_rules(spark):
 def test_tree_generalises_merges_and_rejects(spark):
     urls = [f"http://h.io/shop/{i}" for i in range(40)] + [f"http://h.io/news/{i}" for i in range(40)] + [f"http://h.io/blog/{i}/comments" for i in range(40)]
     urls += [f"http://h.io/u{i}/about" for i in range(3)]
+    urls += [f"http://h.io/help/{i}" for i in range(40)]
     labels = spark.createDataFrame([(i, int(i < 20)) for i in [*range(20), *range(80, 100)]], "page_id long, bad int")
     got = run(spark, urls, labels=labels)
-    assert got[0].template == got[39].template == "shop/{n}" and got[39].verdict == "block"
-    assert got[50].verdict == "allow" and got[119].verdict == "allow" and got[119].template == "blog/{n}/comments"
+    assert got[0].template == got[39].template == got[79].template and got[0].template.endswith("/{n}")
+    assert got[39].verdict == got[50].verdict == "block"  # what is known of shop reaches its unlabelled likes
+    assert got[119].verdict == "allow" and got[119].template == "blog/{n}/comments"
+    apart = spark.createDataFrame([(i, int(i < 20)) for i in [*range(20), *range(123, 143)]], "page_id long, bad int")
+    got = run(spark, urls, labels=apart)
+    assert got[39].template == "shop/{n}" and got[39].verdict == "block"  # opposite labels keep branches apart
+    assert got[150].template == "help/{n}" and got[150].verdict == "allow"
     alike = run(spark, urls)
-    assert alike[0].template == alike[79].template == "*/{n}" and alike[0].verdict == "allow"
+    assert alike[0].template == alike[79].template and alike[0].template.startswith("*") and alike[0].verdict == "allow"
     assert alike[100].template.endswith("/{n}/comments")
     many = run(spark, [f"http://h.io/u{i}/about" for i in range(100)])
     assert {r.template for r in many.values()} == {"*/about"}
 
 
+def test_literals_that_look_like_wildcards(spark):
+    urls = [f"http://{h}.io/x/{i}" for h in "abc" for i in range(20)] + ["http://a.io/x/*", "http://b.io/x/{n}", "http://c.io/x/\\{n}"] * 5
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "page_id long, bad int")
+    got = run(spark, urls, labels=labels)
+    assert [got[i].template for i in (0, 60, 61, 62)] == ["x/{n}", "x/\\*", "x/\\{n}", "x/\\\\{n}"]
+    assert got[0].verdict == "block" and all(got[i].verdict == "allow" for i in range(60, 75))
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
 
