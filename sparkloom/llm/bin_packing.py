@@ -5,11 +5,18 @@ holds it, found in a balanced tree. The capacity is the least, by bisection, at
 groups fit the wanted number of bins. A group larger than an even share has a bin alone and
 the rest is packed into the bins that are left.
 
-Only a bounded number of items is packed in one place: a group larger than one part in
-``RESOLUTION`` of a shard is an item of its own (there are fewer than shards x RESOLUTION
-of them, whatever the input), and smaller groups are gathered by hash into as many bundles,
-which are packed as items. Group sizes are summed with map-side combination, so a text that
-a third of all rows share is one row per task before any shuffle.
+Groups of equal size are interchangeable, so the packing works on runs (size, count): the
+tightest bin takes as many of a run as it holds, which is what best fit does one by one.
+All groups are packed by size, and only the histogram of sizes is in one place: n different
+sizes add up to n * n / 2 bytes at least, so that a corpus of T bytes has at most sqrt(2 T)
+of them (a million for 500 GB if every size occurred), whatever its number of groups.
+
+The result is a table of segments (size, first key, end key, shard): a run that went to
+several bins is cut at keys, found by counts over buckets of keys and a window over the few
+buckets that hold a cut. Rows find their segment by a join; group sizes are summed with
+map-side combination, so a text that a third of all rows share is one row per task before
+any shuffle. Slots are numbered within parts of a shard that hold about ``PART_ROWS`` rows,
+dealt by a hash of the row, and so are as even for one large group as for many small ones.
 
 Cases: a null text has no bytes and groups with the empty text. Repeated rows each get a
 slot of their own. An empty table gives an empty one. Equal doc_ids do not matter: groups
@@ -28,10 +35,10 @@ from sparkloom.llm.columns import free_name
 from sparkloom.storage import staged
 
 OVERHEAD = 8
-#: Items for each shard, about: more make shards more even and the packing longer.
-RESOLUTION = 256
-#: An item with more than one part in so many of all rows is numbered in ``PARTS`` parts.
-HOT, PARTS = 1024, 64
+#: Rows in a part of a shard, within which slots are numbered, about.
+PART_ROWS = 50_000
+Runs = list[tuple[int, int]]
+Segments = list[tuple[int, int, int]]
 
 
 class Tree:
@@ -77,35 +84,54 @@ class Tree:
         return node[0]
 
 
-def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], int]:
-    """The bin of each size (given in falling order), and the number of bins opened."""
-    tree, bins, opened = Tree(), [], 0
-    for size in sizes:
-        found = tree.take_tightest(size)
-        if found is None:
-            found, opened = (capacity, opened), opened + 1
-        bins.append(found[1])
-        tree.add(found[0] - size, found[1])
-    return bins, opened
-
-
-def pack(sizes: list[int], n: int) -> list[int]:
-    """The bin, 0 to n - 1, of each size (given in falling order), with the least capacity that best fit manages."""
-    alone, total = 0, sum(sizes)
-    while alone < min(len(sizes), n - 1) and sizes[alone] * (n - alone) > total:
-        total -= sizes[alone]
-        alone += 1
-    rest, bins = sizes[alone:], n - alone
+def best_fit(runs: Runs, capacity: int, most: int | None = None) -> tuple[Segments, int]:
+    """(size, bin, count) for ``runs(size, count)`` in falling order of size, and the number of bins opened.
+
+    Gives up when more than ``most`` bins are needed.
+    """
+    tree, placed, opened = Tree(), [], 0
+    for size, left in runs:
+        while left:
+            found = tree.take_tightest(size)
+            if found is None:
+                if opened == most:
+                    return placed, opened + 1
+                found, opened = (capacity, opened), opened + 1
+            n = min(left, found[0] // size)
+            placed.append((size, found[1], n))
+            tree.add(found[0] - n * size, found[1])
+            left -= n
+    return placed, opened
+
+
+def pack(runs: Runs, n: int) -> Segments:
+    """(size, bin, count) with bins 0 to n - 1, at the least capacity that best fit manages.
+
+    ``runs`` has each size once, in falling order. The search gallops up from the even share.
+    """
+    alone: Segments = []
+    total, rest = sum(s * c for s, c in runs), list(runs)
+    while rest and len(alone) < n - 1 and rest[0][0] * (n - len(alone)) > total:
+        size, count = rest[0]
+        alone.append((size, len(alone), 1))
+        total -= size
+        rest[0:1] = [(size, count - 1)] if count > 1 else []
     if not rest:
-        return list(range(alone))
-    low = max(-(-total // bins), rest[0])
-    high = low + rest[0]
-    while best_fit(rest, high)[1] > bins:
-        high += rest[0]
+        return alone
+    bins = n - len(alone)
+    low = high = max(-(-total // bins), rest[0][0])
+    step, (best, opened) = 1, best_fit(rest, low, bins)
+    while opened > bins:
+        low, high, step = high + 1, high + step, 2 * step
+        best, opened = best_fit(rest, high, bins)
     while low < high:
         middle = (low + high) // 2
-        low, high = (low, middle) if best_fit(rest, middle)[1] <= bins else (middle + 1, high)
-    return list(range(alone)) + [alone + b for b in best_fit(rest, low)[0]]
+        found, opened = best_fit(rest, middle, bins)
+        if opened <= bins:
+            high, best = middle, found
+        else:
+            low = middle + 1
+    return alone + [(s, len(alone) + b, c) for s, b, c in best]
 
 
 def group_key(text: Column) -> Column:
@@ -116,58 +142,72 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + OVERHEAD
 
 
+def _cut_keys(groups: DataFrame, cuts: list[tuple[int, int]]) -> dict[tuple[int, int], bytes]:
+    """The key of the group of each (size, rank) among the groups of that size, in the order of keys."""
+    spark = groups.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(cuts, "bytes bigint, rank bigint"))  # bins x the bits of a capacity, at most
+    bucket = F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int")
+    cut = groups.join(wanted.select("bytes").distinct(), "bytes", "left_semi").select("bytes", "key", bucket.alias("bucket"))
+    counts = cut.groupBy("bytes", "bucket").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("bytes").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    inside = F.col("rank") - F.col("start")
+    hit = staged(starts.join(wanted, "bytes").where((inside >= 0) & (inside < F.col("n"))).select("bytes", "bucket", "rank", inside.alias("place")), "cuts")
+    few = cut.join(F.broadcast(hit.select("bytes", "bucket").distinct()), ["bytes", "bucket"], "left_semi")
+    ranked = few.withColumn("place", F.row_number().over(Window.partitionBy("bytes", "bucket").orderBy("key")) - 1)
+    return {(r.bytes, r["rank"]): bytes(r.key) for r in ranked.join(F.broadcast(hit), ["bytes", "bucket", "place"]).toLocalIterator()}
+
+
 class Plan:
-    """Where each group goes: bounded tables that fit a broadcast by construction."""
+    """Where each group goes: the sizes of groups of several rows, and segments of groups by size and key."""
 
     def __init__(self, rows: DataFrame, shards: int):
-        """``rows`` has (key, size); it is read twice."""
+        """``rows`` has (key, size); each key has one size."""
         groups = staged(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "groups")
-        self.total, self.rows = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-        self.bundles = shards * RESOLUTION
-        large = groups.where(F.col("bytes") * self.bundles > self.total)
-        small = groups.where(F.col("bytes") * self.bundles <= self.total)
-        own = [(bytes(r.key), r.bytes, r.rows) for r in large.toLocalIterator()]
-        gathered = small.groupBy(self.bundle(F.col("key")).alias("item")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-        items = [(k + self.bundles, b, r) for k, (_, b, r) in enumerate(sorted(own))] + [tuple(r) for r in gathered.toLocalIterator()]
-        items.sort(key=lambda i: (-i[1], i[0]))
-        spark, offset, placed = rows.sparkSession, [0] * shards, []
-        for (item, _, n), shard in zip(items, pack([i[1] for i in items], shards)):
-            placed.append((item, shard, offset[shard], n * HOT > self.rows))
-            offset[shard] += n
-        self.keys = F.broadcast(spark.createDataFrame([(bytearray(k), n + self.bundles) for n, (k, _, _) in enumerate(sorted(own))], "key binary, own_item int"))
-        self.items = F.broadcast(spark.createDataFrame(placed, "item int, shard int, first bigint, hot boolean"))
-
-    def bundle(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.bundles)).cast("int")
+        sizes = groups.groupBy("bytes").agg(F.count("*").alias("n"))
+        runs = sorted(((r.bytes, r.n) for r in sizes.toLocalIterator()), reverse=True)
+        segments, cuts, before = [], [], {}
+        for size, shard, n in pack(runs, shards):
+            at = before.get(size, 0)
+            segments.append((size, at, shard))
+            before[size] = at + n
+            if at:
+                cuts.append((size, at))
+        keys = _cut_keys(groups, cuts) if cuts else {}
+        first = [bytearray(keys[s[:2]]) if s[1] else bytearray() for s in segments]
+        after: dict[int, bytearray | None] = {}
+        table = []
+        for (size, _, shard), key in reversed(list(zip(segments, first))):
+            table.append((size, key, after.get(size), shard))
+            after[size] = key
+        self.segments = staged(rows.sparkSession.createDataFrame(table, "bytes bigint, first binary, end binary, shard int"), "segments")
+        self.several = staged(groups.where("rows > 1").select("key", "bytes"), "several")
 
     def place(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with item, shard, first and hot, joined by broadcasts alone."""
-        item = F.coalesce("own_item", self.bundle(F.col("key")))
-        return rows.join(self.keys, "key", "left").withColumn("item", item).drop("own_item").join(self.items, "item")
+        """``rows(key, size)`` with shard; both tables have their true size, so Spark broadcasts them only while small."""
+        sized = rows.join(self.several, "key", "left").withColumn("bytes", F.coalesce("bytes", "size"))
+        mine = (F.col("key") >= F.col("first")) & (F.col("end").isNull() | (F.col("key") < F.col("end")))
+        return sized.join(self.segments.withColumnRenamed("bytes", "of"), (F.col("bytes") == F.col("of")) & mine).drop("bytes", "of", "first", "end")
 
 
 def with_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """``docs`` with a column ``shard`` (underscores are added while the name is taken); texts are not shuffled."""
-    plan = Plan(docs.select(group_key(docs["text"]).alias("key"), text_size(docs["text"]).alias("size")), shards)
-    rows = docs.select(F.struct("*").alias("row"), group_key(docs["text"]).alias("key"))
-    return plan.place(rows).select("row.*", F.col("shard").alias(free_name(docs, "shard")))
+    """``docs`` with a column ``shard`` (underscores are added while the name is taken)."""
+    keyed = (group_key(docs["text"]).alias("key"), text_size(docs["text"]).alias("size"))
+    plan = Plan(docs.select(*keyed), shards)
+    return plan.place(docs.select(F.struct("*").alias("row"), *keyed)).select("row.*", F.col("shard").alias(free_name(docs, "shard")))
 
 
 def shard_slots(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row; slots are gapless in each shard.
-
-    An item's slots begin where the items before it in its shard end; rows are numbered
-    within an item, and those of an item with very many rows within parts of it.
-    """
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row; slots are gapless in each shard."""
     text = docs["text"]
     rows = docs.select(docs["doc_id"].alias("doc_id"), text_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), group_key(text).alias("key"))
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    placed = Plan(rows, shards).place(rows).withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(PARTS))).otherwise(0).cast("int"))
-    sizes = placed.where("hot").groupBy("item", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("item").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("item", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))  # HOT x PARTS rows at most
-    order = Window.partitionBy("item", "part").orderBy("doc_id", "row")
-    slot = F.col("first") + F.coalesce("skip", F.lit(0)) + F.row_number().over(order) - 1
-    return placed.join(F.broadcast(starts), ["item", "part"], "left").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    parts = max(1, rows.count() // (shards * PART_ROWS))
+    part = F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part")
+    placed = staged(Plan(rows, shards).place(rows).select("doc_id", "size", "text_crc32", "row", "shard", part), "placed")
+    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = staged(counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")
+    order = Window.partitionBy("shard", "part").orderBy("doc_id", "row")
+    slot = F.col("start") + F.row_number().over(order) - 1
+    return placed.join(starts, ["shard", "part"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
