@@ -9,8 +9,9 @@ aggregation, so nothing grows with the number of sources on the driver.
 A source's budget is its weight times the budget. It is spent epoch by epoch, each in a
 fresh permutation by hash, the last epoch cut where the budget ends. The running tokens of
 a source, divided by the source's share of a block, give the block of each drawn document:
-every block then holds all sources in their weights. Without a budget the least one is
-taken that spends every document once, so nothing is dropped and small sources repeat.
+every block then holds all sources in their weights, and is read in the order of a second
+hash. Without a budget the least one is taken that spends every document once, so nothing
+is dropped and small sources repeat.
 
 Running sums are taken in two steps: over buckets of the permutation (as many as keep a
 bucket small), then within a bucket, so a source with a third of all rows is spread over
@@ -160,7 +161,7 @@ def _epochs(doc_id: Column, source: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, target: Target | None = None) -> DataFrame:
-    """(doc_id, source, n_tokens, weight, epoch, block) of every draw."""
+    """(doc_id, source, n_tokens, weight, epoch, block, place) of every draw; a block is read in the order of ``place``, a hash."""
     target = target or Target()
     rows = _rows(docs)
     n = rows.count()
@@ -171,7 +172,8 @@ def mix(docs: DataFrame, target: Target | None = None) -> DataFrame:
     placed = _running(drawn, n)
     share = F.greatest(F.lit(1.0), F.col("weight") * target.block_tokens)
     block = F.floor((F.col("epoch") * F.col("tokens") + F.col("before")) / share)
-    return placed.select("doc_id", "source", "n_tokens", "weight", "epoch", block.alias("block"))
+    place = order_hash(F.col("doc_id"), F.col("source"), F.col("epoch"), target.seed + 1)
+    return placed.select("doc_id", "source", "n_tokens", "weight", "epoch", block.alias("block"), place.alias("place"))
 
 
 def mixed_documents(docs: DataFrame, target: Target | None = None) -> DataFrame:
@@ -184,7 +186,8 @@ def mixed_documents(docs: DataFrame, target: Target | None = None) -> DataFrame:
     return drawn.select("doc.*")
 
 
-QUERY = Target(block_tokens=50_000)
+#: Near equal weights: the exponent is bisected, and small sources repeat, up to the limit.
+QUERY = Target(entropy=0.99999, most_repeats=2.0, block_tokens=50_000)
 
 ORACLE = rf"""
 WITH RECURSIVE d AS (
@@ -210,7 +213,8 @@ x AS (SELECT d.*, m.tokens, weight, epochs, rest, unnest(generate_series(0, epoc
 h AS (SELECT *, ('0x' || substr(md5('{QUERY.seed}:' || epoch || ':' || source || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM x),
 r AS (SELECT *, (coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY h, doc_id, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS prior FROM h),
 c AS (SELECT source, min(h) AS cut FROM r WHERE epoch = epochs AND prior + n_tokens > rest GROUP BY source)
-SELECT doc_id, source, n_tokens, weight, epoch, floor((epoch * tokens + prior) / greatest(1.0, weight * {QUERY.block_tokens}))::BIGINT AS block
+SELECT doc_id, source, n_tokens, weight, epoch, floor((epoch * tokens + prior) / greatest(1.0, weight * {QUERY.block_tokens}))::BIGINT AS block,
+  ('0x' || substr(md5('{QUERY.seed + 1}:' || epoch || ':' || source || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
 FROM r LEFT JOIN c USING (source)
 WHERE epoch < epochs OR (rest > 0 AND h < coalesce(cut, 9223372036854775807))
 """
