@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch that carries whole texts to Python: bounds a worker's memory.
+#: Rows of whole texts that are Python objects at once: bounds a worker's memory.
 TEXT_BATCH_ROWS = 512
 
 
@@ -46,6 +48,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = TEXT_BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into slices of few rows, so that little of a batch becomes Python objects at once.
+
+    The batches themselves are bounded in bytes by ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    """
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def small_text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     """Keep Arrow batches of whole texts small, for bounded memory in Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
