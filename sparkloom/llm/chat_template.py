@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.storage import small_text_batches
+from sparkloom.storage import small_batches
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 CHATML = (
@@ -41,9 +41,12 @@ CHATML = (
 )
 #: Code points in a piece of a formatted conversation, about.
 PIECE_CHARS = 1 << 20
-#: Rows in an Arrow batch of turns or pieces: 64 MB of pieces at most.
-BATCH_ROWS = 16
+#: Rows and code points in an Arrow batch of results, about.
+BATCH_ROWS, BATCH_CHARS = 1024, 1 << 22
+#: Rows of turns or pieces that are Python objects at once.
+HELD_ROWS = 16
 
+TAG = re.compile(r"(\{\{(?:'(?:[^'\\]|\\.)*'|[^'])*?\}\}|\{%(?:'(?:[^'\\]|\\.)*'|[^'])*?%\})", re.S)
 TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*')|(\d+)|(==|!=|[().|~])|([A-Za-z_]\w*))")
 Fragments = Iterator[tuple[str, bool]]
 
@@ -168,7 +171,12 @@ class _Expression:
 def fold(node: tuple) -> tuple:
     """``node``, or its value where all of its operands are constants."""
     operands = [x for x in node[1:] if isinstance(x, tuple)]
-    return ("const", evaluator(node)({})) if all(x[0] == "const" for x in operands) else node
+    if not all(x[0] == "const" for x in operands):
+        return node
+    try:
+        return ("const", evaluator(node)({}))
+    except TypeError as e:
+        raise TemplateError(f"no value: {e}") from e
 
 
 def evaluator(node: tuple) -> Callable[[dict], object]:
@@ -197,7 +205,7 @@ def evaluator(node: tuple) -> Callable[[dict], object]:
 
 def parse(source: str) -> list[tuple]:
     """The syntax tree of a template, with constants folded and neighbouring texts joined."""
-    parts = re.split(r"(\{\{.*?\}\}|\{%.*?%\})", source, flags=re.S)
+    parts = TAG.split(source)  # texts and tags by turns
     at = 0
 
     def body(*ends: str) -> tuple[list[tuple], str]:
@@ -211,11 +219,15 @@ def parse(source: str) -> list[tuple]:
                 nodes.append(node)
 
         while at < len(parts):
-            part, at = parts[at], at + 1
-            if part.startswith("{{"):
+            part, is_text, at = parts[at], at % 2 == 0, at + 1
+            if is_text:
+                if "{{" in part or "{%" in part:
+                    raise TemplateError(f"a tag isn't closed: {part!r}")
+                add(("text", part))
+            elif part.startswith("{{"):
                 node = _Expression(part[2:-2]).parse()
                 add(("text", str(node[1])) if node[0] == "const" else ("emit", node))
-            elif part.startswith("{%"):
+            else:
                 word, _, rest = part[2:-2].strip().partition(" ")
                 if word in ends:
                     return nodes, part[2:-2].strip()
@@ -232,8 +244,6 @@ def parse(source: str) -> list[tuple]:
                         add(node)
                 else:
                     raise TemplateError(f"unexpected {part}")
-            else:
-                add(("text", part))
         if ends:
             raise TemplateError(f"{' or '.join(ends)} is missing")
         return nodes, ""
@@ -329,9 +339,23 @@ def pieces(fragments: Fragments, size: int = PIECE_CHARS) -> Iterator[tuple[str,
         yield "".join(buffer), spans
 
 
+def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in Arrow batches of bounded size."""
+    held: list[dict] = []
+    chars = 0
+    for row in rows:
+        held.append(row)
+        chars += len(row.get("text", ""))
+        if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, chars = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, Iterator[dict]]]:
     """Runs of neighbouring rows with an equal key; each must be used up before the next."""
-    rows = (row for batch in batches for row in batch.to_pylist())
+    rows = (row for batch in small_batches(batches, HELD_ROWS) for row in batch.to_pylist())
     held = next(rows, None)
     while held is not None:
         current = held[key]
@@ -355,16 +379,19 @@ def format_conversations(turns: DataFrame, template: str = CHATML, piece_chars:
     """Each conversation rendered by ``template``: (conv_id, piece, text, spans under the loss mask).
 
     Pieces of a conversation, joined in order, are its text; all but very long ones have one piece.
+    They are neighbours in one partition: texts are shuffled once, and only here.
     """
     parse(template)  # a faulty template is refused here
-    small_text_batches(turns.sparkSession, BATCH_ROWS)
 
-    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rendered = compile_template(template)
+    def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        run = compile_template(template)
         for conv, rows in _runs(batches, "conv_id"):
             messages = ({"role": r["role"] or "", "text": r["text"] or ""} for r in rows)
-            for k, (text, spans) in enumerate(pieces(rendered(messages), piece_chars)):
-                yield pa.RecordBatch.from_pylist([{"conv_id": conv, "piece": k, "text": text, "spans": [{"start": a, "end": b} for a, b in spans]}], schema=OUT)
+            for k, (text, spans) in enumerate(pieces(run(messages), piece_chars)):
+                yield {"conv_id": conv, "piece": k, "text": text, "spans": [{"start": a, "end": b} for a, b in spans]}
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched(rendered(batches), OUT)
 
     OUT = pa.schema([("conv_id", pa.int64()), ("piece", pa.int32()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
     slim = turns.select(turns["conv_id"].cast("bigint").alias("conv_id"), turns["turn"].alias("turn"), turns["role"].alias("role"), turns["text"].alias("text"))
@@ -392,11 +419,16 @@ def read_turns(parts: Iterable[tuple[str, list[dict]]]) -> Iterator[tuple[str, s
 DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation what can be read back from its formatted text and mask."""
-    small_text_batches(formatted.sparkSession, BATCH_ROWS)
+def digests(formatted: DataFrame, in_place: bool = False) -> DataFrame:
+    """Per conversation what can be read back from its formatted text and mask.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``in_place``: the pieces of a conversation are neighbours in one partition, in order, as
+    ``format_conversations`` leaves them; otherwise, as from a table, they are gathered first.
+    A digest is taken over a text from its start to its end, so one task reads a conversation;
+    it holds a turn and a piece of it at a time.
+    """
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for conv, rows in _runs(batches, "conv_id"):
             n = loss = chars = 0
             turns_sha, loss_sha = hashlib.sha256(), hashlib.sha256()
@@ -412,10 +444,14 @@ def digests(formatted: DataFrame) -> DataFrame:
                 turns_sha.update(f"{role}\n{text}\n".encode())
                 loss += len(inside)
                 loss_sha.update(inside.encode())
-            yield pa.RecordBatch.from_pylist([{"conv_id": conv, "n_turns": n, "turns_sha256": turns_sha.hexdigest(), "loss_chars": loss, "loss_sha256": loss_sha.hexdigest(), "formatted_chars": chars}], schema=OUT)
+            yield {"conv_id": conv, "n_turns": n, "turns_sha256": turns_sha.hexdigest(), "loss_chars": loss, "loss_sha256": loss_sha.hexdigest(), "formatted_chars": chars}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched(rows_of(batches), OUT)
 
     OUT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(read, DIGEST)
+    gathered = formatted if in_place else formatted.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    return gathered.mapInArrow(read, DIGEST)
 
 
 def with_control_case(turns: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_template.with_control_case(table(spark, sf_dir, "conversations"))
-    return chat_template.digests(chat_template.format_conversations(turns))
+    return chat_template.digests(chat_template.format_conversations(turns), in_place=True)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

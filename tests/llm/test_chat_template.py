@@ -26,12 +26,16 @@ def test_constants_are_folded():
     assert parse("a{{ 'b' ~ 1 | upper }}{% if 'x' == 'x' and not false %}c{% else %}{{ y }}{% endif %}") == [("text", "ab1c")]
 
 
+def test_tags_in_quotes_and_texts():
+    assert parse("{{ '}}' ~ '%}' }}") == [("text", "}}%}")] and parse("a }} %} b") == [("text", "a }} %} b")]
+
+
 def test_language():
     run = compile_template("{% set n = 'N' %}{% for m in messages %}{% if m.role in 'user admin' %}U{% elif m.role == 'x' %}X{{ n }}{% else %}{% generation %}{{ (m.text | trim) ~ '!' }}{% endgeneration %}{% endif %}{% endfor %}")
     assert list(run([{"role": "user", "text": ""}, {"role": "x", "text": ""}, {"role": "bot", "text": " hi "}])) == [("U", False), ("X", False), ("N", False), ("hi!", True)]
 
 
-@pytest.mark.parametrize("bad", ["{{ a.b() }}", "{{ a | system }}", "{% import os %}", "{% for x in y %}", "{{ a[0] }}", "{{ }}", "{% if a %}"])
+@pytest.mark.parametrize("bad", ["{{ a.b() }}", "{{ a | system }}", "{% import os %}", "{% for x in y %}", "{{ a[0] }}", "{{ }}", "{% if a %}", "x{{ 'abcd' }", "x{% if a", "{{ 1 in 'a' }}", "{{ 'a }}"])
 def test_sandbox_refuses(bad):
     with pytest.raises(TemplateError):
         compile_template(bad)
@@ -60,8 +64,15 @@ def test_turns_are_read_before_all_pieces_are_there():
     assert len(list(turns)) == 99 and len(taken) == len(parts)
 
 
-def test_batches_of_pieces_are_small(spark):
-    """A piece has a million characters: a batch of the default number of rows would have 10 GB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    df = digests(format_conversations(spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")))
-    assert df.count() == 1 and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 64
+def test_pieces_are_digested_where_they_are(spark):
+    """Texts are shuffled once, a long conversation in many pieces gives the same digest, and no setting is left behind."""
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(c, t, ["user", "assistant"][t % 2], f"<|im_end|> {c} {t} é " * 9) for c in range(40) for t in range(6)]
+    turns = spark.createDataFrame(rows, schema).repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = digests(format_conversations(turns), in_place=True)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = sorted(map(tuple, whole.collect()))
+    assert len(want) == 40 and want == sorted(map(tuple, digests(format_conversations(turns, piece_chars=50), in_place=True).collect()))
+    assert want == sorted(map(tuple, digests(format_conversations(turns).repartition(7)).collect()))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
