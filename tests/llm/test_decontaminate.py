@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
+
+import numpy as np
 
 from sparkloom.llm import decontaminate
 from sparkloom.llm.decontaminate import contamination, remove_contaminated
@@ -70,3 +73,60 @@ def test_longest_match(spark):
     docs, items = spark.createDataFrame([(1, doc)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
     row = decontaminate.benchmark_matches(docs, items).first()
     assert [(m.item, m.at, m.words) for m in row.matches] == [("1", 1, 17)] and [(s.start, s.end) for s in row.spans] == [(1, 18), (19, 30)]
+
+
+def longest_by_hand(text, items):
+    """{item id: (words, first place)} of the longest runs of equal words that hold a window."""
+    w, best = words(text), {}
+    for item, t in items:
+        v = words(t)
+        for p in range(len(w)):
+            for q in range(len(v)):
+                n = 0
+                while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                    n += 1
+                if n >= min(10, len(v)) and n > best.get(item, (0, 0))[0]:
+                    best[item] = (n, p)
+                elif n and n == best.get(item, (0, 0))[0] and p < best[item][1]:
+                    best[item] = (n, p)
+    return best
+
+
+def test_longest_matches_and_places_equal_brute_force():
+    docs, items = sample()
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(9)}" for _ in range(150)]
+    items = items + [(100, " ".join(long)), (101, " ".join(long[20:90])), (102, " ".join(long[:40] * 2))]
+    texts = [t for _, t in docs] + [" ".join(long[5:140] + ["zz"] + long[30:60]), " ".join(long * 2), " ".join(long[80:91]), " ".join(long[:45] + long[100:])]
+    for at_once in (1 << 20, 7):
+        decontaminate.PAIRS_AT_ONCE, decontaminate.AT_ONCE = at_once, at_once
+        s = decontaminate.Searcher(items)
+        got = s.search([s.ids(t) for t in texts])
+        for t, f in zip(texts, got):
+            assert {m["item"]: (m["words"], m["at"]) for m in f["matches"]} == longest_by_hand(t, items)
+    decontaminate.PAIRS_AT_ONCE, decontaminate.AT_ONCE = 1 << 20, 1 << 16
+
+
+def test_the_array_is_sorted_by_whole_suffixes():
+    rng = random.Random(3)
+    item = [f"v{rng.randrange(3)}" for _ in range(400)]
+    s = decontaminate.Searcher([(1, " ".join(item))])
+    text = np.append(s.ids(" ".join(item + ["?"] + item[100:] + item[:200])), 0)
+    places, _ = s.suffix_array(text)
+    ends = np.flatnonzero(text == 0)
+    suffix = lambda p: text[p : ends[np.searchsorted(ends, p)]].tolist()
+    pairs = set(zip(item, item[1:]))
+    assert len(pairs) == 9 and len(places) > 800 and [suffix(p) for p in places] == sorted(suffix(p) for p in places)
+
+
+def test_a_full_block_takes_bounded_memory():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 3000) % 200_000) for _ in range(800)]
+    size = sum(map(len, texts))
+    assert size > decontaminate.BLOCK_BYTES * 0.75
+    tracemalloc.start()
+    s = decontaminate.Searcher(list(enumerate(texts)))
+    s.search([s.ids(t) for t in texts[:30]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
