@@ -4,6 +4,8 @@ For each text and each language l the posterior is proportional to
 
     P(text | l)^t * P(declared | l) * P(l | host)
 
+and to ``NOISE`` * P(text | equally likely trigrams)^t for no language at all.
+
 * text: hashed trigrams of letters over the whole text; a table fitted on a sample (about
   ``TRAIN_DOCS`` documents of each declared language, all where there are fewer, picked by
   hash); t tempers the product,
@@ -15,10 +17,14 @@ For each text and each language l the posterior is proportional to
   posteriors of all documents; sums are combined on the map side, so a host with a third
   of all rows is a row per task before the shuffle.
 
-Every declared value with a letter in its texts is a language. The model has ``SLOTS`` numbers
-for each (64 KB in a worker), and each row a posterior of that many numbers.
+Every declared code of two or three letters (what follows, as in ``en-GB``, is left out) with
+a letter in its texts is a language; other values declare nothing. The model has ``SLOTS``
+numbers for each (64 KB in a worker), and each row a posterior of that many numbers. A
+declaration helps to fit the table and is evidence too, but its weight as evidence is the
+agreement of all texts that make it, so a wrong one yields to a clear text.
 
-A document is rejected when it has no letters to go by or no language reaches ``least``.
+A document is rejected when it has no letters to go by or no language reaches ``least``: two
+languages are in balance, or its letters are as likely in no language, as in keys and noise.
 
 Cases: a null text has no letters and is rejected; a null host or declaration is a value of
 its own that is pooled like others, and says nothing when declarations are null. Repeated
@@ -36,13 +42,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.columns import let
-from sparkloom.storage import small_text_batches, staged
+from sparkloom.storage import small_batches, staged
 
 #: Documents of each language that the trigram table is fitted on, about.
 TRAIN_DOCS = 10_000
 SLOTS = 1 << 14
 FULL, TEMPER = 300, 0.2
 KAPPA = 20.0
+#: Prior probability that a text is in no language.
+NOISE = 0.01
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
@@ -67,7 +75,7 @@ def text_model(df: DataFrame, text: str, label: str) -> tuple[list[str], np.ndar
     sample = shown.join(declared, label).where(F.pmod(F.xxhash64(text, label), F.lit(1_000_000)) < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             if b.num_rows:
                 found = [k * SLOTS + trigrams(t) for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
                 cell, n = np.unique(np.concatenate(found), return_counts=True)
@@ -106,13 +114,12 @@ def _in_order(x: Column) -> Column:
 def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys: list[Column], least: float = 0.5) -> DataFrame:
     """``keys`` (named columns) of each row, language, confidence, accepted and text_language."""
     spark = df.sparkSession
-    small_text_batches(spark)
     names = [f"key{k}" for k in range(len(keys))]
     lowered = F.lower(F.coalesce(host, F.lit("")))
     slim = df.select(
         *(c.alias(n) for c, n in zip(keys, names)),
         text.cast("string").alias("text"),
-        F.lower(F.regexp_extract(F.coalesce(declared.cast("string"), F.lit("")), r"^\s*([A-Za-z]+)", 1)).alias("declared"),
+        F.lower(F.regexp_extract(F.coalesce(declared.cast("string"), F.lit("")), r"^\s*([A-Za-z]{2,3})(?![A-Za-z])", 1)).alias("declared"),
         lowered.alias("host"),
         F.regexp_extract(lowered, r"\.([^.:]+)(:\d+)?$", 1).alias("suffix"),
     )
@@ -124,7 +131,7 @@ def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys:
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = held.value
-        for b in batches:
+        for b in small_batches(batches):
             out, n = [], []
             for t in b.column(at).to_pylist():
                 slots = trigrams(t)
@@ -132,16 +139,20 @@ def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys:
                 sums = np.zeros(logs.shape[1])
                 for start in range(0, len(slots), 1 << 14):
                     sums += logs[slots[start : start + (1 << 14)]].sum(axis=0, dtype=np.float64)
-                sums *= TEMPER * min(1.0, FULL / max(1, len(slots)))
-                out.append((sums - sums.max()).tolist())
+                sums = np.append(sums, -len(slots) * np.log(SLOTS)) * TEMPER * min(1.0, FULL / max(1, len(slots)))
+                out.append((sums - sums[:-1].max()).tolist())
             kept = [c for k, c in enumerate(b.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=[*(x for x in b.schema.names if x != "text"), "n", "logs"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text") + ", n bigint, logs array<double>"
     scored = staged(slim.mapInArrow(likelihood, schema), "likelihood")
     k = len(languages)
-    shares = scored.where("n > 0").withColumn("p", _softmax(F.col("logs")))
-    each = shares.select("suffix", "host", "declared", F.posexplode("p").alias("i", "p"))
+    none = F.lit(float(np.log(NOISE)))  # the last of all logs stands for no language
+    zeros = lambda last: F.concat(F.array_repeat(F.lit(0.0), k), F.array(last))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    spoken = lambda p: F.slice(p, 1, k)
+    shares = scored.where("n > 0").withColumn("p", _softmax(plus(F.col("logs"), zeros(none))))
+    each = shares.select("suffix", "host", "declared", F.posexplode(spoken(F.col("p"))).alias("i", "p"))
     cells = staged(each.groupBy("suffix", "host", "declared", "i").agg(F.sum("p").alias("s")), "host-sums")
     added = lambda *by: cells.groupBy(*by, "i").agg(F.sum("s").alias("s"))
     whole = staged(added(), "whole-sums")  # a row a language
@@ -151,14 +162,14 @@ def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys:
     by_host = _smoothed(added("suffix", "host"), by_suffix, ["suffix"]).groupBy("suffix", "host").agg(_in_order(F.log("p")).alias("host_logs"))
     stated = added("declared").where("declared <> ''").join(whole.withColumnRenamed("s", "w"), "i")
     by_statement = stated.groupBy("declared").agg(_in_order(F.log((F.col("s") + 0.5) / (F.col("w") + 1.0))).alias("said_logs"))
-    flat = F.array_repeat(F.lit(0.0), k)
     fused = scored.join(staged(by_host, "host-priors"), ["suffix", "host"], "left").join(staged(by_statement, "statements"), "declared", "left")
-    plus = lambda a, b: F.zip_with(a, F.coalesce(b, flat), lambda x, y: x + y)
-    fused = fused.withColumn("posterior", _softmax(plus(plus(F.col("logs"), F.col("host_logs")), F.col("said_logs"))))
+    host_logs = F.coalesce(F.concat("host_logs", F.array(none)), zeros(none))
+    said_logs = F.coalesce(F.concat("said_logs", F.array(F.lit(0.0))), zeros(F.lit(0.0)))
+    fused = fused.withColumn("posterior", spoken(_softmax(plus(plus(F.col("logs"), host_logs), said_logs))))
     tags = F.array(*(F.lit(x) for x in languages))
     pick = lambda a: F.when(F.col("n") > 0, F.get(tags, (F.array_position(a, F.array_max(a)) - 1).cast("int")))
     best = F.round(F.when(F.col("n") > 0, F.array_max("posterior")).otherwise(0.0), 6)
-    return fused.select(*names, pick(F.col("posterior")).alias("language"), best.alias("confidence"), (best >= least).alias("accepted"), pick(F.col("logs")).alias("text_language"))
+    return fused.select(*names, pick(F.col("posterior")).alias("language"), best.alias("confidence"), (best >= least).alias("accepted"), pick(spoken(F.col("logs"))).alias("text_language"))
 
 
 def document_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -1,6 +1,9 @@
-"""Accuracy against declarations, fusion of evidence, and edge cases."""
+"""Accuracy against declarations, the posterior by hand, fusion of evidence, and edge cases."""
 
+import math
 import random
+import re
+from collections import Counter, defaultdict
 
 from sparkloom.llm import language_id
 from sparkloom.llm.language_id import document_languages, keep_identified, page_languages
@@ -62,3 +65,64 @@ def test_rare_languages_among_many_are_learnt(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, l, "s") for i, (l, t) in enumerate([*rows, ("qzz", "12 34")])], "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r.text_language for r in document_languages(df).collect()}
     assert got.pop(len(rows)) is None and [got[i] for i in range(len(rows))] == [l for l, _ in rows]
+
+
+def by_hand(rows):
+    """{id: (language, posterior)} of rows (id, text, declared, host), sum by sum as the module's head has it."""
+    slots, k = {i: language_id.trigrams(t).tolist() for i, t, _, _ in rows}, language_id.SLOTS
+    code = {i: (m[1].lower() if (m := re.match(r"\s*([A-Za-z]{2,3})(?![A-Za-z])", d or "")) else "") for i, _, d, _ in rows}
+    counts = defaultdict(Counter)
+    for i in slots:
+        if code[i] and slots[i]:
+            counts[code[i]].update(slots[i])
+    names = sorted(counts)
+    chance = {l: lambda s, l=l, n=sum(counts[l].values()) + k / 2: (counts[l][s] + 0.5) / n for l in names}
+    host = {i: (h or "").lower() for i, _, _, h in rows}
+    suffix = {i: (m[1] if (m := re.search(r"\.([^.:]+)(:\d+)?$", h)) else "") for i, h in host.items()}
+    text, share = {}, {}
+    for i, s in slots.items():
+        if s:
+            t = language_id.TEMPER * min(1, language_id.FULL / len(s))
+            text[i] = {l: t * sum(math.log(chance[l](x)) for x in s) for l in names} | {None: t * len(s) * -math.log(k)}
+            share[i] = scaled({l: v + (math.log(language_id.NOISE) if l is None else 0) for l, v in text[i].items()})
+    add = lambda where: {l: sum(share[i][l] for i in share if where(i)) for l in names}
+    draw = lambda sums, above: {l: (sums[l] + language_id.KAPPA * above[l]) / (sum(sums.values()) + language_id.KAPPA) for l in names}
+    whole = add(lambda i: True)
+    prior = {l: (whole[l] + 1) / (sum(whole.values()) + len(names)) for l in names}
+    out = {}
+    for i in share:
+        ending = draw(add(lambda j: suffix[j] == suffix[i]), prior)
+        own = draw(add(lambda j: host[j] == host[i]), ending)
+        said = add(lambda j: code[j] == code[i])
+        logs = {l: text[i][l] + math.log(own[l]) + (math.log((said[l] + 0.5) / (whole[l] + 1)) if code[i] else 0) for l in names}
+        p = scaled(logs | {None: text[i][None] + math.log(language_id.NOISE)})
+        best = max(names, key=lambda l: p[l])
+        out[i] = (best, p[best])
+    return out
+
+
+def scaled(logs):
+    top = max(logs.values())
+    powers = {l: math.exp(v - top) for l, v in logs.items()}
+    return {l: v / sum(powers.values()) for l, v in powers.items()}
+
+
+def test_pages_equal_the_posterior_by_hand(spark):
+    rng = random.Random(12)
+    ends, rows = {"en": "com", "de": "de", "fr": "fr"}, []
+    for i in range(90):
+        l = rng.choice(["en", "de", "fr"])
+        mixed = say(l, rng.randrange(1, 9), rng) + " " + say(rng.choice(["en", "de"]), rng.randrange(0, 5), rng)
+        declared = rng.choice([l, l, l.upper() + "-XX", "en", None, "nonsense"])
+        rows.append((i, mixed, declared, rng.choice([f"a{i % 4}.example.{ends[l]}", "hot.example.com:80", "", None])))
+    noise = "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(600))
+    rows += [(900, "12 34", "en", "x.de"), (901, noise, None, "hot.example.com")]
+    html = lambda t, d: (f'<html lang="{d}">' if d else "<html>") + f"<script>x</script><p>{t}</p>"
+    pages = spark.createDataFrame([(i, h if h is None else f"http://{h}/p?q", html(t, d)) for i, t, d, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r for r in page_languages(pages).collect()}
+    want = by_hand(rows)
+    assert set(got) == {r[0] for r in rows} and set(got) - set(want) == {900} and not got[900].accepted
+    for i, (language, p) in want.items():
+        assert got[i].language == language and abs(got[i].confidence - p) < 2e-5, i
+    assert not got[901].accepted and sum(r.accepted for r in got.values()) > 80
+    assert {l for l, _ in want.values()} == {"en", "de", "fr"}
