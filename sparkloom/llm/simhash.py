@@ -4,9 +4,10 @@ The join walks pairs of trie nodes down together, adds up the bits in which the
 differ, and drops a pair as soon as the sum exceeds the budget. Two fingerprints within
 ``budget`` bits agree fully in at least one of ``budget + 1`` blocks of bits, so the trie is
 walked once per block with that block's bits leading: only equal leading bits share a
-starting node, and each starting node is a task's worth of work that Spark can place
-anywhere. With more fingerprints a finer cut is used, in which two, three or more blocks
-must agree; the result is the same, the starting nodes are smaller.
+starting node, and each starting node is work that Spark can place anywhere. A starting node
+with more than ``NODE_ROWS`` fingerprints, because there are many or because its bits are
+common, is cut again in the same way by the bits that are left, and so on; where all of a
+node agrees in one of the new blocks that block alone finds all of its pairs.
 
 A trie over sorted fingerprints needs no pointers: a node is a range of the sorted array.
 Within a task, ranges whose members are already linked are skipped, so a dense group of
@@ -23,7 +24,7 @@ text are ignored by ``simhash_components``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import connected_components
-from sparkloom.storage import small_text_batches, staged
+from sparkloom.storage import small_batches, staged
 
 SEED = 42
 BITS = 64
-#: Fingerprints that share a starting node on average, above which a finer cut is used.
-NODE_ROWS = 4096
+#: Fingerprints that share a starting node, above which it is cut again.
+NODE_ROWS = 1 << 14
+#: Bits that are left in a node that isn't cut any more: it has 2^20 distinct fingerprints at most.
+FREE_BITS = 20
 #: Node pairs that are walked at once in a task.
 FRONTIER = 1 << 20
 #: Ranges whose product of sizes is at most this are compared member by member.
@@ -62,31 +65,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed 64-bit number."""
-    small_text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             prints = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def cuts(n: int, budget: int) -> list[list[tuple[int, int]]]:
-    """For each walk the (offset, width) blocks of bits in the order in which they lead; the last entry is the rest.
-
-    With ``budget + c`` blocks at least ``c`` are free of differences; c grows until a
-    starting node has ``NODE_ROWS`` fingerprints or fewer, or blocks have only a few bits.
-    """
-    for clean in range(1, 5):
-        parts = budget + clean
-        width = [BITS // parts + (k < BITS % parts) for k in range(parts)]
-        blocks = [(sum(width[:k]), width[k]) for k in range(parts)]
-        if n / 2 ** (BITS * clean // parts) <= NODE_ROWS:
-            break
-    return [[blocks[k] for k in lead] for lead in combinations(range(parts), clean)]
-
-
 def _field(fp: Column, at: int, width: int) -> Column:
     return F.shiftrightunsigned(F.shiftleft(fp, at), BITS - width)
 
@@ -159,7 +146,7 @@ def trie_links(sorted_fps: np.ndarray, groups: np.ndarray, depth: int, budget: i
 
     def split(bit: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if bit not in ones:
-            ones[bit] = np.concatenate(([0], np.cumsum((sorted_fps >> np.uint64(BITS - 1 - bit)) & np.uint64(1)))).astype(np.int64)
+            ones[bit] = np.concatenate((np.zeros(1, np.int32), np.cumsum((sorted_fps >> np.uint64(BITS - 1 - bit)) & np.uint64(1), dtype=np.int32)))
         return b - (ones[bit][b] - ones[bit][a])
 
     while stack:
@@ -212,13 +199,46 @@ def _slices(sizes: np.ndarray, most: int = 1 << 22) -> Iterator[slice]:
         at = to
 
 
+def _blocks(depth: int, budget: int) -> list[tuple[int, int]]:
+    """``budget + 1`` blocks (offset, width) of the bits after the first ``depth``, with the bits of each that a key takes."""
+    parts = budget + 1
+    width, more = divmod(BITS - depth, parts)
+    return [(depth + k * width + min(k, more), width) for k in range(parts)]
+
+
+def _cut(rows: DataFrame, depth: int, budget: int) -> DataFrame:
+    """``rows(walk, moved, fp, only)`` in the walks of the next cut: (walk, key, moved, fp); ``only`` names a single one."""
+    front = [(0, depth)] if depth else []
+    walks = [F.struct(F.lit(k + 1).alias("k"), key.alias("key"), moved.alias("moved")) for k, (key, moved) in enumerate(leading(F.col("moved"), [*front, b]) for b in _blocks(depth, budget))]
+    taken = F.filter(F.array(*walks), lambda w: F.col("only").isNull() | (w.k == F.col("only")))
+    return rows.select("walk", "fp", F.explode(taken).alias("w")).select((F.col("walk") * (budget + 2) + F.col("w.k")).alias("walk"), "w.key", "w.moved", "fp")
+
+
+def starting_nodes(prints: DataFrame, budget: int) -> tuple[DataFrame, int]:
+    """(walk, key, moved, fp) of every starting node of ``prints(fp)``, and the leading bits that all of a node share."""
+    front = prints.select(F.lit(0).cast("bigint").alias("walk"), F.col("fp").alias("moved"), "fp", F.lit(None).cast("int").alias("only"))
+    depth, done = 0, []
+    while True:
+        rows = _cut(front, depth, budget)
+        depth += _blocks(depth, budget)[0][1]
+        if BITS - depth <= FREE_BITS:
+            done.append(rows)
+            break
+        blocks = _blocks(depth, budget)
+        same = [F.when(F.min(f) == F.max(f), k + 1) for k, f in enumerate(_field(F.col("moved"), a, w) for a, w in blocks)]
+        hot = rows.groupBy("walk", "key").agg(F.count("*").alias("n"), F.coalesce(*same).alias("only")).where(F.col("n") > NODE_ROWS)
+        hot = staged(hot.drop("n"), "hot-nodes")
+        if hot.isEmpty():
+            done.append(rows)
+            break
+        done.append(rows.join(hot, ["walk", "key"], "left_anti"))
+        front = staged(rows.join(hot, ["walk", "key"]).select("walk", "moved", "fp", "only"), "hot-rows")
+    return reduce(DataFrame.unionByName, done), _blocks(0, budget)[0][1]
+
+
 def near_links(prints: DataFrame, budget: int) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``prints(fp)`` that connect all pairs within ``budget`` bits."""
-    walks = cuts(prints.count(), budget)
-    # blocks differ in width by a bit: only the narrowest key's bits are equal in the nodes of every walk
-    depth = min(sum(w for _, w in lead) for lead in walks)
-    keyed = [F.struct(F.lit(k).alias("walk"), key.alias("key"), moved.alias("moved")) for k, (key, moved) in enumerate(leading(F.col("fp"), lead) for lead in walks)]
-    rows = prints.select("fp", F.explode(F.array(*keyed)).alias("w")).select("w.walk", "w.key", "w.moved", "fp")
+    rows, depth = starting_nodes(prints, budget)
     ordered = rows.repartition("walk", "key").sortWithinPartitions("walk", "key", "moved")
 
     def linked(batch: pa.Table) -> pa.RecordBatch:

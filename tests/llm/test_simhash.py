@@ -62,12 +62,30 @@ def test_finer_cuts_find_the_same(spark, monkeypatch):
     rows = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
     df = spark.createDataFrame(rows, "fp long")
     sizes = []
-    for node_rows in (4096, 0.001, 0.000001):
+    for node_rows in (4096, 5, 1):
         monkeypatch.setattr(simhash, "NODE_ROWS", node_rows)
         sizes.append(connected_components(simhash.near_links(df, 4)).count())
     assert sizes == [20, 20, 20]
 
 
+def test_a_hot_node_is_cut_again(spark, monkeypatch):
+    """A third of all fingerprints share a block, some of them two: no node keeps them all, and every link is found."""
+    monkeypatch.setattr(simhash, "NODE_ROWS", 60)
+    rng = random.Random(11)
+    prints = [rng.getrandbits(64) for _ in range(1200)]
+    prints += [rng.getrandbits(51) | 0x1ABC << 51 for _ in range(400)] + [rng.getrandbits(25) | 0x1ABC << 51 | 0x2AAAAAA << 25 for _ in range(300)]
+    prints += [p ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(1, 6))) for p in prints[::4]]
+    fps = np.unique(np.array(prints, np.uint64))
+    df = spark.createDataFrame([(int(p),) for p in fps.view(np.int64)], "fp long")
+    nodes, depth = simhash.starting_nodes(df, 4)
+    sizes = [r.n for r in nodes.groupBy("walk", "key").count().withColumnRenamed("count", "n").collect()]
+    assert depth == 12 and max(sizes) <= 60
+    got = {r.node: r.root for r in connected_components(simhash.near_links(df, 4)).collect()}
+    signed = fps.view(np.int64).tolist()
+    want = plain_components(signed, [int(p) for p in fps])
+    assert {p: got.get(p, p) for p in signed} == want and len(set(want.values())) < len(signed) - 300
+
+
 def test_table(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcde") for _ in range(4))
@@ -105,7 +123,7 @@ def test_large_starting_nodes_of_narrow_walks(spark, monkeypatch):
     near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps) <= 4, 1))
     assert len(near) == 100
     df = spark.createDataFrame([(int(p),) for p in fps.view(np.int64)], "fp long")
-    for node_rows in (4096, 0.01):
+    for node_rows in (4096, 20):
         monkeypatch.setattr(simhash, "NODE_ROWS", node_rows)
         got = {frozenset((r.a, r.b)) for r in simhash.near_links(df, 4).collect()}
         assert got == {frozenset(fps[[i, j]].view(np.int64).tolist()) for i, j in near}
