@@ -178,12 +178,27 @@ def document_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
     return found.withColumnRenamed("key0", "doc_id")
 
 
-def page_languages(pages: DataFrame, least: float = 0.5) -> DataFrame:
-    """The same of (page_id, url, html): the ``lang`` of the mark-up is the declaration, the host is the address's."""
+def page_evidence(pages: DataFrame) -> tuple[Column, Column, Column]:
+    """Text, declaration and host of (url, html): the ``lang`` of the mark-up is the declaration, the host is the address's."""
     html = pages["html"]
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>|&[a-z]+;", " ")
     declared = F.regexp_extract(html, r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
-    return identify(pages, text, declared, F.regexp_extract(pages["url"], r"://([^/?#]*)", 1), [pages["page_id"]], least).withColumnRenamed("key0", "page_id")
+    return text, declared, F.regexp_extract(pages["url"], r"://([^/?#]*)", 1)
+
+
+def page_languages(pages: DataFrame, least: float = 0.5) -> DataFrame:
+    """What ``document_languages`` gives, of (page_id, url, html)."""
+    return identify(pages, *page_evidence(pages), [pages["page_id"]], least).withColumnRenamed("key0", "page_id")
+
+
+def corpus_languages(docs: DataFrame, pages: DataFrame, least: float = 0.5) -> DataFrame:
+    """(doc_id, page_id, language, ...) of every document and every page, one of the ids null: one model and one set of priors for both."""
+    none = F.lit(None).cast("bigint")
+    text, declared, host = page_evidence(pages)
+    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), none.alias("page_id"), docs["text"].alias("text"), docs["lang"].alias("declared"), docs["source"].alias("host"))
+    rows = rows.unionByName(pages.select(none.alias("doc_id"), pages["page_id"].cast("bigint").alias("page_id"), text.alias("text"), declared.alias("declared"), host.alias("host")))
+    found = identify(rows, rows["text"], rows["declared"], rows["host"], [rows["doc_id"], rows["page_id"]], least)
+    return found.withColumnsRenamed({"key0": "doc_id", "key1": "page_id"})
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:

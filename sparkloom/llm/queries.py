@@ -43,7 +43,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.page_languages(table(spark, sf_dir, "pages"))
+    return language_id.corpus_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

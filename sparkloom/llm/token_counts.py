@@ -6,8 +6,8 @@ the frequencies and summed per document.
 
 The join is split by frequency. Pre-tokens that are frequent in a bounded sample of texts
 (``SAMPLE_DOCS``, picked by a hash of the doc_id) form a dictionary of at most ``HEAD``
-entries of at most ``HEAD_BYTES`` bytes, a few MB, which is broadcast; that takes the hot
-keys out of the shuffle. Whatever the dictionary lacks, frequent or not, goes through a
+entries, a few MB, which is broadcast; that takes the hot keys out of the shuffle. In it a
+pre-token of more than ``HEAD_BYTES`` bytes, such as a ruler line, stands under its digest. Whatever the dictionary lacks, frequent or not, goes through a
 distinct and a join by shuffle, so the sample affects the cost and never a count, and the
 vocabulary may grow without bound.
 
@@ -21,6 +21,7 @@ table gives an empty one; columns beyond doc_id and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -33,17 +34,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.storage import small_text_batches, staged
+from sparkloom.storage import small_batches, staged
 
-#: Entries of the broadcast dictionary, and the longest pre-token in it.
-HEAD, HEAD_BYTES = 1 << 16, 64
+#: Entries of the broadcast dictionary, and the longest pre-token that stands in it itself.
+HEAD, HEAD_BYTES = 1 << 17, 64
 #: Texts from which the dictionary is drawn, about.
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 8000
 #: The byte-level alphabet by its rule: printable Latin-1 characters stand for their own byte, others follow from 256 on.
 OWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 ALPHABET = {b: 256 + n for n, b in enumerate(x for x in range(256) if x not in set(OWN))}
 #: Distinct pre-tokens that a task holds before it passes their counts on.
 HELD = 1 << 18
+#: Pre-tokens that are Python objects at once where pieces are counted.
+HELD_ROWS = 1 << 14
 #: A fixed value: the pattern of byte-level pre-tokens.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 UNUSUAL = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧€]")
@@ -83,19 +86,24 @@ class PreTokens:
         return len(self.library.model.tokenize(token.encode().decode("latin-1").translate(ALPHABET)))
 
 
+def brief(token: str) -> str:
+    """The dictionary's key of a pre-token."""
+    return token if len(token) <= HEAD_BYTES else "\0" + hashlib.md5(token.encode()).hexdigest()
+
+
 def counted(pre: DataFrame, vocabulary: str) -> DataFrame:
     """``pre(pre)``, distinct pre-tokens, with ``pieces``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokens(vocabulary)
-        for b in batches:
+        for b in small_batches(batches, HELD_ROWS):
             yield b.append_column("pieces", pa.array([cutter.pieces(t) for t in b.column(0).to_pylist()], pa.int32()))
 
     return pre.mapInArrow(run, "pre string, pieces int")
 
 
 def frequent(texts: DataFrame, vocabulary: str, most: int) -> DataFrame:
-    """The ``most`` most frequent pre-tokens of ``texts(text)``, short ones only."""
+    """The ``most`` most frequent pre-tokens of ``texts(text)``; long ones only if they come again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, held = PreTokens(vocabulary), Counter()
@@ -103,7 +111,7 @@ def frequent(texts: DataFrame, vocabulary: str, most: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(held.values(), pa.int64())], names=["pre", "n"])
 
-        for b in batches:
+        for b in small_batches(batches):
             for t in b.column(0).to_pylist():
                 held.update(cutter.cut(t)[0])
                 if len(held) >= HELD:
@@ -111,29 +119,28 @@ def frequent(texts: DataFrame, vocabulary: str, most: int) -> DataFrame:
                     held.clear()
         yield out()
 
-    seen = texts.mapInArrow(run, "pre string, n bigint").where(F.octet_length("pre") <= HEAD_BYTES).groupBy("pre").agg(F.sum("n").alias("n"))
+    seen = texts.mapInArrow(run, "pre string, n bigint").groupBy("pre").agg(F.sum("n").alias("n")).where((F.length("pre") <= HEAD_BYTES) | (F.col("n") > 1))
     return seen.orderBy(F.desc("n"), "pre").limit(most).select("pre")
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, head: int = HEAD) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row; ``vocabulary`` is a path that all executors have."""
     spark = docs.sparkSession
-    small_text_batches(spark)
     slim = docs.select(docs["doc_id"], F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     parts = -(-max(1, slim.count()) // SAMPLE_DOCS)
     sample = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).select("text")
     top = counted(frequent(sample, vocabulary, head), vocabulary)
-    known = spark.sparkContext.broadcast({r.pre: r.pieces for r in top.toLocalIterator()})
+    known = spark.sparkContext.broadcast({brief(r.pre): r.pieces for r in top.toLocalIterator()})
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, get = PreTokens(vocabulary), known.value.get
-        for b in batches:
+        for b in small_batches(batches):
             total, sizes, rest, times = [], [], [], []
             for t in b.column(1).to_pylist():
                 found, n = cutter.cut(t)
                 before = len(rest)
                 for token, k in found.items():
-                    if (pieces := get(token)) is None:
+                    if (pieces := get(token if len(token) <= HEAD_BYTES else brief(token))) is None:
                         rest.append(token)
                         times.append(k)
                     else:

@@ -6,7 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 from sparkloom.llm import language_id
-from sparkloom.llm.language_id import document_languages, keep_identified, page_languages
+from sparkloom.llm.language_id import corpus_languages, document_languages, keep_identified, page_languages
 
 WORDS = {"en": "the and that with this from have which there their".split(), "de": "der die und das nicht ist mit für auf sich".split(), "fr": "les des est que une dans pour sur avec plus".split()}
 
@@ -26,6 +26,9 @@ def test_documents_and_pages_agree_with_declarations(spark):
     pages = spark.read.parquet(f"{d}/pages.parquet")
     got = page_languages(pages).collect()
     assert len(got) == pages.count() and sum(r.accepted for r in got) > 0.95 * len(got)
+    both = corpus_languages(docs, pages).collect()
+    assert {r.doc_id for r in both} == {*want, None} and {r.page_id for r in both} == {*(r.page_id for r in got), None} and len(both) == len(rows) + len(got)
+    assert sum(r.language == want.get(r.doc_id) for r in both if r.page_id is None) > 0.98 * len(rows)
 
 
 def test_hosts_and_declarations_move_doubtful_texts_only(spark):

@@ -42,3 +42,13 @@ def test_whole_small_table(spark):
     library = Tokenizer.from_file(PATH)
     got = {r.doc_id: r.n_tokens for r in tc.token_counts(df, PATH, head=200).collect()}
     assert got == {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False)) for r in df.collect()}
+
+
+def test_a_long_pre_token_that_a_third_of_rows_share_leaves_the_shuffle(spark):
+    ruler, other = "=" * 300, "-" * 70
+    rows = [(i, f"{ruler} word{i % 7} {other}" if i % 3 == 0 else f"text {i}" + "*" * (65 + i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    top = [r.pre for r in tc.frequent(df.select("text"), PATH, 50).collect()]
+    assert ruler in top and " " + other in top and not any(p.startswith("*") for p in top)
+    library = Tokenizer.from_file(PATH)
+    assert {r.doc_id: r.n_tokens for r in tc.token_counts(df, PATH, head=50).collect()} == {i: len(library.encode(t)) for i, t in rows}
