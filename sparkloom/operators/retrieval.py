@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as T
-from sparkloom.operators.topk import cosine_scorer, query_blocks, scan_topk, term_scorer
+from sparkloom.operators.topk import cosine_scorer, query_blocks, scan_terms, scan_topk
 
 # Constants that results depend on.
 RRF_K = 60
@@ -20,6 +20,7 @@ KEYWORD_STEP, KEYWORD_CAP = 0.12, 0.25
 FILENAME_BOOST, MODALITY_BOOST = 0.20, 0.15
 MMR_LAMBDA = 0.7
 SNIPPETS = 3
+FEW_HITS = 3
 HITS = "query_id bigint, id bigint, score double, rank int"
 
 
@@ -38,8 +39,22 @@ def vector_candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFra
 
 
 def text_candidates(docs: DataFrame, queries: DataFrame, k: int, every: bool = False) -> DataFrame:
-    """Best ``docs(id, terms)`` for each of ``queries(query_id, terms)``: any term, or every term."""
-    return _or_none(scan_topk(docs, query_blocks(queries), term_scorer(every), k), docs)
+    """Best ``docs(id, terms)`` for each of ``queries(query_id, terms)``: any term, or every term by the density of covers."""
+    found = scan_terms(docs, query_blocks(queries), k, some=not every, every=every)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return _or_none(None if found is None else found.drop("whole").withColumn("rank", F.row_number().over(order)), docs)
+
+
+def text_candidates_with_fallback(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best with every term; where these are few, the k best with any term stand behind them."""
+    found = scan_terms(docs, query_blocks(queries), k)
+    if found is None:
+        return _or_none(None, docs)
+    once = found.groupBy("query_id", "id").agg(F.max("whole").alias("whole"), F.max_by("score", "whole").alias("score"))
+    full = F.count_if("whole").over(Window.partitionBy("query_id"))
+    kept = once.withColumn("full", full).where(F.col("whole") | (F.col("full") < max(FEW_HITS, k // 8)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("whole"), F.desc("score"), "id")
+    return kept.withColumn("rank", F.row_number().over(order)).select("query_id", "id", "score", "rank")
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -51,6 +66,16 @@ def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return union.groupBy("query_id", "id").agg(F.sum("part").alias("rrf"))
 
 
+def fuse_hybrid(near: DataFrame, text: DataFrame | None, k: int = RRF_K) -> DataFrame:
+    """(query_id, id, rrf, sim, is_fts) of a vector and a text list, each read once; both lie by query, so none is shuffled."""
+    part = lambda rank: F.coalesce(1.0 / (k + F.col(rank)), F.lit(0.0))
+    found = near.select("query_id", "id", F.col("score").alias("sim"), F.col("rank").alias("near"))
+    if text is None:
+        return found.select("query_id", "id", part("near").alias("rrf"), "sim", F.lit(False).alias("is_fts"))
+    both = found.join(text.select("query_id", "id", F.col("rank").alias("far")), ["query_id", "id"], "full")
+    return both.select("query_id", "id", (part("near") + part("far")).alias("rrf"), "sim", F.col("far").isNotNull().alias("is_fts"))
+
+
 def top_per_query(hits: DataFrame, score: str, k: int, first: Column | None = None) -> DataFrame:
     """The k best hits of each query, ties by id; rows for which ``first`` is largest come before."""
     order = [F.desc(score), F.col("id")] if first is None else [first.desc(), F.desc(score), F.col("id")]
@@ -67,7 +92,7 @@ def keyword_boost(query: Column, keywords: Column) -> Column:
     q = F.lower(F.trim(query))
     words = F.filter(F.transform(F.split(F.lower(keywords), ","), lambda w: F.trim(w)), lambda w: w != "")
     hit = F.filter(words, lambda w: F.contains(q, w) | F.contains(w, q))
-    return F.coalesce(F.least(F.lit(KEYWORD_CAP), F.size(hit) * F.lit(KEYWORD_STEP)), F.lit(0.0))
+    return F.when(hit.isNull(), 0.0).otherwise(F.least(F.lit(KEYWORD_CAP), F.size(hit) * F.lit(KEYWORD_STEP)))
 
 
 def filename_boost(query: Column, name: Column, boost: float = FILENAME_BOOST) -> Column:
@@ -78,9 +103,9 @@ def modality_boost(query: Column, content_kind: Column, boost: float = MODALITY_
     return F.when(F.coalesce(T.modality(query) == content_kind, F.lit(False)), boost).otherwise(0.0)
 
 
-def first_hit(hits: DataFrame, key: str = "id") -> DataFrame:
-    """The best row of each query and key; rows without a key all stay."""
-    best = F.row_number().over(Window.partitionBy("query_id", key).orderBy(F.desc("score")))
+def first_hit(hits: DataFrame, key: str = "id", ties: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The best row of each query and key, by ``ties`` among equals; rows without a key all stay."""
+    best = F.row_number().over(Window.partitionBy("query_id", key).orderBy(F.desc("score"), *ties))
     kept = hits.where(F.col(key).isNotNull()).withColumn("_n", best).where("_n = 1").drop("_n")
     return kept.unionByName(hits.where(F.col(key).isNull()))
 

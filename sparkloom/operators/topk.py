@@ -15,23 +15,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.storage import small_batches
+
 #: Queries in a broadcast.
 BLOCK = 2048
+#: Candidates held before a running top-k is cut back, and numbers in a matrix of scores.
+HELD, CELLS = 1 << 20, 1 << 22
+#: Rows of vectors scored at once, and occurrences of terms.
+VECTORS, OCCURRENCES = 1024, 1 << 16
+#: A fixed value: what a cover without other words in it adds to a text's rank.
+COVER = 0.1
 
 
 class Running:
     """The k best (score, id) of each query so far; ties go to the smaller id."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.score, self.id = k, np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
+        self.k, self.floor, self.held = k, np.full(n, -np.inf), 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores = np.concatenate([self.score, scores], axis=1)
-        ids = np.concatenate([self.id, np.broadcast_to(ids, (len(scores), len(ids)))], axis=1)
-        if scores.shape[1] > self.k:
-            order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-            scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-        self.score, self.id = scores, ids
+        """Scores (queries x rows) of rows; -inf is no candidate."""
+        q, c = np.nonzero((scores >= self.floor[:, None]) & (scores > -np.inf))
+        self.parts.append((q, scores[q, c], ids[c]))
+        self.held += len(q)
+        if self.held > HELD:
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id) of the best so far, by query and rank."""
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        q, score, ids = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids, -score, q))
+        q, score, ids = q[order], score[order], ids[order]
+        first = np.searchsorted(q, np.arange(len(self.floor)))
+        kept = np.arange(len(q)) - first[q] < self.k
+        q, score, ids = q[kept], score[kept], ids[kept]
+        last = np.searchsorted(q, np.arange(len(self.floor)), "right")
+        full = last - np.searchsorted(q, np.arange(len(self.floor))) == self.k
+        self.floor[full] = score[last[full] - 1]
+        self.parts, self.held = [(q, score, ids)], 0
+        return q, score, ids
 
 
 def query_blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[list]:
@@ -46,26 +71,33 @@ def query_blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[list]:
         yield block
 
 
+def _united(parts: Iterator[DataFrame]) -> DataFrame | None:
+    found = None
+    for part in parts:
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def scan_topk(rows: DataFrame, blocks: Iterator[list], scorer: Callable[[list], Callable[[pa.RecordBatch], np.ndarray]], k: int) -> DataFrame | None:
     """(query_id, id, score, rank) for ``rows(id, ...)``; scores of -inf are no candidates.
 
     ``scorer(block)`` makes, inside a task, a function from a batch to scores (queries x rows).
     """
-    found: DataFrame | None = None
-    for block in blocks:
+
+    def part(block: list) -> DataFrame:
         held = rows.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            score, best = scorer(held.value), Running(len(held.value), k)
-            for b in batches:
-                if b.num_rows:
-                    best.add(np.round(score(b), 6), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            q, c = np.nonzero(best.score > -np.inf)
-            ids = np.array([r[0] for r in held.value], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.id[q, c]), pa.array(best.score[q, c])], names=["query_id", "id", "score"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            score, running = scorer(held.value), Running(len(held.value), k)
+            for b in small_batches(batches, VECTORS):
+                running.add(np.round(score(b), 6), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            q, best, ids = running.best()
+            names = np.array([r[0] for r in held.value], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids), pa.array(best)], names=["query_id", "id", "score"])
 
-        part = rows.mapInArrow(run, "query_id bigint, id bigint, score double")
-        found = part if found is None else found.unionByName(part)
+        return rows.mapInArrow(run, "query_id bigint, id bigint, score double")
+
+    found = _united(part(block) for block in blocks)
     if found is None:
         return None
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -73,40 +105,112 @@ def scan_topk(rows: DataFrame, blocks: Iterator[list], scorer: Callable[[list],
 
 
 def cosine_scorer(block: list) -> Callable[[pa.RecordBatch], np.ndarray]:
-    """For query rows (id, vector) and batches (id, vector): cosine similarity clamped at 0."""
+    """For query rows (id, vector) and batches (id, vector): cosine similarity clamped at 0; other lengths count as no direction."""
     q = np.array([r[1] for r in block], np.float64)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
     def score(b: pa.RecordBatch) -> np.ndarray:
-        v = np.array([x if x else [0.0] * q.shape[1] for x in b.column(1).to_pylist()], np.float64)
+        lists, v = b.column(1), np.zeros((b.num_rows, q.shape[1]))
+        whole = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == q.shape[1]
+        v[whole] = lists.filter(pa.array(whole)).flatten().fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
         return np.maximum(0.0, q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T)
 
     return score
 
 
-def term_scorer(every: bool) -> Callable[[list], Callable[[pa.RecordBatch], np.ndarray]]:
-    """For query rows (id, terms) and batches (id, terms): the sum of 1 + ln(frequency) over query terms found.
-
-    With ``every`` a row counts only if it has all of them.
+def cover_rank(codes: list[int], places: list[int], m: int) -> float:
+    """Cover density of ``m`` terms whose occurrences stand at ``places``, in order: short covers count most."""
+    last: dict[int, int] = {}
+    rank, before = 0.0, -1
+    for end, (code, place) in enumerate(zip(codes, places)):
+        last[code] = end
+        if len(last) == m and (begin := min(last.values())) > before:
+            rank += COVER / (1 + place - places[begin] - (end - begin))  # words between that are no query terms
+            before = begin
+    return rank
+
+
+class TermBlock:
+    """The queries (id, terms) of a block by term; each term has a number."""
+
+    def __init__(self, block: list):
+        self.codes = {t: n for n, t in enumerate(sorted({t for r in block for t in r[1]}))}
+        self.names = np.array([r[0] for r in block], np.int64)
+        wants = sorted({(self.codes[t], n) for n, r in enumerate(block) for t in r[1]})
+        self.queries = np.array([n for _, n in wants], np.int64)
+        self.starts = np.searchsorted(np.array([c for c, _ in wants], np.int64), np.arange(len(self.codes) + 1))
+        self.need = np.bincount(self.queries, minlength=len(block))
+        self.terms = [np.array(sorted({self.codes[t] for t in r[1]}), np.int64) for r in block]
+
+    def scores(self, doc: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of any term (queries x n texts), and of how many terms there are some."""
+        cell, times = np.unique(doc * len(self.codes) + code, return_counts=True)
+        d, c = np.divmod(cell, len(self.codes))
+        many = self.starts[c + 1] - self.starts[c]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.starts[c], many)
+        flat, shape = self.queries[at] * n + np.repeat(d, many), (len(self.names), n)
+        size = len(self.names) * n
+        return np.bincount(flat, np.repeat(times, many), size).reshape(shape), np.bincount(flat, minlength=size).reshape(shape)
+
+
+def scan_terms(docs: DataFrame, blocks: Iterator[list], k: int, some: bool = True, every: bool = True) -> DataFrame | None:
+    """(query_id, id, score, whole): the k best ``docs(id, terms)`` with any term, and the k best with every term (``whole``).
+
+    The JVM keeps the occurrences of a block's terms, as numbers; a text's occurrences stay
+    together and in order, for a broadcast join moves no row. Any term: ``COVER`` for each
+    occurrence; every term: the density of their covers.
     """
 
-    def make(block: list) -> Callable[[pa.RecordBatch], np.ndarray]:
-        words = {t: n for n, t in enumerate(sorted({t for r in block for t in r[1]}))}
-        wants = np.zeros((len(block), len(words)))
-        for n, r in enumerate(block):
-            wants[n, [words[t] for t in r[1]]] = 1
-        need = wants.sum(axis=1, keepdims=True)
-
-        def score(b: pa.RecordBatch) -> np.ndarray:
-            lists = b.column(1)
-            flat, offsets = lists.flatten().to_pylist(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.array([words.get(t, -1) for t in flat], np.int64)
-            row = np.repeat(np.arange(b.num_rows), offsets)[at >= 0]
-            tf = np.bincount(row * len(words) + at[at >= 0], minlength=b.num_rows * len(words)).reshape(b.num_rows, -1)
-            hit = wants @ (tf > 0).T
-            sums = wants @ np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0).T
-            return np.where((hit >= need) & (need > 0) if every else hit > 0, sums, -np.inf)
-
-        return score
-
-    return make
+    def part(block: list) -> DataFrame:
+        spark, held = docs.sparkSession, TermBlock(block)
+        known = spark.sparkContext.broadcast(held)
+        codes = F.broadcast(spark.createDataFrame(list(held.codes.items()), "w string, code int"))  # six terms a query, at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            b = known.value
+            ranked = [(flag, Running(len(b.names), k)) for flag, wanted in ((False, some), (True, every)) if wanted]
+
+            def texts(ids: np.ndarray, code: np.ndarray, pos: np.ndarray) -> None:
+                first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+                ends = np.append(first[1:], len(ids))
+                step = max(1, CELLS // max(1, len(b.names)))
+                for at in range(0, len(first), step):
+                    lo, hi, n = first[at], ends[min(at + step, len(first)) - 1], len(first[at : at + step])
+                    doc = np.repeat(np.arange(n), ends[at : at + n] - first[at : at + n])
+                    times, terms = b.scores(doc, code[lo:hi], n)
+                    for flag, running in ranked:
+                        score = np.where(terms > 0, COVER * times, -np.inf)
+                        if flag:
+                            score = np.full(score.shape, -np.inf)
+                            for q, d in zip(*np.nonzero((terms == b.need[:, None]) & (terms > 0))):
+                                mine = slice(first[at + d], ends[at + d])
+                                own = np.isin(code[mine], b.terms[q])
+                                score[q, d] = cover_rank(code[mine][own].tolist(), pos[mine][own].tolist(), int(b.need[q])) + 1e-9  # halves go up
+                        running.add(np.round(score, 6), ids[first[at : at + n]])
+
+            held_rows: list[tuple[np.ndarray, ...]] = []
+            n_held = 0
+            for batch in batches:
+                held_rows.append(tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in range(3)))
+                n_held += batch.num_rows
+                if n_held >= OCCURRENCES:
+                    ids, code, pos = (np.concatenate(x) for x in zip(*held_rows))
+                    others = np.flatnonzero(ids != ids[-1])
+                    cut = int(others[-1]) + 1 if len(others) else 0  # the last text may go on in the next batch
+                    if cut:
+                        texts(ids[:cut], code[:cut], pos[:cut])
+                    held_rows, n_held = [(ids[cut:], code[cut:], pos[cut:])], len(ids) - cut
+            if n_held:
+                texts(*(np.concatenate(x) for x in zip(*held_rows)))
+            for flag, running in ranked:
+                q, score, ids = running.best()
+                yield pa.RecordBatch.from_arrays([pa.array(b.names[q]), pa.array(ids), pa.array(score), pa.array(np.full(len(q), flag))], names=["query_id", "id", "score", "whole"])
+
+        found = docs.select(docs["id"].cast("bigint").alias("id"), F.posexplode("terms").alias("pos", "w")).join(codes, "w").select("id", "code", "pos")
+        return found.mapInArrow(run, "query_id bigint, id bigint, score double, whole boolean")
+
+    found = _united(part(block) for block in blocks)
+    if found is None:
+        return None
+    order = Window.partitionBy("query_id", "whole").orderBy(F.desc("score"), "id")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")

@@ -10,17 +10,24 @@ from sparkloom.operators import retrieval as R
 from sparkloom.operators import structure as S
 from sparkloom.plans.registry import query
 from sparkloom.plans.search import SearchOptions, search
-from sparkloom.storage import small_text_batches, table
+from sparkloom.storage import table
 
 QT = r"""qt AS (SELECT query_id, w FROM (SELECT item_id AS query_id, w, min(i) AS i FROM (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
   SELECT item_id, regexp_extract_all(lower(text), '[一-鿿]{2,}|[a-z0-9_]{2,}') AS ws FROM benchmark)) GROUP BY item_id, w)
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 6)"""
-DT = r"""dt AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\W+')) AS w FROM documents) WHERE w <> '' GROUP BY doc_id, w)"""
-FTS = f"{QT}, {DT}, fts AS (SELECT query_id, doc_id AS id, round(sum(1 + ln(tf)), 6) AS score, count(*) AS hit FROM qt JOIN dt USING (w) GROUP BY query_id, doc_id)"
+DT = r"""dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\W+'), lambda w: w <> '') AS ws FROM documents),
+dp AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM dw), dt AS (SELECT doc_id, w, count(*) AS tf FROM dp GROUP BY doc_id, w)"""
+FTS = f"{QT}, {DT}, fts AS (SELECT query_id, doc_id AS id, round(0.1::DOUBLE * sum(tf), 6) AS score, count(*) AS hit FROM qt JOIN dt USING (w) GROUP BY query_id, doc_id)"
+#: The density of covers of all terms: at each occurrence the latest of every term, each beginning once.
+COVERS = """need AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id), every AS (SELECT query_id, id FROM fts JOIN need USING (query_id) WHERE hit = n),
+o AS (SELECT every.query_id, every.id, dp.w, dp.pos, row_number() OVER (PARTITION BY every.query_id, every.id ORDER BY dp.pos) AS k FROM every JOIN qt USING (query_id) JOIN dp ON dp.doc_id = every.id AND dp.w = qt.w),
+latest AS (SELECT e.query_id, e.id, e.pos, e.k, p.w, max(p.k) AS seen FROM o e JOIN o p ON p.query_id = e.query_id AND p.id = e.id AND p.k <= e.k GROUP BY ALL),
+ends AS (SELECT query_id, id, pos, k, min(seen) AS first_k FROM latest JOIN need USING (query_id) GROUP BY query_id, id, pos, k, n HAVING count(*) = n),
+shortest AS (SELECT query_id, id, first_k, min(k) AS k, min(pos) AS pos FROM ends GROUP BY query_id, id, first_k),
+cd AS (SELECT s.query_id, s.id, round(sum(0.1::DOUBLE / (1 + s.pos - o.pos - (s.k - s.first_k))) + 1e-9, 6) AS score FROM shortest s JOIN o ON o.query_id = s.query_id AND o.id = s.id AND o.k = s.first_k GROUP BY s.query_id, s.id)"""
 
 
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_text_batches(spark)
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.terms(F.col("text")).alias("terms"))
 
 
@@ -47,23 +54,62 @@ def fts_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.text_candidates(doc_terms(spark, sf_dir), item_terms(spark, sf_dir), 20)
 
 
-@query(f"""WITH {FTS}, need AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id)
-SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM fts JOIN need USING (query_id) WHERE hit = n QUALIFY rank <= 20""")
+@query(f"WITH {FTS}, {COVERS} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM cd QUALIFY rank <= 20")
 def fts_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.text_candidates(doc_terms(spark, sf_dir), item_terms(spark, sf_dir), 20, every=True)
 
 
-@query(f"""WITH {FTS},
-f AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM fts QUALIFY rn <= 200),
+#: Candidates of hybrid search for a wanted 8: 96 of each list, text hits with any term only where fewer than 12 have all.
+HYBRID = f"""{FTS}, {COVERS},
+whole AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM cd QUALIFY rn <= 96), few AS (SELECT query_id, count(*) AS n FROM whole GROUP BY query_id),
+any_term AS (SELECT query_id, id, score FROM fts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 96),
+t AS (SELECT query_id, id, 1 AS whole, score FROM whole UNION ALL SELECT query_id, id, 0, score FROM any_term LEFT JOIN few USING (query_id) WHERE coalesce(few.n, 0) < 12 AND (query_id, id) NOT IN (SELECT (query_id, id) FROM whole)),
+f AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY whole DESC, score DESC, id) AS rn FROM t),
 s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(greatest(0, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) AS sim
   FROM embeddings q JOIN benchmark b ON q.vec_id = b.item_id, embeddings v),
-n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rn FROM s QUALIFY rn <= 200),
-u AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rn)), 6) AS rrf FROM (SELECT query_id, id, rn FROM f UNION ALL SELECT query_id, id, rn FROM n) GROUP BY query_id, id)
-SELECT u.query_id, u.id, rrf, n.sim, row_number() OVER (PARTITION BY u.query_id ORDER BY rrf DESC, u.id)::INT AS rank
-FROM u LEFT JOIN n USING (query_id, id) LEFT JOIN f USING (query_id, id) WHERE f.rn IS NOT NULL OR n.sim IS NULL OR n.sim >= 0.35 QUALIFY rank <= 8""")
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rn FROM s QUALIFY rn <= 96),
+u AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rn)), 6) AS rrf FROM (SELECT query_id, id, rn FROM f UNION ALL SELECT query_id, id, rn FROM n) GROUP BY query_id, id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) <= 96),
+c AS (SELECT u.query_id, u.id, rrf, n.sim FROM u LEFT JOIN n USING (query_id, id) LEFT JOIN f USING (query_id, id) WHERE f.rn IS NOT NULL OR n.sim IS NULL OR n.sim >= 0.35)"""
+
+
+def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as queries, with the vector of the same number."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return item_terms(spark, sf_dir).join(asked, "query_id").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+
+
+def hit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks: their source is the file, one in five holds a table."""
+    kind = F.when(F.col("doc_id") % 5 == 0, "table").otherwise("text")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("file_id"), F.floor(F.col("doc_id") / 20).cast("int").alias("chunk_index"),
+        "text", F.concat("source", F.lit(".md")).alias("name"), F.concat_ws(",", "lang", F.lit("the; ing")).alias("keywords"), kind.alias("kind"),
+    )
+
+
+@query(f"WITH {HYBRID} SELECT query_id, id, rrf, sim, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id)::INT AS rank FROM c QUALIFY rank <= 8")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = item_terms(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
-    return search(doc_terms(spark, sf_dir), vectors(spark, sf_dir), q, SearchOptions())
+    found = search(doc_terms(spark, sf_dir), vectors(spark, sf_dir), hybrid_queries(spark, sf_dir), SearchOptions())
+    return found.select("query_id", "id", "rrf", "sim", "rank")
+
+
+@query(f"""WITH {HYBRID},
+b AS (SELECT c.query_id, c.id, d.source, round(rrf + least(0.25, 0.12 * ((contains(lower(trim(q.text)), lang) OR contains(lang, lower(trim(q.text))))::INT + contains(lower(trim(q.text)), 'the; ing')::INT))
+  + CASE WHEN contains(d.source || '.md', lower(trim(q.text))) THEN 0.2 ELSE 0 END, 6) AS score FROM c JOIN documents d ON d.doc_id = c.id JOIN benchmark q ON q.item_id = c.query_id)
+SELECT query_id, source AS file_id, max(score) AS score, count(*) AS matched, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, source)::INT AS rank FROM b GROUP BY query_id, source QUALIFY rank <= 8""")
+def search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search with boosts, hits grouped by file."""
+    options = SearchOptions(keyword_boost=True, filename_boost=True, group_by_file=True)
+    found = search(doc_terms(spark, sf_dir), vectors(spark, sf_dir), hybrid_queries(spark, sf_dir), options, chunks=hit_chunks(spark, sf_dir))
+    return found.select("query_id", "file_id", "score", "matched", "rank")
+
+
+@query()
+def search_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search with boosts by content, diverse hits and the chunks around them."""
+    options = SearchOptions(keyword_boost=True, modality_boost=True, diversify=True, context_chunks=1)
+    found = search(doc_terms(spark, sf_dir), vectors(spark, sf_dir), hybrid_queries(spark, sf_dir), options, chunks=hit_chunks(spark, sf_dir))
+    return found.select("query_id", "id", "score", "rank", F.md5("context").alias("context_md5"))
 
 
 @query(f"""WITH {FTS},
@@ -101,8 +147,8 @@ def group_by_file_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) = 1""")
 def dedupe_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    best = F.row_number().over(R.Window.partitionBy("l_suppkey", "l_partkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"))
-    return li.withColumn("n", best).where("n = 1").select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("id"), "l_orderkey", F.round("l_extendedprice", 2).alias("score"))
+    hits = li.select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("id"), F.col("l_extendedprice").alias("score"), "l_orderkey", "l_linenumber")
+    return R.first_hit(hits, "id", ("l_orderkey", "l_linenumber")).select("query_id", "id", "l_orderkey", F.round("score", 2).alias("score"))
 
 
 @query("""SELECT vec_id, score, is_fts FROM (SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS score, label % 3 = 0 AS is_fts, CASE WHEN label = 1 THEN NULL ELSE round(embedding[1]::DOUBLE, 6) END AS vs FROM embeddings)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,38 +13,98 @@ from sparkloom.operators import retrieval as R
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """Options with the ranges that requests may use."""
+    """Options with the ranges that requests may use; those after ``hybrid`` need ``chunks``."""
 
     top_k: int = 8
-    candidates: int = 200
+    candidates: int | None = None
     min_score: float = R.MIN_VECTOR_SCORE
     hybrid: bool = True
+    keyword_boost: bool = False
+    filename_boost: bool = False
+    modality_boost: bool = False
+    group_by_file: bool = False
     diversify: bool = False
     context_chunks: int = 0
 
     def __post_init__(self) -> None:
         if not 1 <= self.top_k <= 50 or not 0 <= self.context_chunks <= 3 or not 0 <= self.min_score <= 1:
             raise ValueError("an option is out of range")
+        if self.group_by_file and (self.diversify or self.context_chunks):
+            raise ValueError("hits grouped by file have no order of chunks")
 
+    @property
+    def fetch(self) -> int:
+        return self.candidates or R.fetch_limit(self.top_k)
 
-def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), readable: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, rrf, sim, rank): hybrid search of ``queries(query_id, terms, embedding)``.
+    @property
+    def boosted(self) -> bool:
+        return self.keyword_boost or self.filename_boost or self.modality_boost
+
+
+def candidates(docs: DataFrame, vectors: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), readable: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, rrf, sim, is_fts): the fused candidates that pass the minimum score.
 
     ``readable(id)`` limits documents and vectors before any top-k, so that what a reader may
-    not see takes no place among the candidates.
+    not see takes no place among the candidates. Documents and vectors are scored once.
     """
     if readable is not None:
         docs, vectors = docs.join(readable, "id", "left_semi"), vectors.join(readable, "id", "left_semi")
-    near = R.vector_candidates(vectors, queries.where("embedding IS NOT NULL").select("query_id", "embedding"), options.candidates)
-    lists = [near]
-    if options.hybrid:
-        lists.append(R.text_candidates(docs, queries.where(F.size("terms") > 0).select("query_id", "terms"), options.candidates))
-    fused = R.fuse(lists)
-    sims = near.select("query_id", "id", F.col("score").alias("sim"))
-    found = fused.join(sims, ["query_id", "id"], "left")
-    if options.hybrid:
-        found = found.join(lists[1].select("query_id", "id", F.lit(True).alias("is_fts")), ["query_id", "id"], "left").na.fill({"is_fts": False})
+    near = R.vector_candidates(vectors, queries.where("embedding IS NOT NULL").select("query_id", "embedding"), options.fetch)
+    text = R.text_candidates_with_fallback(docs, queries.where(F.size("terms") > 0).select("query_id", "terms"), options.fetch) if options.hybrid else None
+    first = R.top_per_query(R.fuse_hybrid(near, text).withColumn("rrf", F.round("rrf", 6)), "rrf", options.fetch).drop("rank")
+    return R.min_score(first, "sim", "is_fts", options.min_score)
+
+
+def boosted(hits: DataFrame, queries: DataFrame, options: SearchOptions) -> DataFrame:
+    """``hits`` with ``score``: the fused score, and what keywords, file name and kind of content add to it."""
+    if not options.boosted:
+        return hits.withColumn("score", F.col("rrf"))
+    asked = hits.join(queries.select("query_id", F.col("text").alias("asked")), "query_id")
+    score = F.col("rrf")
+    if options.keyword_boost:
+        score = score + R.keyword_boost(F.col("asked"), F.col("keywords"))
+    if options.filename_boost:
+        score = score + R.filename_boost(F.col("asked"), F.col("name"))
+    if options.modality_boost:
+        score = score + R.modality_boost(F.col("asked"), F.col("kind"))
+    return asked.withColumn("score", F.round(score, 6)).drop("asked")
+
+
+def search(
+    docs: DataFrame,
+    vectors: DataFrame,
+    queries: DataFrame,
+    options: SearchOptions = SearchOptions(),
+    readable: DataFrame | None = None,
+    chunks: DataFrame | None = None,
+    scorer: Callable | None = None,
+) -> DataFrame:
+    """Hybrid search of ``queries(query_id, terms, embedding, text)``; the best hits of each query with their ``rank``.
+
+    ``chunks(id, file_id, chunk_index, text, name, keywords, kind)`` says what a hit is; only
+    the candidates meet it. Hits have query_id, id, rrf, sim and score (and file_id,
+    chunk_index, text with ``chunks``; context where asked for); grouped by file they have
+    query_id, file_id, score, matched and snippets. ``scorer`` puts the hits in its own order.
+    """
+    hits = candidates(docs, vectors, queries, options, readable).drop("is_fts")
+    if chunks is None and (options.boosted or options.group_by_file or options.diversify or options.context_chunks):
+        raise ValueError("these options need chunks")
+    if chunks is not None:
+        hits = hits.join(chunks, "id")
+    hits = boosted(hits, queries, options)
+    if options.group_by_file:
+        files = R.group_by_file(hits.withColumn("chunk_id", F.col("id")))
+        return R.top_per_query(files.withColumn("id", F.col("file_id")), "score", options.top_k).drop("id")
+    if options.diversify:
+        pool = R.top_per_query(hits, "score", max(4 * options.top_k, options.fetch // 2))
+        picked = R.diversify(pool.select("query_id", "id", "file_id", "chunk_index", "text", "score"), options.top_k)
+        hits = pool.drop("rank").join(picked, ["query_id", "id"]).withColumnRenamed("pick", "rank")
     else:
-        found = found.withColumn("is_fts", F.lit(False))
-    passed = R.min_score(found, "sim", "is_fts", options.min_score).select("query_id", "id", F.round("rrf", 6).alias("rrf"), "sim")
-    return R.top_per_query(passed, "rrf", options.top_k)
+        hits = R.top_per_query(hits, "score", options.top_k)
+    if scorer is not None:
+        hits = R.top_per_query(R.rerank(hits, scorer).drop("rank"), "score", options.top_k)
+    hits = hits.drop("name", "keywords", "kind")
+    if options.context_chunks:
+        around = R.context_window(hits, chunks, options.context_chunks)
+        hits = hits.join(around, ["query_id", "file_id", "chunk_index"], "left")
+    return hits
