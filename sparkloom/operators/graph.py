@@ -23,12 +23,29 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def co_occurrence(members: DataFrame, item: str, group: str) -> DataFrame:
-    """Unordered pairs of items by the number of groups that hold both; groups are small sets."""
+    """Unordered pairs of items by the number of groups that hold both.
+
+    Groups are sets whose size the caller bounds (the newest of each, the most used items): n
+    items of a group make n * n / 2 pairs, as the result has them.
+    """
     m = members.select(F.col(group).alias("g"), F.col(item).alias("x")).distinct()
     a, b = m.withColumnRenamed("x", "a"), m.withColumnRenamed("x", "b")
     return a.join(b, "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def matrix(members: DataFrame, item: str, group: str) -> DataFrame:
+    """(a, b, n) both ways and on the diagonal, for distinct members of few items.
+
+    A group's items meet in a row, so nothing is joined; pairs are counted on the map side,
+    and the shuffle has the square of the number of items at most for each task.
+    """
+    sets = members.groupBy(group).agg(F.sort_array(F.collect_set(item)).alias("x"))
+    upper = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 1, F.size("x")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    half = sets.select(F.explode(upper).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select(F.explode(ways).alias("w"), "n").select("w.a", "w.b", "n")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, n_out, n_in, score) over distinct edges."""
     e = edges.select("src", "dst").distinct()

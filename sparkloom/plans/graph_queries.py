@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.operators import graph as G
+from sparkloom.operators.excerpts import literal_excerpts
 from sparkloom.plans.registry import query
-from sparkloom.storage import table
+from sparkloom.storage import staged, table
 
 TAGS = "ft AS (SELECT DISTINCT l_orderkey AS file_id, p_brand AS tag FROM lineitem JOIN part ON l_partkey = p_partkey)"
 #: Links between nations: customers of one order from suppliers of the other.
@@ -37,13 +38,10 @@ def tag_cooc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x.tag AS a, y.tag AS b, count(*) AS n FROM k x JOIN k y ON x.file_id = y.file_id GROUP BY x.tag, y.tag""")
 def tag_heatmap_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The co-occurrence matrix of the 80 most used tags, in long form; files by tag on the diagonal."""
-    ft = file_tags(spark, sf_dir)
-    count = ft.groupBy("tag").agg(F.count("*").alias("n"))
-    top = count.orderBy(F.desc("n"), "tag").limit(80)
-    kept = ft.join(top.select("tag"), "tag", "left_semi")
-    pairs = G.co_occurrence(kept, "tag", "file_id")
-    diagonal = top.select(F.col("tag").alias("a"), F.col("tag").alias("b"), "n")
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).unionByName(diagonal)
+    ft = staged(file_tags(spark, sf_dir), "file-tags")
+    top = staged(ft.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(80), "top-tags")
+    kept = ft.join(F.broadcast(top.select("tag")), "tag", "left_semi").select("file_id", "tag")  # 80 rows
+    return G.matrix(kept, "tag", "file_id")
 
 
 @query(f"""WITH {TAGS}, seeds AS (SELECT DISTINCT p_brand AS tag FROM part WHERE p_partkey <= 3),
@@ -205,27 +203,12 @@ def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("subject", "predicate", "objects", level.alias("level"))
 
 
-@query("""WITH c AS (SELECT d.doc_id, b.item_id, sha256(d.doc_id || chr(31) || b.x) AS claim_hash FROM documents d JOIN (SELECT item_id, string_split(text, '.')[1] AS x FROM benchmark) b ON contains(d.text, b.x)) SELECT * FROM c""")
+@query("""WITH c AS (SELECT d.doc_id, b.item_id, sha256(d.doc_id || chr(31) || b.x) AS claim_hash FROM documents d JOIN (SELECT item_id, string_split(text, '.')[1] AS x FROM benchmark) b ON b.x <> '' AND contains(d.text, b.x)) SELECT * FROM c""")
 def literal_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims whose excerpt (an item's first sentence) stands in the text; the item list is a stated, small query set."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.get(F.split("text", r"\."), F.lit(0)).alias("x"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    blocks = None
-    for block in _blocks(b, 1000):
-        hit = d.select("doc_id", F.explode(F.filter(F.array(*(F.when(F.contains("text", F.lit(x)), F.struct(F.lit(i).alias("item_id"), F.lit(x).alias("x"))) for i, x in block)), lambda e: e.isNotNull())).alias("e"))
-        blocks = hit if blocks is None else blocks.unionByName(hit)
-    return blocks.select("doc_id", "e.item_id", F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "e.x"), 256).alias("claim_hash"))
-
-
-def _blocks(items: DataFrame, size: int):
-    block = []
-    for r in items.toLocalIterator():
-        block.append((r.item_id, r.x))
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
+    """Claims whose excerpt (an item's first sentence) stands in the text."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.get(F.split("text", r"\."), F.lit(0)).alias("excerpt"))
+    found = literal_excerpts(table(spark, sf_dir, "documents").select("doc_id", "text"), b)
+    return found.select("doc_id", "item_id", F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "excerpt"), 256).alias("claim_hash"))
 
 
 @query(f"""WITH {TAGS}, t AS (SELECT tag, count(*) AS n FROM ft GROUP BY tag) SELECT tag, n FROM t ORDER BY n DESC, tag LIMIT 10""")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of whole texts that are Python objects at once: bounds a worker's memory.
 TEXT_BATCH_ROWS = 512
+#: Folders of intermediate tables that are removed at the end.
+_RUNS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +39,28 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; it goes when the driver ends, or with ``clear``."""
+    place = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+    if place not in _RUNS:
+        _RUNS.add(place)
+        atexit.register(_clear_at_exit, spark, place)
+    return place
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; results that read them must have been used."""
+    place = run_dir(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_at_exit(spark: SparkSession, place: str) -> None:
+    context = SparkContext._active_spark_context
+    if context is not None and place.endswith(context.applicationId):
+        clear(spark)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -43,7 +69,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     when their files are below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,8 +82,3 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = TEXT_BATCH_ROWS
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-
-
-def small_text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small, for bounded memory in Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

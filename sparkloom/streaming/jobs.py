@@ -16,11 +16,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from sparkloom.storage import shared_dir
+from sparkloom.storage import run_dir
 
 # Attempts before a job is dead, seconds without a sign of life, length of a window.
 MAX_ATTEMPTS = 3
 STALE_SECONDS = 3600
+#: Seconds of event time for which a job that has ended, or waits in the queue, is remembered.
+KEPT_SECONDS = 24 * 3600
 SESSION_GAP = "15 minutes"
 
 
@@ -36,7 +38,7 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def available(stream: DataFrame, keys: list[str] | None = None, mode: str = "update") -> DataFrame:
     """Everything the stream yields from what is there now; with keys, the last row of each key."""
-    spark, place = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/streams/{uuid.uuid4().hex}"
+    spark, place = stream.sparkSession, f"{run_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
@@ -60,13 +62,22 @@ def job_states(events: DataFrame) -> DataFrame:
 
     A success ends a job; a failure is an attempt, and the third makes it dead; anything else
     is a sign of life. A job that has ended takes no more events. One without a sign of life
-    for an hour of event time is put back in the queue.
+    for an hour of event time is put back in the queue. State is bounded: a job that ended or
+    was put back is forgotten after a day of event time. Events of one micro-batch are taken
+    in the order of their time; a later batch's are taken after them.
     """
 
+    def remember(state: GroupState, seconds: int, seen: int) -> None:
+        state.setTimeoutTimestamp(max(seen // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            _, attempts, seen = state.get
+            status, attempts, seen = state.get
+            if status in ("done", "dead", "queued"):
+                state.remove()
+                return
             state.update(("queued", attempts, seen))
+            remember(state, KEPT_SECONDS, seen)
             yield pd.DataFrame([(key[0], "queued", attempts, pd.Timestamp(seen, unit="us"))], columns=["job_id", "status", "attempts", "last_seen"])
             return
         status, attempts, seen = state.getOption or ("queued", 0, 0)
@@ -83,8 +94,7 @@ def job_states(events: DataFrame) -> DataFrame:
             else:
                 status = "running"
         state.update((status, attempts, seen))
-        if status not in ("done", "dead") and seen // 1000 + STALE_SECONDS * 1000 > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(seen // 1000 + STALE_SECONDS * 1000)
+        remember(state, KEPT_SECONDS if status in ("done", "dead") else STALE_SECONDS, seen)
         yield pd.DataFrame([(key[0], status, attempts, pd.Timestamp(seen, unit="us"))], columns=["job_id", "status", "attempts", "last_seen"])
 
     timed = events.withWatermark("at", "1 hour")

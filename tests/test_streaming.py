@@ -41,6 +41,20 @@ def test_job_states_over_micro_batches(spark, tmp_path):
     assert {r.job_id: (r.status, r.attempts) for r in got} == plain(rows)
 
 
+def test_ended_jobs_are_forgotten(spark, tmp_path):
+    """A job's state goes a day of event time after it ended; until then it takes no more events."""
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    parts = [[(1, 1, "success", at(0)), (2, 2, "beat", at(0))], [(3, 1, "beat", at(1)), (4, 9, "beat", at(30))], [(5, 9, "beat", at(60))], [(6, 1, "beat", at(61)), (7, 9, "beat", at(62))]]
+    stream = stream_of(spark, f"{tmp_path}/e", parts)
+    place = f"{tmp_path}/out"
+    query = jobs.job_states(stream.select("job_id", "event_id", "kind", "at")).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True)
+    query = query.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{place}/batch={n}")).start()
+    query.awaitTermination()
+    seen = [(r.job_id, r.status) for r in spark.read.parquet(place).orderBy("batch", "job_id", "status").collect()]
+    assert [s for j, s in seen if j == 1] == ["done", "done", "running"]
+    assert [s for j, s in seen if j == 2] == ["running", "queued"]
+
+
 def test_windows_sessions_and_outbox(spark, tmp_path):
     rows = [(i, i % 2, "k", T0 + dt.timedelta(minutes=m)) for i, m in enumerate([0, 1, 2, 3, 4, 5, 40, 41, 90])]
     stream = stream_of(spark, f"{tmp_path}/e", [rows[:5], rows[5:]])
