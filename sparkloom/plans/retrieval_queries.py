@@ -10,7 +10,7 @@ from sparkloom.operators import retrieval as R
 from sparkloom.operators import structure as S
 from sparkloom.plans.registry import query
 from sparkloom.plans.search import SearchOptions, search
-from sparkloom.storage import table
+from sparkloom.storage import table, texts
 
 QT = r"""qt AS (SELECT query_id, w FROM (SELECT item_id AS query_id, w, min(i) AS i FROM (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
   SELECT item_id, regexp_extract_all(lower(text), '[一-鿿]{2,}|[a-z0-9_]{2,}') AS ws FROM benchmark)) GROUP BY item_id, w)
@@ -28,7 +28,7 @@ cd AS (SELECT s.query_id, s.id, round(sum(0.1::DOUBLE / (1 + s.pos - o.pos - (s.
 
 
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.terms(F.col("text")).alias("terms"))
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("id"), T.terms(F.col("text")).alias("terms"))
 
 
 def item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import structure as S
 from sparkloom.plans.registry import query
-from sparkloom.storage import table
+from sparkloom.storage import table, texts
 
 CHUNKS = """ch AS (SELECT doc_id, unnest(generate_series(0, greatest(0, ceil((length(text) - 800) / 700)::INT))) AS chunk_index, text FROM documents WHERE text <> ''),
 c AS (SELECT doc_id, chunk_index::INT AS chunk_index, chunk_index::INT * 700 AS char_start, trim(substr(text, chunk_index * 700 + 1, 800), ' ') AS text FROM ch)"""
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return texts(spark, sf_dir)
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, chunk_index, char_start, md5(text) AS text_md5, length(text)::INT AS chars FROM c")
@@ -63,12 +63,12 @@ def html_title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", S.markdown_of("html").alias("markdown"))
+    return texts(spark, sf_dir, "pages").select("page_id", S.markdown_of("html").alias("markdown"))
 
 
 @query()
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), S.markdown_of("html").alias("text"))
+    pages = texts(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), S.markdown_of("html").alias("text"))
     return S.block_table(pages)
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of whole texts that are Python objects at once: bounds a worker's memory.
 TEXT_BATCH_ROWS = 512
+#: Bytes below which Spark doesn't cut a scan.
+SMALLEST_SPLIT = 4 << 20
 #: Folders of intermediate tables that are removed at the end.
 _RUNS: set[str] = set()
 
@@ -22,6 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are work to read: spread over all cores where it is too small for a scan to do so.
+
+    Spark cuts no scan into pieces of less than ``SMALLEST_SPLIT`` bytes, nor a row group at
+    all; only a table of fewer bytes than that for each core is dealt out by a shuffle.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(cores) if size < SMALLEST_SPLIT * cores else rows
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
