@@ -286,9 +286,9 @@ def simhash_components(docs: DataFrame, width: int = 4, budget: int = 4) -> Data
 def near_dedup(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
     """The rows of ``docs``, one for each near-duplicate group: the one with the least doc_id.
 
-    Of a group's rows that repeat that doc_id one stays, with the least text; a doc_id on
-    texts of several groups may stay for each that it leads. Rows with a null doc_id cannot
-    be told apart by id and stay.
+    Of a group's rows that repeat that doc_id one stays, with the least text, and of equal
+    texts the one whose JSON is least; a doc_id on texts of several groups may stay for each
+    that it leads. Rows with a null doc_id cannot be told apart by id and stay.
     """
     found = _grouped(docs, width, budget).where("doc_id IS NOT NULL")
     rows = found.groupBy("doc_id", "fp", "root", "component_id").agg(F.count("*").alias("n"))
@@ -300,7 +300,7 @@ def near_dedup(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
     led = state.where("leads").select(F.col("doc_id").alias("_id"), F.explode("groups").alias("_g")).select("_id", "_g.fp", "_g.root")
     again = docs.join(led.select("_id").distinct(), docs["doc_id"] == F.col("_id"), "left_semi")
     keyed = again.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"), signed("text").alias("_fp"))
-    best = keyed.join(led, (F.col("_doc") == F.col("_id")) & (F.col("_fp") == F.col("fp"))).groupBy("_doc", "root").agg(F.min_by("_row", "_text").alias("row"))
+    best = keyed.join(led, (F.col("_doc") == F.col("_id")) & (F.col("_fp") == F.col("fp"))).groupBy("_doc", "root").agg(F.min_by("_row", F.struct("_text", F.to_json("_row"))).alias("row"))
     return once.unionByName(best.select("row.*"))
 
 
