@@ -151,3 +151,21 @@ def unmatched_like(text: str) -> str:
 def identity(*fields: Column) -> Column:
     """SHA-256 over fields joined by the unit separator, nulls as empty."""
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(f.cast("string"), F.lit("")) for f in fields)), 256)
+
+
+def analysed(text: Column, analyzer: str = "simple") -> Column:
+    """Search tokens: words (``simple``), or words and the pairs of neighbours in runs of CJK characters (``cjk``)."""
+    if analyzer == "simple":
+        return terms(text)
+    runs = F.regexp_extract_all(F.lower(text), F.lit("[一-鿿]+|[a-z0-9_]+"), F.lit(0))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda k: F.substring(r, k, F.lit(2)))
+    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[一-鿿]{2,}$"), pairs(r)).otherwise(F.array(r))))
+
+
+def renamed_slug(markdown: Column, old: str, new: str) -> Column:
+    """Links to the page ``old`` lead to ``new``; their shown text stays, and so does code."""
+    pieces = F.regexp_extract_all(markdown, F.lit(r"(?s)```.*?(?:```|$)|`[^`\n]*`|\[\[[^\[\]\n]+\]\]|[^`\[]+|[`\[]"), F.lit(0))
+    page = lambda p: F.regexp_extract(p, r"^\[\[(?:[^\[\]|]*\|)?\s*wiki:([^\[\]|]+)\]\]$", 1)
+    shown = lambda p: F.regexp_extract(p, r"^\[\[([^\[\]|]*\|)", 1)
+    link = lambda p: p.startswith("[[") & (slug(page(p)) == old)
+    return F.array_join(F.transform(pieces, lambda p: F.when(link(p), F.concat(F.lit("[["), shown(p), F.lit(f"wiki:{new}]]"))).otherwise(p)), "")

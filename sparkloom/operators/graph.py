@@ -96,6 +96,14 @@ def tree_paths(nodes: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     return whole
 
 
+def layout_lines(nodes: DataFrame) -> DataFrame:
+    """(root, node, pos, line): each tree as a nested Markdown list, in the order of its paths; a tree is one workspace."""
+    paths = tree_paths(nodes)
+    name = F.element_at(F.split("label", "/"), F.col("level") + 1)
+    order = Window.partitionBy("root").orderBy("label", "node")
+    return paths.select("root", "node", F.row_number().over(order).alias("pos"), F.concat(F.repeat(F.lit("  "), F.col("level")), F.lit("- "), name).alias("line"))
+
+
 def expand_by_links(hits: DataFrame, edges: DataFrame, seeds: int = 3, neighbours: int = 8, factor: float = 0.92) -> DataFrame:
     """Neighbours of each query's best files, scored by the seed's score times ``factor``; known files stay out."""
     best = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("n") <= seeds)

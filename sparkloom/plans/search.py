@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.operators import retrieval as R
 
@@ -41,6 +42,12 @@ class SearchOptions:
         return self.keyword_boost or self.filename_boost or self.modality_boost
 
 
+def _lists(docs: DataFrame, vectors: DataFrame, queries: DataFrame, options: SearchOptions) -> tuple[DataFrame, DataFrame | None]:
+    near = R.vector_candidates(vectors, queries.where("embedding IS NOT NULL").select("query_id", "embedding"), options.fetch)
+    text = R.text_candidates_with_fallback(docs, queries.where(F.size("terms") > 0).select("query_id", "terms"), options.fetch) if options.hybrid else None
+    return near, text
+
+
 def candidates(docs: DataFrame, vectors: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), readable: DataFrame | None = None) -> DataFrame:
     """(query_id, id, rrf, sim, is_fts): the fused candidates that pass the minimum score.
 
@@ -49,12 +56,21 @@ def candidates(docs: DataFrame, vectors: DataFrame, queries: DataFrame, options:
     """
     if readable is not None:
         docs, vectors = docs.join(readable, "id", "left_semi"), vectors.join(readable, "id", "left_semi")
-    near = R.vector_candidates(vectors, queries.where("embedding IS NOT NULL").select("query_id", "embedding"), options.fetch)
-    text = R.text_candidates_with_fallback(docs, queries.where(F.size("terms") > 0).select("query_id", "terms"), options.fetch) if options.hybrid else None
+    near, text = _lists(docs, vectors, queries, options)
     first = R.top_per_query(R.fuse_hybrid(near, text).withColumn("rrf", F.round("rrf", 6)), "rrf", options.fetch).drop("rank")
     return R.min_score(first, "sim", "is_fts", options.min_score)
 
 
+def funnel(docs: DataFrame, vectors: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """(query_id, vector_candidates, text_candidates, merged_unique, after_min_score, final): what each step leaves of a query's candidates."""
+    near, text = _lists(docs, vectors, queries, options)
+    fused = R.fuse_hybrid(near, text).withColumn("rrf", F.round("rrf", 6))
+    ranked = fused.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "id")))
+    first = (F.col("n") <= options.fetch) & (F.col("is_fts") | F.col("sim").isNull() | (F.col("sim") >= options.min_score))
+    counts = ranked.groupBy("query_id").agg(F.count("sim").alias("vector_candidates"), F.count_if("is_fts").alias("text_candidates"), F.count("*").alias("merged_unique"), F.count_if(first).alias("after_min_score"))
+    return counts.withColumn("final", F.least("after_min_score", F.lit(options.top_k)))
+
+
 def boosted(hits: DataFrame, queries: DataFrame, options: SearchOptions) -> DataFrame:
     """``hits`` with ``score``: the fused score, and what keywords, file name and kind of content add to it."""
     if not options.boosted:
