@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -62,63 +63,115 @@ def budget_shares(chunks: DataFrame, budget: int) -> DataFrame:
     return c.where(F.col("total") <= budget).select(F.col("doc_id").cast("bigint").alias("doc_id"), "chunk_index", F.col("chars").alias("share")).unionByName(over)
 
 
-def pack_paragraphs(body: str, size: int, overlap: int) -> Iterator[str]:
-    """Paragraphs packed greedily up to ``size``; the tail of a full chunk is carried into the next."""
-    held = ""
-    for part in (p.strip() for p in body.split("\n\n")):
-        if not part:
-            continue
-        if len(part) > size:
-            if held:
-                yield held
-            held, step = "", max(1, size - overlap)
-            starts = range(0, max(1, len(part) - overlap), step)
-            yield from (w for s in starts if (w := part[s : s + size].strip()))
-        elif held and len(held) + 2 + len(part) > size:
-            yield held
-            tail = held[-overlap:].strip() if overlap else ""
-            held = f"{tail}\n\n{part}" if tail and len(tail) + 2 + len(part) <= size else part
-        else:
-            held = f"{held}\n\n{part}" if held else part
-    if held:
-        yield held
+def windows(body: str, size: int, overlap: int, mark: str = "") -> Iterator[str]:
+    """Stripped pieces of at most ``size`` characters, each ended by the last ``mark`` in its reach, ``overlap`` into the last."""
+    at = 0
+    while at < len(body):
+        piece = body[at : at + size]
+        if mark and at + size < len(body) and (cut := piece.rfind(mark)) > 0:
+            piece = piece[: cut + len(mark)]
+        if piece.strip():
+            yield piece.strip()
+        if mark and at + size >= len(body):
+            return
+        at += max(1, (len(piece) if mark else size) - overlap)
 
 
-def split_recursively(body: str, size: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the strongest separator; short pieces are joined."""
+def split_recursively(body: str, size: int, overlap: int = 0) -> list[str]:
+    """Pieces of at most ``size`` characters, cut at the strongest separator that the text has; neighbours that fit are joined."""
     if len(body) <= size:
         return [body] if body.strip() else []
-    if not separators:
-        return [body[k : k + size] for k in range(0, len(body), size)]
-    mark, rest = separators[0], separators[1:]
-    parts = body.split(mark)
-    if len(parts) == 1:
-        return split_recursively(body, size, rest)
-    ended = [p + mark.strip() for p in parts[:-1]] + parts[-1:]
     out: list[str] = []
-    least = max(128, size // 4)
-    for piece in (q for p in ended for q in split_recursively(p, size, rest)):
-        joint = "" if mark == "。" else mark
-        if out and (len(out[-1]) < least or len(piece) < least) and len(out[-1]) + len(joint) + len(piece) <= size:
-            out[-1] += joint + piece
+    for piece in windows(body, size, overlap, next((m for m in SEPARATORS if m in body), "")):
+        if out and len(out[-1]) + 2 + len(piece) <= size:
+            out[-1] += "\n\n" + piece
         else:
             out.append(piece)
-    return [p.strip() for p in out if p.strip()]
+    return out
+
+
+def paragraph_spans(body: str, size: int, overlap: int, recursive: bool = False) -> Iterator[tuple[int, int, str]]:
+    """(start, end, text) of paragraphs packed up to ``size``, a longer one cut into pieces.
+
+    Places count characters of the trimmed paragraphs, two between each. What a full chunk
+    leaves over for the next is used only behind a paragraph that was cut.
+    """
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("a size above the overlap is needed")
+    held, begin, at = "", 0, 0
+    for part in (p.strip() for p in body.replace("\x00", "").strip().split("\n\n")):
+        if not part:
+            continue
+        start, at = at, at + len(part) + 2
+        joint = f"{held}\n\n{part}".strip() if held else part
+        if len(joint) <= size:
+            held, begin = joint, begin if held else start
+            continue
+        tail = held[-overlap:] if overlap and len(held) > overlap else ""
+        if held.strip():
+            yield begin, start, held.strip()
+        if len(part) <= size:
+            held, begin = part, start
+            continue
+        held, begin = tail, start - len(tail)
+        place = start
+        for piece in split_recursively(part, size, overlap) if recursive else [part[k : k + size] for k in range(0, len(part), size - overlap)]:
+            if piece.strip():
+                yield place, place + len(piece), piece.strip()
+            place += max(1, len(piece) - overlap) if recursive else size - overlap
+    if held.strip():
+        yield begin, at, held.strip()
+
+
+def pack_paragraphs(body: str, size: int, overlap: int) -> Iterator[str]:
+    """The texts of ``paragraph_spans``."""
+    return (t for _, _, t in paragraph_spans(body, size, overlap))
 
 
 def text_chunks(docs: DataFrame, size: int = 800, overlap: int = 100, recursive: bool = False) -> DataFrame:
-    """(doc_id, chunk_index, text) by paragraphs, or by separators of falling strength; rows stay in place."""
+    """(doc_id, chunk_index, char_start, char_end, text) by paragraphs, long ones by separators where ``recursive``; rows stay in place."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, n, *c) for i, t in zip(pdf["doc_id"], pdf["text"]) for n, c in enumerate(paragraph_spans(t or "", size, overlap, recursive))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "char_start", "char_end", "text"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, chunk_index int, char_start int, char_end int, text string")
+
+
+LOCATION = re.compile(r'<!--\s*\S+\s+type=(pdf_page|slide|sheet)\s+(?:page|slide|sheet_index)=(\d+)(?:\s+sheet_name="((?:[^"\\]|\\.)*)")?\s*-->')
+
+
+def located_segments(body: str) -> Iterator[tuple[tuple[str, int, str | None] | None, int, str]]:
+    """(location, start, text) of the parts between location marks; each part has the mark before it."""
+    where, at = None, 0
+    for m in [*LOCATION.finditer(body), None]:
+        part = body[at : m.start() if m else len(body)]
+        if part.strip():
+            yield where, at + len(part) - len(part.lstrip()), part.strip()
+        if m:
+            where, at = (m[1], int(m[2]), m[3] and re.sub(r"\\(.)", r"\1", m[3])), m.end()
+
+
+def structured_chunks(body: str, size: int, overlap: int, recursive: bool = False) -> Iterator[tuple]:
+    """(start, end, kind, heading path, loc_type, loc, loc_label, text): location marks first, then blocks, then size."""
+    for where, base, part in located_segments(body.replace("\x00", "").strip()):
+        for kind, path, start, end, text in markdown_blocks(part):
+            pieces = [(0, end - start, text)] if len(text) <= size else paragraph_spans(text, size, overlap, recursive)
+            for a, b, piece in pieces:
+                yield base + start + a, base + start + b, kind, path, *(where or (None, None, None)), piece
+
+
+def markdown_chunks(docs: DataFrame, size: int = 800, overlap: int = 100, recursive: bool = False) -> DataFrame:
+    """The ``structured_chunks`` of ``docs(doc_id, text)``; rows stay in place."""
+    columns = ["doc_id", "chunk_index", "char_start", "char_end", "kind", "path", "loc_type", "loc", "loc_label", "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (i, n, c)
-                for i, t in zip(pdf["doc_id"], pdf["text"])
-                for n, c in enumerate(split_recursively(t or "", size) if recursive else pack_paragraphs(t or "", size, overlap))
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text"])
+            rows = [(i, n, *c) for i, t in zip(pdf["doc_id"], pdf["text"]) for n, c in enumerate(structured_chunks(t or "", size, overlap, recursive))]
+            yield pd.DataFrame(rows, columns=columns).astype({"loc": "Int32"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, chunk_index int, text string")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, chunk_index int, char_start int, char_end int, kind string, path string, loc_type string, loc int, loc_label string, text string")
 
 
 def plausible_heading(title: str) -> bool:
@@ -209,8 +262,6 @@ class _Markdown(HTMLParser):
 
 
 def html_to_markdown(html: str | None) -> str:
-    import re
-
     page = _Markdown()
     page.feed(html or "")
     page.close()

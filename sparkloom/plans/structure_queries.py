@@ -82,6 +82,14 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.text_chunks(docs(spark, sf_dir), 800, recursive=True)
 
 
+@query()
+def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as Markdown, every other one with marks of its slides, cut by location, block and size."""
+    pages = texts(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), S.markdown_of("html").alias("text"))
+    marked = F.concat(F.lit("<!-- loc type=slide slide=1 -->\n"), F.regexp_replace("text", "\n\n", "\n\n<!-- loc type=slide slide=2 -->\n\n"))
+    return S.markdown_chunks(pages.withColumn("text", F.when(F.col("doc_id") % 2 == 0, marked).otherwise(F.col("text"))))
+
+
 @query()
 def raptor_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of vectors within bounded files of fifty."""
