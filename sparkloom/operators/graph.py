@@ -6,6 +6,8 @@ stay short and a lost executor costs one round.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,6 +98,24 @@ def tree_paths(nodes: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     return whole
 
 
+def allowed_moves(moves: DataFrame, nodes: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
+    """(node, parent, allowed) of distinct ``moves(node, parent)`` in the tree ``nodes(node, parent)``: no folder goes into itself or below.
+
+    All moves walk up together from the new parent, a level a round.
+    """
+    up = nodes.where("parent IS NOT NULL").select(F.col("node").alias("at"), F.col("parent").alias("above"))
+    front = staged(moves.select("node", "parent").distinct().withColumn("at", F.col("parent")), "moves")
+    ended = []
+    for _ in range(depth):
+        ended.append(front.where(F.col("at") == F.col("node")).select("node", "parent", F.lit(False).alias("allowed")))
+        step = front.where(F.col("at") != F.col("node")).join(up, "at", "left")
+        ended.append(step.where("above IS NULL").select("node", "parent", F.lit(True).alias("allowed")))
+        front = staged(step.where("above IS NOT NULL").select("node", "parent", F.col("above").alias("at")), "moves")
+        if front.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, ended)
+
+
 def layout_lines(nodes: DataFrame) -> DataFrame:
     """(root, node, pos, line): each tree as a nested Markdown list, in the order of its paths; a tree is one workspace."""
     paths = tree_paths(nodes)

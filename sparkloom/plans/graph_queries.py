@@ -44,6 +44,14 @@ def tag_heatmap_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.matrix(kept, "tag", "file_id")
 
 
+@query(f"""WITH new AS (SELECT o_orderkey AS file_id FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 40), {TAGS}, k AS (SELECT ft.* FROM ft JOIN new USING (file_id))
+SELECT x.tag AS a, y.tag AS b, count(*) AS n FROM k x JOIN k y ON x.file_id = y.file_id AND x.tag < y.tag GROUP BY x.tag, y.tag""")
+def tag_graph_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags that stand together in the forty newest files."""
+    newest = table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(40).select(F.col("o_orderkey").alias("file_id"))
+    return G.co_occurrence(file_tags(spark, sf_dir).join(F.broadcast(newest), "file_id", "left_semi"), "tag", "file_id")  # 40 rows
+
+
 @query(f"""WITH {TAGS}, seeds AS (SELECT DISTINCT p_brand AS tag FROM part WHERE p_partkey <= 3),
 n AS (SELECT s.tag AS seed, o.tag AS tag, count(*) AS n FROM ft s JOIN ft o USING (file_id) WHERE s.tag IN (SELECT tag FROM seeds) AND s.tag <> o.tag GROUP BY s.tag, o.tag),
 m AS (SELECT tag, max(n) AS n FROM n GROUP BY tag HAVING max(n) >= 2)
@@ -106,6 +114,27 @@ def tree_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(d, "root", "left").na.fill(0, ["children"])
 
 
+MOVES = """m AS (SELECT 'n' || n_nationkey AS node, 'r' || (n_regionkey + 1) % 5 AS parent FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'r0', 'r0' UNION ALL SELECT 'c' || c_custkey, 'c' || (c_custkey + 1) FROM customer)"""
+
+
+@query(f"""WITH RECURSIVE {TREE}, {MOVES}, d AS (SELECT DISTINCT node, parent FROM m),
+u AS (SELECT node, parent, parent AS up FROM d UNION ALL SELECT u.node, u.parent, t.parent FROM u JOIN t ON t.node = u.up WHERE t.parent IS NOT NULL AND u.up <> u.node)
+SELECT node, parent, NOT bool_or(up = node) AS allowed FROM u GROUP BY node, parent""")
+def tree_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a folder may go below another, which must not lie within it."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    key = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    moves = (
+        n.select(key("n", F.col("n_nationkey")).alias("node"), key("r", (F.col("n_regionkey") + 1) % 5).alias("parent"))
+        .unionByName(c.where("c_custkey % 3 = 0").select(key("n", F.col("c_nationkey")).alias("node"), key("c", F.col("c_custkey")).alias("parent")))
+        .unionByName(n.select(key("r", F.col("n_regionkey")).alias("node"), key("n", F.col("n_nationkey")).alias("parent")))
+        .unionByName(spark.range(1).select(F.lit("r0").alias("node"), F.lit("r0").alias("parent")))
+        .unionByName(c.select(key("c", F.col("c_custkey")).alias("node"), key("c", F.col("c_custkey") + 1).alias("parent")))
+    )
+    return G.allowed_moves(moves, tree(spark, sf_dir).select("node", "parent"))
+
+
 @query(f"""WITH RECURSIVE {LINKS}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 w AS (SELECT 0::BIGINT AS node, 0 AS hops, [0::BIGINT] AS path UNION ALL SELECT u.dst, w.hops + 1, list_append(w.path, u.dst::BIGINT) FROM w JOIN u ON u.src = w.node WHERE w.hops < 4 AND NOT list_contains(w.path, u.dst::BIGINT)),
 b AS (SELECT node, hops, path FROM w QUALIFY row_number() OVER (PARTITION BY node ORDER BY hops, path) = 1)

@@ -236,3 +236,20 @@ def content_hash_and_tag_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = (F.length("text") - F.length(F.replace(F.lower("text"), F.lit("the"), F.lit("")))).cast("bigint")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(strip_space(F.col("text"))).alias("content_md5"), F.floor(n / 3).alias("occurrences"))
+
+
+@query("""WITH l AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN sha256('before ' || text) WHEN doc_id % 11 = 0 THEN NULL ELSE sha256(text) END AS link_hash FROM documents)
+SELECT d.doc_id, link_hash IS NULL AS unknown FROM documents d JOIN l USING (doc_id) WHERE link_hash IS DISTINCT FROM sha256(d.text)""")
+def stale_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links whose stored hash is not that of the text they lead to."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("now"), F.sha2(F.concat(F.lit("before "), "text"), 256).alias("old"))
+    stored = F.when(F.col("doc_id") % 7 == 0, F.col("old")).when(F.col("doc_id") % 11 != 0, F.col("now"))
+    return d.select("doc_id", "now", stored.alias("link_hash")).where(~F.col("link_hash").eqNullSafe(F.col("now"))).select("doc_id", F.col("link_hash").isNull().alias("unknown"))
+
+
+@query("""SELECT event_id, count(*) OVER () AS total FROM events WHERE event_type <> 'view' ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 20""")
+def activity_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of the newest activities, with how many there are in all."""
+    e = table(spark, sf_dir, "events").where("event_type <> 'view'")
+    total = F.broadcast(e.agg(F.count("*").alias("total")))  # one row
+    return R.page(e.select("event_id", "ts"), [F.desc("ts"), F.desc("event_id")], 2, 20).select("event_id").join(total)

@@ -166,10 +166,20 @@ def keyword_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", R.keyword_boost(F.col("text"), words).alias("boost"))
 
 
-@query("""SELECT page_id, CASE WHEN contains(lower(url), '.html') THEN 0.2 ELSE 0.0 END::DOUBLE AS boost, CASE WHEN url LIKE '%\\_source%' ESCAPE '\\' THEN 1 ELSE 0 END AS tagged FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 3 < 2 AND contains(lower(url), CASE page_id % 3 WHEN 0 THEN '.html' ELSE '/de/' END) THEN 0.2 ELSE 0.0 END::DOUBLE AS boost, CASE WHEN url LIKE '%\\_source%' ESCAPE '\\' THEN 1 ELSE 0 END AS tagged FROM pages""")
 def filename_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", R.filename_boost(F.lit(" .HTML "), F.col("url")).alias("boost"), F.col("url").like(T.unmatched_like("_source")).cast("int").alias("tagged"))
+    p, k = table(spark, sf_dir, "pages"), F.col("page_id") % 3
+    asked = F.when(k == 0, " .HTML ").when(k == 1, "/De/").otherwise("no such name")
+    return p.select("page_id", R.filename_boost(asked, F.col("url")).alias("boost"), F.col("url").like(T.unmatched_like("_source")).cast("int").alias("tagged"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 AND p_size % 3 = 0 THEN 0.15 WHEN p_partkey % 4 = 1 AND p_size % 3 = 1 THEN 0.15 WHEN p_partkey % 4 = 2 AND p_size % 3 = 2 THEN 0.15 ELSE 0.0 END::DOUBLE AS boost FROM part""")
+def modality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What hits of the kind that a question asks for gain."""
+    k, kind = F.col("p_partkey") % 4, F.col("p_size") % 3
+    asked = F.concat(F.lit("the "), F.when(k == 0, "Chart").when(k == 1, "spreadsheet").when(k == 2, "FORMULA").otherwise("charts"), F.lit(" of "), F.col("p_name"))
+    held = F.when(kind == 0, "figure").when(kind == 1, "table").otherwise("equation")
+    return table(spark, sf_dir, "part").select("p_partkey", R.modality_boost(asked, held).alias("boost"))
 
 
 @query(f"""WITH {FTS},
