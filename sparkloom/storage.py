@@ -76,16 +76,24 @@ def _clear_at_exit(spark: SparkSession, place: str) -> None:
         clear(spark)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage in a way that survives the loss of executors, and gives the
     planner the true size of what follows, so that small tables are broadcast only
-    when their files are below ``spark.sql.autoBroadcastJoinThreshold``.
+    when their files are below ``spark.sql.autoBroadcastJoinThreshold``. ``batch_rows``
+    bounds the rows of an Arrow batch in this write, and in no other.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        if batch_rows:
+            spark.conf.set(setting, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
