@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.storage import small_batches, staged
+from sparkloom.storage import TEXT_BATCH_ROWS, small_batches, staged
 
 WINDOW = 10
 #: Text bytes of the benchmark in one broadcast.
@@ -309,7 +309,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
         return docs
     if second is not None:
         scans = [_scan(docs, items, window).where(F.size("spans") > 0).select("doc_id", "text_hash") for items in chain([first, second], blocks)]
-        marked = staged(reduce(DataFrame.unionByName, scans).distinct(), "contaminated").toDF("_id", "_hash")
+        marked = staged(reduce(DataFrame.unionByName, scans).distinct(), "contaminated", TEXT_BATCH_ROWS).toDF("_id", "_hash")
         return docs.join(marked, docs["doc_id"].cast("bigint").eqNullSafe(marked["_id"]) & (F.xxhash64(docs["text"]) == marked["_hash"]), "left_anti")
     held = docs.sparkSession.sparkContext.broadcast(Searcher(first, window))
 

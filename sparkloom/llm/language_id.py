@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.columns import let
-from sparkloom.storage import small_batches, staged
+from sparkloom.storage import TEXT_BATCH_ROWS, small_batches, staged
 
 #: Documents of each language that the trigram table is fitted on, about.
 TRAIN_DOCS = 10_000
@@ -145,7 +145,7 @@ def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=[*(x for x in b.schema.names if x != "text"), "n", "logs"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text") + ", n bigint, logs array<double>"
-    scored = staged(slim.mapInArrow(likelihood, schema), "likelihood")
+    scored = staged(slim.mapInArrow(likelihood, schema), "likelihood", TEXT_BATCH_ROWS)
     k = len(languages)
     none = F.lit(float(np.log(NOISE)))  # the last of all logs stands for no language
     zeros = lambda last: F.concat(F.array_repeat(F.lit(0.0), k), F.array(last))

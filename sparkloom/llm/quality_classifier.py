@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.storage import small_batches, staged
+from sparkloom.storage import TEXT_BATCH_ROWS, small_batches, staged
 
 TRAIN_ROWS = 200_000
 TASKS = 16
@@ -173,7 +173,7 @@ def fit(known: DataFrame, features: int = 256, ridge: float = 1e-3, seed: int =
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
     spark = docs.sparkSession
-    stats = staged(text_statistics(docs), "statistics")
+    stats = staged(text_statistics(docs), "statistics", TEXT_BATCH_ROWS)
     marks = labels.where(labels["quality"].isNotNull()).groupBy(labels["doc_id"].cast("bigint").alias("doc_id")).agg(F.avg("quality").alias("y"))
     known = stats.where(remainder(F.col("doc_id")) != 1).join(marks, "doc_id")
     model = spark.sparkContext.broadcast(fit(known))

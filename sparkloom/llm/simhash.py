@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import connected_components
-from sparkloom.storage import small_batches, staged
+from sparkloom.storage import TEXT_BATCH_ROWS, small_batches, staged
 
 SEED = 42
 BITS = 64
@@ -269,7 +269,7 @@ def near_links(prints: DataFrame, budget: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, width: int, budget: int) -> DataFrame:
     """(doc_id, fp, root, component_id) of every row; root names the group."""
-    prints = staged(fingerprints(docs, width), "fingerprints")
+    prints = staged(fingerprints(docs, width), "fingerprints", TEXT_BATCH_ROWS)
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected_components(near_links(nodes.select("fp"), budget), "simhash-links").withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")

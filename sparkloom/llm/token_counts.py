@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.storage import small_batches, staged
+from sparkloom.storage import TEXT_BATCH_ROWS, small_batches, staged
 
 #: Entries of the broadcast dictionary, and the longest pre-token that stands in it itself.
 HEAD, HEAD_BYTES = 1 << 17, 64
@@ -154,7 +154,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, head: int
     sized = slim.select("doc_id", "text", F.octet_length("text").cast("bigint").alias("n_bytes"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     by_row = sized.mapInArrow(sums, f"doc_id {id_type}, n_bytes bigint, head_tokens bigint, rest array<struct<pre:string,times:bigint>>")
-    by_row = staged(by_row.withColumn("row", F.monotonically_increasing_id()), "frequencies")
+    by_row = staged(by_row.withColumn("row", F.monotonically_increasing_id()), "frequencies", TEXT_BATCH_ROWS)
     rare = by_row.select("row", F.explode("rest").alias("r")).select("row", "r.pre", "r.times")
     pieces = staged(counted(rare.select("pre").distinct(), vocabulary), "pieces")
     tail = rare.join(pieces, "pre").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("tail_tokens"))
