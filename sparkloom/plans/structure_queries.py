@@ -97,6 +97,14 @@ def raptor_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cluster_nodes(e.select(F.floor(F.col("vec_id") / 50).alias("file_id"), F.col("vec_id").alias("node_id"), "embedding"), 0.25)
 
 
+@query()
+def summary_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of summaries over bounded files of fifty vectors, whose texts are the documents of the same number."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    nodes = e.join(d, "vec_id", "left").select(F.floor(F.col("vec_id") / 50).alias("file_id"), F.col("vec_id").alias("node_id"), "embedding", F.coalesce("text", F.lit("")).alias("text"))
+    return S.summary_tree(nodes, 0.25)
+
+
 @query("""WITH s AS (SELECT l_suppkey AS k, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) AS a, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) + l_quantity::INT AS b, l_orderkey, l_linenumber FROM lineitem),
 n AS (SELECT *, a > coalesce(max(b) OVER (PARTITION BY k ORDER BY a, b, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh FROM s),
 g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY k ORDER BY a, b, l_orderkey, l_linenumber) AS island FROM n)
