@@ -41,6 +41,8 @@ BITS = 64
 NODE_ROWS = 1 << 14
 #: Bits that are left in a node that isn't cut any more: it has 2^20 distinct fingerprints at most.
 FREE_BITS = 20
+#: A fingerprint of more than one row in so many is joined by broadcast.
+HOT_PARTS = 1000
 #: Node pairs that are walked at once in a task.
 FRONTIER = 1 << 20
 #: Ranges whose product of sizes is at most this are compared member by member.
@@ -270,12 +272,16 @@ def near_links(prints: DataFrame, budget: int) -> DataFrame:
 def _grouped(docs: DataFrame, width: int, budget: int) -> DataFrame:
     """(doc_id, fp, root, component_id) of every row; root names the group."""
     prints = staged(fingerprints(docs, width), "fingerprints", TEXT_BATCH_ROWS)
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = connected_components(near_links(nodes.select("fp"), budget), "simhash-links").withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    rooted = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = staged(rooted.join(named, "root").select("fp", "root", "component_id"), "components")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "root", "component_id")
+    by_print = staged(rooted.join(named, "root").select("fp", "root", "component_id", "n"), "components")
+    # fingerprints that more than one row in HOT_PARTS has are fewer than that; their rows stay where they are
+    total = prints.count()
+    hot = F.broadcast(staged(by_print.where(F.col("n") * HOT_PARTS > total), "hot-components"))
+    few = prints.join(hot.select("fp"), "fp", "left_anti").join(by_print, "fp")
+    return prints.join(hot, "fp").unionByName(few).select("doc_id", "fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:

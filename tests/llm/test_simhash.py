@@ -90,7 +90,7 @@ def test_table(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcde") for _ in range(4))
     texts = [" ".join(word() for _ in range(rng.randrange(0, 400))) for _ in range(60)]
-    texts += [t + " end" for t in texts[:30]] + texts[30:40] + [None, "", " "]
+    texts += ["copies of one text are many"] * 40 + [t + " end" for t in texts[:30]] + texts[30:40] + [None, "", " "]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, fp string, root int")
     want = plain_components(list(range(len(texts))), [plain_fingerprint(t) for t in texts])
     assert {r.doc_id: r.component_id for r in simhash_components(df).collect()} == want
