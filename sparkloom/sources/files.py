@@ -75,19 +75,37 @@ def pptx_text(content: bytes) -> str:
     return "\n\n".join(out)
 
 
+def _column(reference: str, default: int) -> int:
+    """The column of a cell like ``AB12``, counted from 0."""
+    n = 0
+    for c in reference:
+        if not c.isalpha():
+            break
+        n = 26 * n + ord(c.upper()) - 64
+    return n - 1 if n else default
+
+
 def xlsx_text(content: bytes, rows: int = MOST_ROWS, columns: int = MOST_COLUMNS) -> str:
-    """A mark for each sheet, and its rows with cells joined by bars; a note where a sheet was cut."""
+    """A mark for each sheet, and its rows with cells, at their columns, joined by bars; a note where rows or columns were cut."""
     shared = [_text(si) for _, root in _parts(content, "xl/sharedStrings") for si in root if _local(si.tag) == "si"]
     out = []
     for k, (_, root) in enumerate(_parts(content, "xl/worksheets/sheet"), 1):
         out.append(f"<!-- sheet {k} -->")
         found = [r for r in root.iter() if _local(r.tag) == "row"]
+        wide = 0
         for r in found[:rows]:
-            cells = [c for c in r if _local(c.tag) == "c"][:columns]
-            values = [_text(c, "v") or _text(c) for c in cells]
-            out.append(" | ".join(shared[int(v)] if c.get("t") == "s" and v.isdigit() else v for c, v in zip(cells, values)))
+            line: list[str] = []
+            for c in (c for c in r if _local(c.tag) == "c"):
+                v = _text(c, "v") or _text(c)
+                at = _column(c.get("r") or "", len(line))
+                wide = max(wide, at + 1)
+                if at < columns:
+                    line += [""] * (at - len(line)) + [shared[int(v)] if c.get("t") == "s" and v.isdigit() else v]
+            out.append(" | ".join(line))
         if len(found) > rows:
             out.append("...(truncated)")
+        if wide > columns:
+            out.append("...(columns truncated)")
     return "\n".join(out)
 
 
@@ -135,6 +153,28 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     return files.select(concept.alias("concept"), meta.alias("meta"), body.alias("body"))
 
 
+def read_zipped_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """(bundle, concept, meta, body) of the Markdown files in zip archives; members that lead out of an archive are left out, and broken archives have none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for bundle, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                        for name in z.namelist():
+                            if name.endswith(".md") and not name.startswith("/") and ".." not in name.split("/") and "\\" not in name:
+                                rows.append((bundle, name.removesuffix(".md"), z.read(name).decode("utf-8", "replace").replace("\x00", "")))
+                except zipfile.BadZipFile:
+                    continue
+            yield pd.DataFrame(rows, columns=["bundle", "concept", "text"])
+
+    found = files.select("path", "content").mapInPandas(run, "bundle string, concept string, text string")
+    meta, body = front_matter(F.col("text"))
+    return found.select("bundle", "concept", meta.alias("meta"), body.alias("body"))
+
+
 def resolve_link(base: str, target: str) -> str:
     """The concept that a relative or absolute link of a bundle means, seen from ``base``."""
     parts = [] if target.startswith("/") else base.split("/")[:-1]

@@ -5,7 +5,7 @@ from email.message import EmailMessage
 
 from pyspark.sql import functions as F
 
-from sparkloom.sources.files import kind_of, needs_extract, read_bundle, read_files, resolve_link
+from sparkloom.sources.files import kind_of, needs_extract, read_bundle, read_files, read_zipped_bundle, resolve_link, xlsx_text
 from sparkloom.sources.sinks import export_bundle, export_tsv, replace_by_key
 
 
@@ -59,3 +59,26 @@ def test_sinks(spark, tmp_path):
     assert sorted((r.file_id, r.text) for r in spark.read.parquet(path).collect()) == [(1, "z"), (2, "c"), (3, "d")]
     export_tsv(spark.createDataFrame([(1, "a\tb"), (2, None), (3, "c\\\n")], "i int, t string"), str(tmp_path / "tsv"), [F.desc("i")], 2)
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "tsv")).collect()) == ["2\t", "3\tc\\\\\\n"]
+
+
+def test_sparse_and_wide_sheets():
+    import io
+
+    cell = lambda r, v: f'<c r="{r}"><v>{v}</v></c>'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<s><row>{cell('A1', 1)}{cell('C1', 3)}</row><row>{cell('B2', 2)}{cell('AA2', 27)}</row></s>")
+    assert xlsx_text(data.getvalue()) == "<!-- sheet 1 -->\n1 |  | 3\n | 2" + " | " * 24 + " | 27"
+    assert xlsx_text(data.getvalue(), columns=3) == "<!-- sheet 1 -->\n1 |  | 3\n | 2\n...(columns truncated)"
+    assert xlsx_text(data.getvalue(), rows=1, columns=30) == "<!-- sheet 1 -->\n1 |  | 3\n...(truncated)"
+
+
+def test_zipped_bundles(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("t/o.md", "---\ntitle: O\n---\nBody")
+        z.writestr("../evil.md", "x")
+        z.writestr("/abs.md", "x")
+        z.writestr("n.txt", "x")
+    (tmp_path / "broken.zip").write_bytes(b"no zip")
+    got = read_zipped_bundle(spark, str(tmp_path)).collect()
+    assert [(r.concept, r.meta, r.body) for r in got] == [("t/o", {"title": "O"}, "Body")]
