@@ -22,6 +22,9 @@ FILE_BUCKETS = {
     "image": ["png", "jpg", "jpeg", "gif", "webp"],
     "mail": ["eml"],
 }
+#: Full-width forms by their rule: each lies 0xFEE0 above its plain character; the wide blank is on its own.
+FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+PLAIN_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + " "
 
 
 def terms(text: Column) -> Column:
@@ -47,8 +50,9 @@ def jaccard_tokens(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Lower case; white space and underscores become hyphens; other marks go; capped."""
-    dashed = F.regexp_replace(F.lower(F.trim(text)), r"[\s_]+", "-")
+    """Full-width forms become plain ones; lower case; white space and underscores become hyphens; other marks go; capped."""
+    plain = F.translate(text, FULL_WIDTH, PLAIN_WIDTH)
+    dashed = F.regexp_replace(F.lower(F.trim(plain)), r"[\s_]+", "-")
     kept = F.regexp_replace(dashed, r"[^\p{L}\p{N}-]", "")
     return F.substring(F.regexp_replace(F.regexp_replace(kept, "-{2,}", "-"), "^-|-$", ""), 1, SLUG_CAP)
 
