@@ -97,7 +97,7 @@ def processing_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FILES}, q AS (SELECT n_nationkey AS query_id, 'of ' || n_nationkey AS text FROM nation),
 m AS (SELECT query_id, file_id, stage, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, file_id DESC) AS n FROM s JOIN q ON contains(lower(name), text) WHERE NOT is_final)
-SELECT query_id, file_id, 0.05 AS score, stage FROM m WHERE n <= 8 AND file_id % 9 <> 0""")
+SELECT query_id, file_id, 0.05::DOUBLE AS score, stage FROM m WHERE n <= 8 AND file_id % 9 <> 0""")
 def processing_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are named like a query and not ready yet."""
     files = staged_files(spark, sf_dir)
@@ -158,7 +158,7 @@ def pipeline_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.stage_timeline(jobs, logs)
 
 
-@query("""WITH t AS (SELECT o_custkey AS file_id, year(o_orderdate) AS job_id, o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END AS finished_at, o_orderdate AS created_at FROM orders WHERE o_orderstatus IN ('F', 'O'))
+@query("""WITH t AS (SELECT o_custkey AS file_id, year(o_orderdate)::INT AS job_id, o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END AS finished_at, o_orderdate AS created_at FROM orders WHERE o_orderstatus IN ('F', 'O'))
 SELECT file_id, job_id, id FROM t QUALIFY row_number() OVER (PARTITION BY file_id, job_id ORDER BY finished_at IS NOT NULL DESC, finished_at DESC NULLS LAST, created_at DESC, id DESC) = 1""")
 def trace_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")

@@ -57,7 +57,7 @@ def wiki_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT l_suppkey AS q, l_orderkey AS file, l_orderkey * 10 + l_linenumber AS chunk, l_partkey % 5 AS entity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS n FROM lineitem),
 s AS (SELECT * FROM c WHERE n <= 3), e AS (SELECT DISTINCT s.q, c.entity FROM s JOIN c ON c.file = s.file AND c.chunk = s.chunk), x AS (SELECT DISTINCT s.q, c.chunk FROM s JOIN c ON c.file = s.file JOIN e ON e.q = s.q AND e.entity = c.entity WHERE (s.q, c.chunk) NOT IN (SELECT (q, chunk) FROM s))
-SELECT q AS query_id, chunk AS chunk_id, 0.405 AS score FROM x QUALIFY row_number() OVER (PARTITION BY q ORDER BY chunk) <= 8""")
+SELECT q AS query_id, chunk AS chunk_id, 0.405::DOUBLE AS score FROM x QUALIFY row_number() OVER (PARTITION BY q ORDER BY chunk) <= 8""")
 def entity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the hits' files that name what the hits name."""
     li = table(spark, sf_dir, "lineitem")
@@ -109,7 +109,7 @@ def cache_put_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT doc_id, r, e, a, x, r + e + a + x AS t0 FROM s), t1 AS (SELECT *, t0 > 1200 AS c0, CASE WHEN t0 > 1200 THEN t0 - r + {len(V.CUT)} ELSE t0 END AS n1 FROM t),
 t2 AS (SELECT *, n1 > 1200 AS c1, CASE WHEN n1 > 1200 THEN n1 - e + {len(V.CUT)} ELSE n1 END AS n2 FROM t1), t3 AS (SELECT *, n2 > 1200 AS c2, CASE WHEN n2 > 1200 THEN n2 - a + {len(V.CUT)} ELSE n2 END AS n3 FROM t2),
 t4 AS (SELECT *, n3 > 1200 AS c3, CASE WHEN n3 > 1200 THEN n3 - x + {len(V.CUT)} ELSE n3 END AS n4 FROM t3)
-SELECT doc_id AS key, n4 AS n_bytes, concat_ws(',', CASE WHEN c0 THEN 'retrieval' END, CASE WHEN c1 THEN 'evidence' END, CASE WHEN c2 THEN 'answer' END, CASE WHEN c3 THEN 'extraction' END) AS cut, NOT (c0 OR c1 OR c2 OR c3) AS whole FROM t4""")
+SELECT doc_id AS key, n4::INT AS n_bytes, concat_ws(',', CASE WHEN c0 THEN 'retrieval' END, CASE WHEN c1 THEN 'evidence' END, CASE WHEN c2 THEN 'answer' END, CASE WHEN c3 THEN 'extraction' END) AS cut, NOT (c0 OR c1 OR c2 OR c3) AS whole FROM t4""")
 def bounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of four sections within 1 200 bytes."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
