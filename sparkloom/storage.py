@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of whole texts that are Python objects at once: bounds a worker's memory.
@@ -54,26 +52,26 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+def _folder(spark: SparkSession, place: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def run_dir(spark: SparkSession) -> str:
-    """The folder of this application's intermediate tables; it goes when the driver ends, or with ``clear``."""
+    """The folder of this application's intermediate tables; it goes when the driver's JVM ends, or with ``clear``."""
     place = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
     if place not in _RUNS:
         _RUNS.add(place)
-        atexit.register(_clear_at_exit, spark, place)
+        files, path = _folder(spark, place)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
     return place
 
 
 def clear(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application; results that read them must have been used."""
-    place = run_dir(spark)
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _clear_at_exit(spark: SparkSession, place: str) -> None:
-    context = SparkContext._active_spark_context
-    if context is not None and place.endswith(context.applicationId):
-        clear(spark)
+    files, path = _folder(spark, run_dir(spark))
+    files.delete(path, True)
 
 
 def staged(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
