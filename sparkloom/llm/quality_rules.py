@@ -31,11 +31,11 @@ PUNCTUATION = r"([#*$%&]{2,}[^#*$%&]*){3}|(!!.*){2}"
 #: A line of menu entries: separators between short labels, or a trail of links.
 NAVIGATION = r"(?i)(\|[^|]*){3}|( [>»] [^>»]*){2}|^ *(home|menu|login|sign in|sign up|next|previous|back to top|skip to content)[ .!|]*$"
 #: Phrases that sites repeat under every text.
-BOILERPLATE = r"(?i)all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|enable javascript|subscribe to our|lorem ipsum|click here|alle rechte vorbehalten|tous droits r.serv.s|todos los derechos reservados"
+BOILERPLATE = r"(?i)all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|enable javascript|subscribe to our|lorem ipsum|click here|follow us on|share this (article|page|post)|leave a (comment|reply)|terms and conditions|powered by wordpress|javascript is (disabled|required)|sign up for our newsletter|licensed under the|this work is licensed|alle rechte vorbehalten|tous droits r.serv.s|todos los derechos reservados"
 #: Strings of which a text has one if a line of it can match; phrases in lower case.
 PUNCTUATION_HINTS = ("##", "**", "$$", "%%", "&&", "#*", "*#", "!!", "#$", "$#", "#%", "%#", "#&", "&#", "*$", "$*", "*%", "%*", "*&", "&*", "$%", "%$", "$&", "&$", "%&", "&%")
 NAVIGATION_HINTS = ("|", " > ", " » ", "home", "menu", "login", "sign in", "sign up", "next", "previous", "back to top", "skip to content")
-BOILERPLATE_HINTS = ("all rights reserved", "terms of ", "privacy policy", "cookie ", "enable javascript", "subscribe to our", "lorem ipsum", "click here", "alle rechte vorbehalten", "tous droits r", "todos los derechos reservados")
+BOILERPLATE_HINTS = ("all rights reserved", "terms of ", "privacy policy", "cookie ", "enable javascript", "subscribe to our", "lorem ipsum", "click here", "follow us on", "share this ", "leave a ", "terms and conditions", "powered by wordpress", "javascript is ", "sign up for our newsletter", "licensed under the", "this work is licensed", "alle rechte vorbehalten", "tous droits r", "todos los derechos reservados")
 
 
 @dataclass(frozen=True)

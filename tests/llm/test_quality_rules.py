@@ -52,3 +52,15 @@ def test_empty_table_clashing_columns_and_repeated_rows(spark):
     out = judge_lines(df)
     assert out.columns == ["doc_id", "text", "quality", "words", "h", "row", "quality_"]
     assert [r.quality_.n_words for r in out.orderBy("doc_id").collect()] == [0, 2, 2]
+
+
+def test_hints_spare_no_line_that_a_pattern_matches(spark):
+    """A pattern's line is found whatever stands around it: each phrase has a hint."""
+    plain = "This is a plain sentence with enough words to be kept by the base rule of course, and then some more of them."
+    phrases = [
+        "All Rights Reserved", "terms of use", "terms of service", "PRIVACY policy", "cookie settings", "please enable JavaScript", "subscribe to our list", "Lorem ipsum", "click here", "Follow us on x", "share this article", "share this post",
+        "leave a comment", "Leave a Reply", "terms and conditions", "powered by WordPress", "JavaScript is disabled", "javascript is required", "sign up for our newsletter", "Licensed under the Apache License", "This work is licensed to all",
+        "Alle Rechte vorbehalten", "Tous droits réservés", "Todos los derechos reservados",
+    ]
+    df = spark.createDataFrame([(i, f"{plain}\n{p}.\n{plain} Again.") for i, p in enumerate(phrases)], "doc_id long, text string")
+    assert {r.doc_id: r.boilerplate_lines for r in quality_rules(df).collect()} == {i: 1 for i in range(len(phrases))}
