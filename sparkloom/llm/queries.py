@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bin_packing, chat_template, decontaminate, language_id, mixing, quality_classifier, quality_rules, simhash, token_counts, url_filter
+from sparkloom.llm import bin_packing, chat_template, decontaminate, exact_dedup, filter_audit, language_id, lexical_search, mixing, quality_classifier, quality_rules, simhash, token_counts, url_filter
 from sparkloom.storage import table, texts
 
 
@@ -54,6 +54,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.shard_slots(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(texts(spark, sf_dir), largest=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_dedup": op13_exact_dedup,
     "pipeline": pipeline,
 }
 
@@ -78,4 +93,7 @@ ORACLE: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
+    "op13_exact_dedup": exact_dedup.ORACLE,
 }
