@@ -50,6 +50,14 @@ def test_renamed_slug(spark):
     ("What is between  Ann Lee and Bob were they?", ["Ann Lee", "Bob"]),
     ("Ann, Bob and Cid coworkers?", ["Ann", "Bob", "Cid"]),
     ("张三和李四是不是同事？", ["张三", "李四"]),
+    ("Between Tom and Isabel Island?", ["Tom", "Isabel"]),
+    ("Ann and Bob worked together in 1999", ["Ann", "Bob"]),
+    ("张三、李四与王五有什么关系", ["张三", "李四", "王五"]),
+    ("张三和李四在2019年合作过吗", ["张三", "李四"]),
+    ("Alice和张三什么关系", ["Alice", "张三"]),
+    ("张三是谁？", ["张三是谁"]), ("什么关系", []),
+    ("x " * 40 + "and Bob were here", [("x " * 40).strip(), "Bob"]),
+    ("a, b, c, d, e, f, g, h, i related", ["a", "b , c , d , e , f , g , h , i related"]),
     ("Ann", []), ("", []), (None, []),
 ])
 def test_anchors(spark, question, want):
