@@ -1,6 +1,7 @@
 """Edge cases of the quality rules; the SQL check covers whole tables."""
 
 import re
+import time
 
 from sparkloom.llm.quality_rules import judge_lines, quality_rules
 
@@ -64,3 +65,39 @@ def test_hints_spare_no_line_that_a_pattern_matches(spark):
     ]
     df = spark.createDataFrame([(i, f"{plain}\n{p}.\n{plain} Again.") for i, p in enumerate(phrases)], "doc_id long, text string")
     assert {r.doc_id: r.boilerplate_lines for r in quality_rules(df).collect()} == {i: 1 for i in range(len(phrases))}
+
+
+def seconds(df):
+    best = 1e9
+    for _ in range(3):
+        began = time.time()
+        df.collect()
+        best = min(best, time.time() - began)
+    return best
+
+
+def test_a_filter_on_the_result_costs_no_more_than_a_second_pass(spark):
+    """The optimizer pushes the filter below the projection; arrays are bound once, so that costs one more evaluation."""
+    text = " ".join(f"w{i % 7919}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    plain = seconds(quality_rules(df))
+    for condition in ("kept", "NOT base_failed", "n_repeat_words = 0 AND n_dup_lines = 0"):
+        assert seconds(quality_rules(df).where(condition)) <= 2 * plain + 1
+
+
+def test_a_phrase_costs_a_long_line_its_sentence_only(spark):
+    sentence = lambda i: " ".join(f"w{i}x{k}" for k in range(9)) + "."
+    long = " ".join(map(sentence, range(40)))
+    rows = [(1, long), (2, long + " He read the privacy policy twice."), (3, long + " | Home | News | Sport"), (4, long.replace(". ", " of the privacy policy. "))]
+    got = {r.doc_id: r.quality for r in judge_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].kept for i in (1, 2, 3, 4)] == [True, True, True, False]
+    assert got[2].clean_text == long and got[2].boilerplate_lines == 1 and got[3].navigation_lines == 1 and got[4].clean_text == sentence(39)
+
+
+def test_share_and_ending(spark):
+    prose = "The table a | b | c | d shows what was measured in all the years before the war and after it came to its end."
+    body = "This is a plain sentence with enough words to be kept by the base rule of course.\n"
+    rows = [(1, body * 1 + prose), (2, body + "Just a title\n" + "A longer line without a mark at its end stays\n" + "Done.\n"), (3, body + "word\n" * 60)]
+    got = {r.doc_id: r.quality for r in judge_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].navigation_lines == 0 and got[2].short_lines == 1 and "title" not in got[2].clean_text and "stays\nDone." in got[2].clean_text
+    assert got[3].short_lines == 60 and not got[3].kept
