@@ -70,7 +70,7 @@ def test_a_third_of_all_rows_alike(spark):
 def test_weak_terms_are_pruned_and_results_stay(spark):
     """A term that nearly all documents have makes no candidates beside rare ones that k documents have."""
     rng = random.Random(3)
-    docs = [(i, " ".join(["the", f"x{i % 9}", *(f"y{rng.randrange(30)}" for _ in range(9))])) for i in range(600)]
+    docs = [(i, " ".join(["the" if i % 6 else "this", f"x{i % 9}", *(f"y{rng.randrange(30)}" for _ in range(9))])) for i in range(600)]
     items = [(0, "the x3 y1"), (1, "the")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     block = Block([t for _, t in items])
@@ -80,7 +80,7 @@ def test_weak_terms_are_pruned_and_results_stay(spark):
     df, largest, kth = term_statistics(postings, found, len(block.vocabulary), 20)
     plan = Plan(block, found, df, largest, kth)
     the = block.vocabulary[b"the"]
-    assert df[the] == 600 and plan.pruned >= 1 and plan.candidates[plan.at[the] : plan.at[the] + plan.n_items[the]].tolist() == [1]
+    assert df[the] == 500 and plan.pruned >= 1 and plan.candidates[plan.at[the] : plan.at[the] + plan.n_items[the]].tolist() == [1]
     assert rows(search(spark, docs, items)) == brute(docs, items, 20)
     for t, k in block.vocabulary.items():
         each = sorted((int(found.impacts(np.array([c[t.decode()]]), np.array([c.total()]))[0]) for c in (Counter(words(x)) for _, x in docs) if c[t.decode()]), reverse=True)
