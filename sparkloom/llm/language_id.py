@@ -17,10 +17,13 @@ and to ``NOISE`` * P(text | equally likely trigrams)^t for no language at all.
   posteriors of all documents; sums are combined on the map side, so a host with a third
   of all rows is a row per task before the shuffle.
 
-Every declared code of two or three letters (what follows, as in ``en-GB``, is left out) with
-a letter in its texts is a language; other values declare nothing. The model has ``SLOTS``
-numbers for each (64 KB in a worker), and each row a posterior of that many numbers. A
-declaration helps to fit the table and is evidence too, but its weight as evidence is the
+A declared code of two or three letters (what follows, as in ``en-GB``, is left out) is a
+language if at least ``LEAST_DOCS`` texts with letters declare it and the sample of them has
+``LEAST_TRIGRAMS`` trigrams; other values declare nothing, so a stray or invented code changes no result. The
+model has ``SLOTS`` numbers for each language (64 KB in a worker) and each row a posterior of as
+many numbers as there are languages: at most ``MOST_LANGUAGES``, those with most texts. The
+smoothing of a language with little text is scaled down with it: what it has not seen stays less
+likely in it than in no language, so it can't take in noise. A declaration helps to fit the table and is evidence too, but its weight as evidence is the
 agreement of all texts that make it, so a wrong one yields to a clear text.
 
 A document is rejected when it has no letters to go by or no language reaches ``least``: two
@@ -46,6 +49,10 @@ from sparkloom.storage import TEXT_BATCH_ROWS, small_batches, staged
 
 #: Documents of each language that the trigram table is fitted on, about.
 TRAIN_DOCS = 10_000
+#: What a declared code needs to be a language, and how many languages a worker holds: 64 MB.
+LEAST_DOCS, LEAST_TRIGRAMS, MOST_LANGUAGES = 5, 200, 1024
+#: Trigrams from which on a language is smoothed in full, by half a trigram a slot.
+SMOOTH_TRIGRAMS = 50_000
 SLOTS = 1 << 14
 FULL, TEMPER = 300, 0.2
 KAPPA = 20.0
@@ -65,8 +72,10 @@ def trigrams(text: str | None) -> np.ndarray:
 
 def text_model(df: DataFrame, text: str, label: str) -> tuple[list[str], np.ndarray]:
     """The languages, and the log-likelihood of each slot in each of them."""
-    shown = df.where(f"{label} <> ''")
-    sizes = {r[0]: r.n for r in shown.groupBy(label).agg(F.count("*").alias("n")).toLocalIterator()}
+    lettered = F.col(text).rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")
+    shown = df.where((F.col(label) != "") & lettered)
+    counts = shown.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    sizes = {r[0]: r.n for r in counts.orderBy(F.desc("n"), label).limit(MOST_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((0, SLOTS), np.float32)
@@ -82,14 +91,15 @@ def text_model(df: DataFrame, text: str, label: str) -> tuple[list[str], np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
 
     cells = sample.select(text, "k").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = np.full((len(languages), SLOTS), 0.5, np.float32)
-    seen = np.zeros(len(languages), bool)
+    table = np.zeros((len(languages), SLOTS), np.float32)
     for r in cells.toLocalIterator():  # SLOTS rows a language at most
         table.reshape(-1)[r.cell] += r.n
-        seen[r.cell // SLOTS] = True
-    table = table[seen]
+    total = table.sum(axis=1, dtype=np.float64)
+    known = total >= LEAST_TRIGRAMS
+    table, total = table[known], total[known][:, None]
+    table += (0.5 * np.minimum(1.0, total / SMOOTH_TRIGRAMS)).astype(np.float32)
     table /= table.sum(axis=1, keepdims=True, dtype=np.float64).astype(np.float32)
-    return [l for l, s in zip(languages, seen) if s], np.log(table, out=table)
+    return [l for l, k in zip(languages, known) if k], np.log(table, out=table)
 
 
 def _softmax(logs: Column) -> Column:
@@ -127,6 +137,7 @@ def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys:
     if not languages:
         none = F.lit(None).cast("string")
         return slim.select(*names, none.alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), none.alias("text_language"))
+    slim = slim.withColumn("declared", F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(""))
     held, at = spark.sparkContext.broadcast(table.T.copy()), slim.columns.index("text")
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,11 +48,11 @@ def test_cases(spark):
     assert document_languages(empty).count() == 0 and keep_identified(empty).count() == 0
     rng = random.Random(7)
     good = say("en", 30, rng)
-    rows = [(1, good, "en", "s", 1, 1, "h")] * 2 + [(2, None, None, None, None, None, None), (2, good, "en", None, 1, 1, "h"), (None, "", "en", "s", 1, 1, "h"), (None, say("en", 99_000, rng), "en", "s", 1, 1, "h")]
+    rows = [(1, good, "en", "s", 1, 1, "h")] * 2 + [(2, None, None, None, None, None, None), (2, good, "en", None, 1, 1, "h"), (None, "", "en", "s", 1, 1, "h"), (None, say("en", 99_000, rng), "en", "s", 1, 1, "h"), (3, say("en", 9, rng), "en", "s", 1, 1, "h")]
     df = spark.createDataFrame(rows, schema)
-    assert document_languages(df).count() == 6
+    assert document_languages(df).count() == 7
     kept = keep_identified(df)
-    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2]
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2, 3]
     undeclared = spark.createDataFrame([(1, good, None, "s")], "doc_id long, text string, lang string, source string")
     assert [r.accepted for r in document_languages(undeclared).collect()] == [False]
 
@@ -78,8 +78,11 @@ def by_hand(rows):
     for i in slots:
         if code[i] and slots[i]:
             counts[code[i]].update(slots[i])
-    names = sorted(counts)
-    chance = {l: lambda s, l=l, n=sum(counts[l].values()) + k / 2: (counts[l][s] + 0.5) / n for l in names}
+    texts = Counter(code[i] for i in slots if code[i] and slots[i])
+    names = sorted(l for l in counts if texts[l] >= language_id.LEAST_DOCS and counts[l].total() >= language_id.LEAST_TRIGRAMS)
+    code = {i: c if c in names else "" for i, c in code.items()}
+    extra = {l: 0.5 * min(1, counts[l].total() / language_id.SMOOTH_TRIGRAMS) for l in names}
+    chance = {l: lambda s, l=l, n=counts[l].total() + k * extra[l]: (counts[l][s] + extra[l]) / n for l in names}
     host = {i: (h or "").lower() for i, _, _, h in rows}
     suffix = {i: (m[1] if (m := re.search(r"\.([^.:]+)(:\d+)?$", h)) else "") for i, h in host.items()}
     text, share = {}, {}
@@ -129,3 +132,33 @@ def test_pages_equal_the_posterior_by_hand(spark):
         assert got[i].language == language and abs(got[i].confidence - p) < 2e-5, i
     assert not got[901].accepted and sum(r.accepted for r in got.values()) > 80
     assert {l for l, _ in want.values()} == {"en", "de", "fr"}
+
+
+def noise(rng, n):
+    return " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def test_stray_declarations_take_in_no_noise(spark):
+    """Noise is rejected whether or not a text or a few declare a language that hardly any text is in."""
+    rng = random.Random(13)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    junk = [(10_000 + i, noise(rng, 40), None, "s") for i in range(60)]
+    stray = [(20_000, "ok", "zz", "s")]
+    thin = [(20_001 + i, say("de", 25, rng), "zy", "s") for i in range(6)]
+    for more in ([], stray, stray + thin):
+        df = docs.unionByName(spark.createDataFrame(junk + more, docs.schema))
+        got = {r.doc_id: r for r in document_languages(df).collect()}
+        assert not any(got[i].accepted for i, *_ in junk)
+        assert sum(r.accepted for i, r in got.items() if i < 10_000) >= docs.count() - 1 and all(r.language != "zz" for r in got.values())
+        kept = {r.doc_id for r in keep_identified(df).select("doc_id").collect()}
+        assert not kept & {i for i, *_ in junk} and len(kept) >= docs.count() - 1
+
+
+def test_thousands_of_codes_make_no_larger_model(spark):
+    rng = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, say(l, 40, rng), l, "s") for i, l in enumerate(["en", "de", "fr"] * 20)]
+    rows += [(1000 + i, "ok then", f"{a}{b}{c}", "s") for i, (a, b, c) in enumerate((a, b, c) for a in letters for b in letters for c in letters[:20])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    languages, table = language_id.text_model(df, "text", "lang")
+    assert languages == ["de", "en", "fr"] and table.shape == (3, language_id.SLOTS)
