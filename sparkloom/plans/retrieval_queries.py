@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import structure as S
+from sparkloom.operators.inverted_index import TextIndex
 from sparkloom.plans.registry import query
 from sparkloom.plans.search import SearchOptions, search
-from sparkloom.storage import table, texts
+from sparkloom.storage import new_folder, table, texts
 
 QT = r"""qt AS (SELECT query_id, w FROM (SELECT item_id AS query_id, w, min(i) AS i FROM (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
   SELECT item_id, regexp_extract_all(lower(text), '[一-鿿]{2,}|[a-z0-9_]{2,}') AS ws FROM benchmark)) GROUP BY item_id, w)
@@ -59,6 +60,31 @@ def fts_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.text_candidates(doc_terms(spark, sf_dir), item_terms(spark, sf_dir), 20, every=True)
 
 
+@query(f"WITH {FTS} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM fts QUALIFY rank <= 20")
+def fts_index_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``fts_or_topk`` finds, from an inverted index of all documents."""
+    return TextIndex.build(doc_terms(spark, sf_dir), new_folder(spark, "text-index")).search(item_terms(spark, sf_dir), 20)
+
+
+@query(f"WITH {FTS}, {COVERS} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM cd QUALIFY rank <= 20")
+def fts_index_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``fts_and_topk`` finds, from an inverted index of all documents."""
+    return TextIndex.build(doc_terms(spark, sf_dir), new_folder(spark, "text-index")).search(item_terms(spark, sf_dir), 20, every=True)
+
+
+#: All French documents say everything twice, and the Spanish ones are gone.
+CHANGED = FTS.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' ' || text ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'es')")
+
+
+@query(f"WITH {CHANGED} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM fts QUALIFY rank <= 20")
+def fts_index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents after some were changed and some removed in the index."""
+    docs = table(spark, sf_dir, "documents")
+    index = TextIndex.build(doc_terms(spark, sf_dir), new_folder(spark, "text-index"))
+    changed = docs.where("lang = 'fr'").select(F.col("doc_id").alias("id"), T.terms(F.concat_ws(" ", "text", "text")).alias("terms"))
+    return index.refresh(changed, docs.where("lang = 'es'").select(F.col("doc_id").alias("id"))).search(item_terms(spark, sf_dir), 20)
+
+
 #: Candidates of hybrid search for a wanted 8: 96 of each list, text hits with any term only where fewer than 12 have all.
 HYBRID = f"""{FTS}, {COVERS},
 whole AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM cd QUALIFY rn <= 96), few AS (SELECT query_id, count(*) AS n FROM whole GROUP BY query_id),

@@ -68,6 +68,11 @@ def run_dir(spark: SparkSession) -> str:
     return place
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own below that of this application."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def clear(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application; results that read them must have been used."""
     files, path = _folder(spark, run_dir(spark))
@@ -83,7 +88,7 @@ def staged(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFram
     bounds the rows of an Arrow batch in this write, and in no other.
     """
     spark = df.sparkSession
-    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     try:
