@@ -42,6 +42,14 @@ class Running:
         if self.held > HELD:
             self.best()
 
+    def add_some(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores (some queries x rows) of rows."""
+        q, c = np.nonzero(scores >= self.floor[queries][:, None])
+        self.parts.append((queries[q], scores[q, c], ids[c]))
+        self.held += len(q)
+        if self.held > HELD:
+            self.best()
+
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, score, id) of the best so far, by query and rank."""
         if not self.parts:

@@ -9,6 +9,7 @@ from sparkloom.functions import text as T
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import structure as S
 from sparkloom.operators.inverted_index import TextIndex
+from sparkloom.operators.vector_index import VectorIndex
 from sparkloom.plans.registry import query
 from sparkloom.plans.search import SearchOptions, search
 from sparkloom.storage import new_folder, table, texts
@@ -50,6 +51,13 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.vector_candidates(v, v.where("id % 20 = 0"), 10)
 
 
+@query()
+def knn_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About what ``knn_cosine_topk`` finds, from an index of all vectors; a test holds the recall."""
+    v = vectors(spark, sf_dir)
+    return VectorIndex.build(v, new_folder(spark, "vector-index"), 64).search(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 10)
+
+
 @query(f"WITH {FTS} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM fts QUALIFY rank <= 20")
 def fts_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.text_candidates(doc_terms(spark, sf_dir), item_terms(spark, sf_dir), 20)
