@@ -1,9 +1,10 @@
 """An inverted index of texts as a table of posting blocks, with pruned top-k search and refresh by file.
 
-Texts are dealt into ranges by a hash of their id, some ``RANGE_DOCS`` in each. A row of the
-index is a block: the postings of one term in one range, with the largest frequency among
-them. A term that a third of all texts have is many blocks, none larger than a range. Rows
-lie in folders by a hash of the term, sorted by term and range, so a search opens the folders
+Texts are cut into ranges of ``RANGE_DOCS`` as they come, and a range is inverted where it lies.
+A row of the index is a block: the postings of one term in one range, with the largest
+frequency among them. A term that a third of all texts have is many blocks, none larger than a
+range, and only whole blocks are shuffled, once. The empty term stands for all texts of a
+range. Places are kept as steps from one to the next. Rows lie in folders by a hash of the term, sorted by term and range, so a search opens the folders
 of its terms, and reads block maxima without the postings (they are columns of their own).
 
 A search for the k best takes two passes over these folders:
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,31 +34,47 @@ from pyspark.sql.window import Window
 from sparkloom.operators.topk import COVER, cover_rank, query_blocks
 from sparkloom.storage import small_batches, staged
 
-#: Texts in a range, about; postings in a folder, about, and folders at most.
-RANGE_DOCS, FOLDER_POSTINGS, FOLDERS = 64, 1 << 22, 4096
+#: Texts in a range; bytes of index in a folder, about, and folders at most.
+RANGE_DOCS, FOLDER_TEXTS, FOLDERS = 64, 20_000, 4096
 POSTINGS = "array<struct<id:bigint,tf:int,places:array<int>>>"
-BLOCKS = f"term string, range int, n int, most int, postings {POSTINGS}, segment int, folder int"
-
-
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(id, term, tf, places) of ``docs(id, terms)``, a row for each term of a text."""
+BLOCK = f"term string, range bigint, n int, most int, postings {POSTINGS}"
+BLOCKS = f"{BLOCK}, segment int, folder int"
+
+
+def _inverted(texts: list[tuple[int, list[str] | None]], number: int) -> pa.RecordBatch:
+    """The blocks of one range of (id, terms)."""
+    found: dict[str, list[tuple[int, list[int]]]] = {"": [(i, []) for i, _ in texts]}
+    for i, words in texts:
+        at: dict[str, list[int]] = {}
+        for n, w in enumerate(words or ()):
+            at.setdefault(w, []).append(n)
+        for w, places in at.items():
+            if w:
+                found.setdefault(w, []).append((i, places))
+    flat = [p for postings in found.values() for p in postings]
+    steps = [b - a for _, places in flat for a, b in zip([0, *places], places)]
+    tfs = [len(places) for _, places in flat]
+    offsets = lambda sizes: pa.array([0, *accumulate(sizes)], pa.int32())
+    inner = pa.StructArray.from_arrays([pa.array([i for i, _ in flat], pa.int64()), pa.array(tfs, pa.int32()), pa.ListArray.from_arrays(offsets(tfs), pa.array(steps, pa.int32()))], names=["id", "tf", "places"])
+    postings = pa.ListArray.from_arrays(offsets(map(len, found.values())), inner)
+    sizes, most = [len(p) for p in found.values()], [max(len(places) for _, places in p) for p in found.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([number] * len(found), pa.int64()), pa.array(sizes, pa.int32()), pa.array(most, pa.int32()), postings], names=["term", "range", "n", "most", "postings"])
+
+
+def _blocks(docs: DataFrame, range_docs: int) -> DataFrame:
+    """Posting blocks of ``docs(id, terms)``; a range is of one task, numbered within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = [], TaskContext.get().partitionId() << 32
         for b in small_batches(batches):
-            ids, terms, tfs, places = [], [], [], []
-            for i, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at: dict[str, list[int]] = {}
-                for n, w in enumerate(words or ()):
-                    at.setdefault(w, []).append(n)
-                ids += [i] * len(at)
-                terms += at
-                tfs += map(len, at.values())
-                for p in at.values():
-                    places += p
-            lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(tfs)], pa.int32()), pa.array(places, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int32()), lists], names=["id", "term", "tf", "places"])
-
-    return docs.select(docs["id"].cast("bigint").alias("id"), docs["terms"]).mapInArrow(run, "id bigint, term string, tf int, places array<int>")
+            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            while len(held) >= range_docs:
+                yield _inverted(held[:range_docs], number)
+                held, number = held[range_docs:], number + 1
+        if held:
+            yield _inverted(held, number)
+
+    return docs.where(docs["id"].isNotNull()).select(docs["id"].cast("bigint").alias("id"), docs["terms"]).mapInArrow(run, BLOCK)
 
 
 class TextIndex:
@@ -66,30 +84,31 @@ class TextIndex:
         self.spark, self.path = spark, path
         self.segments = sorted(r.segment for r in spark.read.parquet(f"{path}/segments").select("segment").collect())  # a row each
         shape = spark.read.parquet(f"{path}/segments").where("segment = 0").first()
-        self.ranges, self.folders = shape.ranges, shape.folders
+        self.range_docs, self.folders = shape.range_docs, shape.folders
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, range_docs: int = RANGE_DOCS) -> TextIndex:
         """Index ``docs(id, terms)``; ids are distinct, rows without one are left out."""
-        spark = docs.sparkSession
-        rows = staged(_occurrences(docs.where(docs["id"].isNotNull())), "occurrences")
-        n = docs.count()
-        ranges, folders = max(1, n // range_docs), max(1, min(FOLDERS, rows.count() // FOLDER_POSTINGS * 4 + 16))
-        _write(spark, path, 0, rows, docs.select(docs["id"].cast("bigint").alias("id")), ranges, folders)
-        return cls(spark, path)
+        folders = max(16, min(FOLDERS, docs.count() // FOLDER_TEXTS))
+        _write(docs.sparkSession, path, 0, _blocks(docs, range_docs), range_docs, folders)
+        return cls(docs.sparkSession, path)
 
     def refresh(self, docs: DataFrame, removed: DataFrame | None = None) -> TextIndex:
         """Replace the texts of ``docs(id, terms)``, add new ones, and take out ``removed(id)``."""
         ids = docs.select(docs["id"].cast("bigint").alias("id"))
         gone = ids if removed is None else ids.unionByName(removed.select(removed["id"].cast("bigint").alias("id")))
-        _write(self.spark, self.path, self.segments[-1] + 1, staged(_occurrences(docs.where(docs["id"].isNotNull())), "occurrences"), gone, self.ranges, self.folders)
+        segment = self.segments[-1] + 1
+        gone.where("id IS NOT NULL").distinct().write.mode("overwrite").parquet(f"{self.path}/gone/segment={segment}")
+        _write(self.spark, self.path, segment, _blocks(docs, self.range_docs), self.range_docs, self.folders)
         return TextIndex(self.spark, self.path)
 
     def compact(self, path: str) -> TextIndex:
-        """The live postings as one segment in another folder."""
+        """The live postings as one segment in another folder, their ranges dealt by a hash of the id."""
         rows = self._live(self.postings().select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.*"))
-        docs = self._live(self.spark.read.schema("id bigint, segment int").parquet(f"{self.path}/docs").where(F.col("segment").isin(self.segments)).where(F.col("id").isNotNull()))
-        _write(self.spark, path, 0, rows.select("id", "term", "tf", "places"), docs.select("id"), self.ranges, self.folders)
+        ranges = max(1, rows.where("term = ''").count() // self.range_docs)
+        by_range = rows.groupBy("term", F.pmod(F.xxhash64("id"), F.lit(ranges)).alias("range"))
+        made = by_range.agg(F.sort_array(F.collect_list(F.struct("id", "tf", "places"))).alias("postings"), F.max("tf").alias("most"))  # a range's texts at most
+        _write(self.spark, path, 0, made.select("term", "range", F.size("postings").alias("n"), "most", F.col("postings").cast(POSTINGS)), self.range_docs, self.folders)
         return TextIndex(self.spark, path)
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
@@ -105,8 +124,16 @@ class TextIndex:
         """(id, latest): ids that a later segment than the first has, which makes their earlier postings dead."""
         if len(self.segments) == 1:
             return None
-        docs = self.spark.read.schema("id bigint, segment int").parquet(f"{self.path}/docs").where(F.col("segment").isin(self.segments[1:]))
-        return docs.where("id IS NOT NULL").groupBy("id").agg(F.max("segment").alias("latest"))
+        gone = self.spark.read.schema("id bigint, segment int").parquet(f"{self.path}/gone").where(F.col("segment").isin(self.segments))
+        return gone.groupBy("id").agg(F.max("segment").alias("latest"))
+
+    def _dead(self) -> DataFrame | None:
+        """(segment, range): ranges with a dead posting."""
+        latest = self._latest()
+        if latest is None:
+            return None
+        texts = self.postings([""]).select("segment", "range", F.explode("postings.id").alias("id"))
+        return texts.join(latest, "id").where("segment < latest").select("segment", "range").distinct()
 
     def _live(self, rows: DataFrame) -> DataFrame:
         latest = self._latest()
@@ -124,10 +151,9 @@ class TextIndex:
         if every:
             left = sums.join(F.broadcast(need), "query_id").where(F.col("terms") == F.col("need"))
         else:
-            latest = self._latest()
-            if latest is not None:  # a maximum may be that of a dead posting
-                dead = latest.select(F.explode(F.array(*(F.lit(s) for s in self.segments))).alias("segment"), _range(F.col("id"), self.ranges).alias("range"), "latest").where("segment < latest")
-                sums = sums.join(dead.select("segment", "range", F.lit(True).alias("dead")).distinct(), ["segment", "range"], "left").withColumn("reached", F.when(F.col("dead").isNull(), F.col("reached")))
+            dead = self._dead()
+            if dead is not None:  # a maximum may be that of a dead posting
+                sums = sums.join(dead.withColumn("dead", F.lit(True)), ["segment", "range"], "left").withColumn("reached", F.when(F.col("dead").isNull(), F.col("reached")))
             place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("reached")))
             least = sums.select("query_id", "reached", place.alias("place")).where(F.col("place") == k).select("query_id", F.coalesce("reached", F.lit(0)).alias("least"))
             left = staged(sums, "range-bounds").join(F.broadcast(least), "query_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0)))  # a row a query
@@ -154,30 +180,26 @@ class TextIndex:
         """Density of covers of the texts that have every term."""
         need = F.broadcast(self.spark.createDataFrame([(int(r[0]), len(set(r[1]))) for r in block], "query_id bigint, need int"))
         lists = each.groupBy("query_id", "id").agg(F.collect_list(F.struct("term", "places")).alias("terms")).join(need, "query_id").where(F.size("terms") == F.col("need"))
-        flat = F.array_sort(F.flatten(F.transform("terms", lambda t, code: F.transform(t.places, lambda p: F.struct(p.alias("place"), code.alias("code"))))))
-        whole = lists.select("query_id", "id", "need", flat.alias("at")).select("query_id", "id", "need", "at.place", "at.code")
+        steps = lists.select("query_id", "id", "need", F.transform("terms", lambda t: t.places).alias("steps"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in small_batches(batches):
-                score = [round(cover_rank(code, place, m) + 1e-9, 6) for m, place, code in zip(*(b.column(x).to_pylist() for x in (2, 3, 4)))]
+                score = []
+                for m, terms in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                    at = sorted((place, code) for code, t in enumerate(terms) for place in accumulate(t))
+                    score.append(round(cover_rank([c for _, c in at], [p for p, _ in at], m) + 1e-9, 6))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], names=["query_id", "id", "score"])
 
-        return whole.mapInArrow(run, "query_id bigint, id bigint, score double")
-
-
-def _range(id_: Column, ranges: int) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(ranges)).cast("int")
+        return steps.mapInArrow(run, "query_id bigint, id bigint, score double")
 
 
 def _folder(term: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
 
 
-def _write(spark: SparkSession, path: str, segment: int, rows: DataFrame, docs: DataFrame, ranges: int, folders: int) -> None:
-    """One segment of ``rows(id, term, tf, places)``; its entry comes last."""
-    grouped = rows.groupBy("term", _range(F.col("id"), ranges).alias("range")).agg(F.sort_array(F.collect_list(F.struct("id", "tf", "places"))).alias("postings"))  # a range's texts at most
-    blocks = grouped.select(_folder(F.col("term"), folders).alias("folder"), "term", "range", F.size("postings").alias("n"), F.array_max(F.transform("postings", lambda p: p.tf)).alias("most"), F.col("postings").cast(POSTINGS))
-    blocks.repartitionByRange("folder", "term", "range").sortWithinPartitions("folder", "term", "range").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings/segment={segment}")
-    docs.distinct().write.mode("overwrite").parquet(f"{path}/docs/segment={segment}")
-    entry = spark.createDataFrame([(segment, ranges, folders)], "segment int, ranges int, folders int")
+def _write(spark: SparkSession, path: str, segment: int, blocks: DataFrame, range_docs: int, folders: int) -> None:
+    """One segment of ``blocks``; its entry comes last."""
+    placed = blocks.withColumn("folder", _folder(F.col("term"), folders)).repartition(F.col("folder"), F.pmod("range", F.lit(8)))
+    placed.sortWithinPartitions("folder", "term", "range").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings/segment={segment}")
+    entry = spark.createDataFrame([(segment, range_docs, folders)], "segment int, range_docs int, folders int")
     entry.coalesce(1).write.mode("append").parquet(f"{path}/segments")

@@ -37,20 +37,20 @@ def test_equals_a_scan_and_reads_little(spark, corpus, tmp_path):
     for every in (False, True):
         for k in (3, 20):
             assert rows(index.search(asked, k, every)) == rows(text_candidates(docs, asked, k, every))
-    total = index.postings().agg(F.sum("n")).first()[0]
+    total = index.postings().where("term <> ''").agg(F.sum("n")).first()[0]
     assert total == sum(len(set(t or [])) for _, t in corpus)
     one = index.blocks([(1, ["w7", "w30"])], 3, False).agg(F.sum("n")).first()[0]
     own = sum(len({"w7", "w30"} & set(t or [])) for _, t in corpus)
     assert one < own < total / 4  # pruned below the postings of its terms, and those are few
     hot = index.blocks([(1, ["w1"])], 1, False).agg(F.sum("n")).first()[0]
-    assert hot <= 32  # only the range of the text that says it most
+    assert hot <= 16  # only the range of the text that says it most
 
 
 def test_blocks_of_a_hot_term_are_bounded(spark, tmp_path):
     docs = spark.createDataFrame([(i, ["hot", f"t{i}"] if i % 3 == 0 else [f"t{i}"]) for i in range(3000)], DOCS)
     index = TextIndex.build(docs, str(tmp_path / "index"), range_docs=20)
     blocks = index.postings(["hot"])
-    assert blocks.agg(F.sum("n")).first()[0] == 1000 and blocks.agg(F.max("n")).first()[0] <= 40
+    assert blocks.agg(F.sum("n")).first()[0] == 1000 and blocks.agg(F.max("n")).first()[0] <= 20
 
 
 def test_refresh_by_file(spark, corpus, tmp_path):
@@ -69,7 +69,7 @@ def test_refresh_by_file(spark, corpus, tmp_path):
         for every in (False, True):
             assert rows(index.search(asked, 5, every)) == rows(text_candidates(whole, asked, 5, every))
     merged = index.compact(str(tmp_path / "merged"))
-    assert merged.segments == [0] and merged.postings().agg(F.sum("n")).first()[0] == sum(len(set(t or [])) for t in now.values())
+    assert merged.segments == [0] and merged.postings().where("term <> ''").agg(F.sum("n")).first()[0] == sum(len(set(t or [])) for t in now.values())
     assert rows(merged.search(asked, 5)) == rows(index.search(asked, 5))
 
 
