@@ -1,10 +1,9 @@
-"""Text structure: windows, paragraphs, blocks, markers, intervals and clusters."""
+"""Text structure: windows, paragraphs, blocks, markers and intervals."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 from html.parser import HTMLParser
 
 import numpy as np
@@ -15,15 +14,11 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as T
-from sparkloom.storage import staged
 
-# Sizes in characters by profile, and bounds of clusters.
+# Sizes in characters by profile.
 PROFILES = {"default": (800, 100), "long_doc": (1200, 150), "qa_pairs": (512, 64), "table_heavy": (600, 80), "large": (1800, 150)}
 LARGE_CHARS = 400_000
 SEPARATORS = ("。", "\n\n", "\n", " ")
-TREE_LEVELS = 4
-#: Nodes that are clustered in one task, and ids between the levels of a tree.
-PART_NODES, LEVEL_IDS = 4096, 1_000_000_000_000
 
 
 def profile(name: Column, chars: Column) -> Column:
@@ -304,63 +299,6 @@ def running_budget(rows: DataFrame, key: str, order: list, size: Column, budget:
     return kept if most is None else kept.where(F.col("n") <= most)
 
 
-def greedy_clusters(vectors: np.ndarray, size: int) -> list[list[int]]:
-    """The first free vector and its nearest free neighbours by cosine, up to ``size``, again and again."""
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    free, out = np.arange(len(unit)), []
-    while len(free):
-        seed, rest = free[0], free[1:]
-        order = rest[np.lexsort((rest, -np.round(unit[rest] @ unit[seed], 9)))][: size - 1]
-        out.append([int(seed), *map(int, order)])
-        free = np.setdiff1d(free, out[-1])
-    return out
-
-
-def cluster_nodes(nodes: DataFrame, target_share: float = 0.5) -> DataFrame:
-    """(file_id, node_id, cluster) of ``nodes(file_id, node_id, embedding)``.
-
-    A cluster has 2 to 8 members, so that clusters are about ``target_share`` of the nodes.
-    Files of more than ``PART_NODES`` nodes are clustered in parts of so many, in the order
-    of their nodes, which bounds what a task holds and compares.
-    """
-    size = int(min(8, max(2, round(1 / target_share))))
-    order = F.row_number().over(Window.partitionBy("file_id").orderBy("node_id")) - 1
-    parts = nodes.select("file_id", "node_id", "embedding", F.floor(order / PART_NODES).cast("bigint").alias("part"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id").reset_index(drop=True)
-        label = np.zeros(len(pdf), int)
-        for k, members in enumerate(greedy_clusters(np.stack(pdf["embedding"].to_list()).astype(float), size)):
-            label[members] = k
-        return pd.DataFrame({"file_id": pdf["file_id"], "node_id": pdf["node_id"], "cluster": label + pdf["part"] * PART_NODES})
-
-    return parts.groupBy("file_id", "part").applyInPandas(run, "file_id bigint, node_id bigint, cluster int")
-
-
-def summary_tree(nodes: DataFrame, target_share: float = 0.5, levels: int = TREE_LEVELS) -> DataFrame:
-    """(file_id, level, node_id, parent_id, text): ``nodes(file_id, node_id, embedding, text)`` and summaries of their clusters, level by level.
-
-    A summary is the first sentences of its members, its vector their mean. It ends when a
-    file has one node at the top, or after ``levels``; a top node has no parent.
-    """
-    front = staged(nodes.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("node_id").cast("bigint").alias("node_id"), F.col("embedding").cast("array<double>").alias("embedding"), "text"), "tree")
-    done = []
-    for level in range(1, levels + 1):
-        open_ = front.join(front.groupBy("file_id").count().where("count > 1").select("file_id"), "file_id", "left_semi")
-        parent = staged(cluster_nodes(open_, target_share).select("file_id", "node_id", (F.lit(level * LEVEL_IDS) + F.col("cluster")).alias("parent_id")), "tree-parents")
-        joined = staged(front.join(parent, ["file_id", "node_id"], "left"), "tree-nodes")
-        done.append(joined.select("file_id", F.lit(level - 1).alias("level"), "node_id", "parent_id", "text"))
-        members = joined.where("parent_id IS NOT NULL").select("file_id", F.col("parent_id").alias("top"), F.struct("node_id", "embedding", F.regexp_extract("text", r"(?s)^\s*(.*?[.!?。](?=\s|$)|.*)", 1).alias("said")).alias("m"))
-        own = F.array_sort(F.collect_list("m"))  # eight at most
-        total = lambda x: F.aggregate(F.slice(x, 2, 8), F.get(x, F.lit(0)).embedding, lambda a, m: F.zip_with(a, m.embedding, lambda u, v: u + v))
-        made = members.groupBy("file_id", F.col("top").alias("node_id")).agg(own.alias("x"))
-        front = staged(made.select("file_id", "node_id", F.transform(total(F.col("x")), lambda v: v / F.size("x")).alias("embedding"), F.array_join(F.transform("x", lambda m: m.said), " ").alias("text")), "tree")
-        if front.isEmpty():
-            break
-    done.append(front.select("file_id", F.lit(len(done)).alias("level"), "node_id", F.lit(None).cast("bigint").alias("parent_id"), "text"))
-    return reduce(DataFrame.unionByName, done)
-
-
 def front_matter(text: Column) -> tuple[Column, Column]:
     """(map of the leading ``key: value`` block between ``---`` lines, body)."""
     pattern = r"(?s)^---\n(.*?)\n---\n?(.*)$"

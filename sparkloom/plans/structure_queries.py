@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import structure as S
+from sparkloom.operators.summary_tree import cluster_nodes
+from sparkloom.operators.summary_tree import summary_tree as summary_tree_of
 from sparkloom.plans.registry import query
 from sparkloom.storage import table, texts
 
@@ -94,7 +96,7 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raptor_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of vectors within bounded files of fifty."""
     e = table(spark, sf_dir, "embeddings")
-    return S.cluster_nodes(e.select(F.floor(F.col("vec_id") / 50).alias("file_id"), F.col("vec_id").alias("node_id"), "embedding"), 0.25)
+    return cluster_nodes(e.select(F.floor(F.col("vec_id") / 50).alias("file_id"), F.col("vec_id").alias("node_id"), "embedding"), 0.25)
 
 
 @query()
@@ -102,7 +104,7 @@ def summary_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of summaries over bounded files of fifty vectors, whose texts are the documents of the same number."""
     e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     nodes = e.join(d, "vec_id", "left").select(F.floor(F.col("vec_id") / 50).alias("file_id"), F.col("vec_id").alias("node_id"), "embedding", F.coalesce("text", F.lit("")).alias("text"))
-    return S.summary_tree(nodes, 0.25)
+    return summary_tree_of(nodes, 0.25)
 
 
 @query("""WITH s AS (SELECT l_suppkey AS k, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) AS a, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) + l_quantity::INT AS b, l_orderkey, l_linenumber FROM lineitem),

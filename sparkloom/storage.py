@@ -73,6 +73,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, place: str) -> bool:
+    files, path = _folder(spark, place)
+    return files.exists(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application; results that read them must have been used."""
     files, path = _folder(spark, run_dir(spark))

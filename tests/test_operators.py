@@ -12,6 +12,7 @@ from sparkloom.operators import graph as G
 from sparkloom.operators import relational as R
 from sparkloom.operators import retrieval as Q
 from sparkloom.operators import structure as S
+from sparkloom.operators.summary_tree import greedy_clusters
 from sparkloom.plans.relational_queries import search_box
 from sparkloom.plans.search import SearchOptions, search
 
@@ -81,7 +82,7 @@ def test_clusters_equal_plain_greedy():
             near = sorted(free[1:], key=lambda i: (-round(float(unit[i] @ unit[seed]), 9), i))[:3]
             want.append([seed, *near])
             free = [i for i in free if i not in want[-1]]
-        assert S.greedy_clusters(v, 4) == want
+        assert greedy_clusters(v, 4) == want
 
 
 @settings(max_examples=5, deadline=None)

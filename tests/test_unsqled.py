@@ -1,6 +1,5 @@
 """Registered queries that have no SQL, against brute force over the whole smallest tables."""
 
-import math
 import re
 
 import duckdb
@@ -18,46 +17,6 @@ def rows():
     return lambda sql: duckdb.sql(sql.replace("@", SF)).fetchall()
 
 
-def cosine(a, b):
-    return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
-
-
-def test_raptor_cluster(spark, rows):
-    """Clusters of four: the first free vector and its three nearest free neighbours."""
-    want = {}
-    vectors = dict(rows("SELECT vec_id, embedding FROM '@/embeddings.parquet'"))
-    for file in {v // 50 for v in vectors}:
-        free, n = sorted(v for v in vectors if v // 50 == file), 0
-        while free:
-            near = sorted(free[1:], key=lambda v: (-round(cosine(vectors[v], vectors[free[0]]), 9), v))[:3]
-            for v in (free[0], *near):
-                want[v] = (file, n)
-            free, n = [v for v in free if v not in want], n + 1
-    assert {r.node_id: (r.file_id, r.cluster) for r in QUERIES["raptor_cluster"](spark, SF).collect()} == want
-
-
-def test_summary_tree(spark, rows):
-    """Level by level: clusters of four, a summary of first sentences with the mean vector, until one node is left."""
-    texts = dict(rows("SELECT doc_id, text FROM '@/documents.parquet'"))
-    vectors = dict(rows("SELECT vec_id, embedding FROM '@/embeddings.parquet'"))
-    want = {}
-    for file in {v // 50 for v in vectors}:
-        level, front = 0, {v: (e, texts.get(v) or "") for v, e in vectors.items() if v // 50 == file}
-        while len(front) > 1 and level < S.TREE_LEVELS:
-            free, n, above = sorted(front), 0, {}
-            while free:
-                near = sorted(free[1:], key=lambda v: (-round(cosine(front[v][0], front[free[0]][0]), 9), v))[:3]
-                members, top = sorted([free[0], *near]), (level + 1) * S.LEVEL_IDS + n
-                want |= {(file, level, v): (top, front[v][1]) for v in members}
-                said = [re.match(r"(?s)\s*(.*?[.!?。](?=\s|$)|.*)", front[v][1])[1] for v in members]
-                above[top] = ([sum(x) / len(members) for x in zip(*(front[v][0] for v in members))], " ".join(said))
-                free, n = [v for v in free if v not in members], n + 1
-            level, front = level + 1, above
-        want |= {(file, level, v): (None, t) for v, (_, t) in front.items()}
-    got = {(r.file_id, r.level, r.node_id): (r.parent_id, r.text) for r in QUERIES["summary_tree"](spark, SF).collect()}
-    assert got == want and max(level for _, level, _ in got) >= 2
-
-
 def plain_mmr(hits, k):
     taken = []
     while hits and len(taken) < k:
