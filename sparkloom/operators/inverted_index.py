@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,9 +36,8 @@ from sparkloom.operators.topk import COVER, cover_rank, query_blocks
 from sparkloom.storage import small_batches, staged
 
 #: Texts in a range; bytes of index in a folder, about, and folders at most.
-RANGE_DOCS, FOLDER_TEXTS, FOLDERS = 64, 20_000, 4096
-POSTINGS = "array<struct<id:bigint,tf:int,places:array<int>>>"
-BLOCK = f"term string, range bigint, n int, most int, postings {POSTINGS}"
+RANGE_DOCS, FOLDER_TEXTS, FOLDERS = 256, 20_000, 4096
+BLOCK = "term string, range bigint, n int, most int, ids array<bigint>, tfs array<int>, places array<int>"
 BLOCKS = f"{BLOCK}, segment int, folder int"
 
 
@@ -53,12 +53,12 @@ def _inverted(texts: list[tuple[int, list[str] | None]], number: int) -> pa.Reco
                 found.setdefault(w, []).append((i, places))
     flat = [p for postings in found.values() for p in postings]
     steps = [b - a for _, places in flat for a, b in zip([0, *places], places)]
-    tfs = [len(places) for _, places in flat]
-    offsets = lambda sizes: pa.array([0, *accumulate(sizes)], pa.int32())
-    inner = pa.StructArray.from_arrays([pa.array([i for i, _ in flat], pa.int64()), pa.array(tfs, pa.int32()), pa.ListArray.from_arrays(offsets(tfs), pa.array(steps, pa.int32()))], names=["id", "tf", "places"])
-    postings = pa.ListArray.from_arrays(offsets(map(len, found.values())), inner)
-    sizes, most = [len(p) for p in found.values()], [max(len(places) for _, places in p) for p in found.values()]
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([number] * len(found), pa.int64()), pa.array(sizes, pa.int32()), pa.array(most, pa.int32()), postings], names=["term", "range", "n", "most", "postings"])
+    tfs, sizes = [len(places) for _, places in flat], [len(p) for p in found.values()]
+    lists = lambda sizes, values, kind: pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), pa.array(values, kind))
+    most, spans = [max(len(places) for _, places in p) for p in found.values()], [sum(len(places) for _, places in p) for p in found.values()]
+    columns = [pa.array(list(found), pa.string()), pa.array([number] * len(found), pa.int64()), pa.array(sizes, pa.int32()), pa.array(most, pa.int32())]
+    columns += [lists(sizes, [i for i, _ in flat], pa.int64()), lists(sizes, tfs, pa.int32()), lists(spans, steps, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "range", "n", "most", "ids", "tfs", "places"])
 
 
 def _blocks(docs: DataFrame, range_docs: int) -> DataFrame:
@@ -104,11 +104,11 @@ class TextIndex:
 
     def compact(self, path: str) -> TextIndex:
         """The live postings as one segment in another folder, their ranges dealt by a hash of the id."""
-        rows = self._live(self.postings().select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.*"))
+        rows = self._live(self._postings(self.postings().select("segment", "term", "ids", "tfs", "places")))
         ranges = max(1, rows.where("term = ''").count() // self.range_docs)
         by_range = rows.groupBy("term", F.pmod(F.xxhash64("id"), F.lit(ranges)).alias("range"))
-        made = by_range.agg(F.sort_array(F.collect_list(F.struct("id", "tf", "places"))).alias("postings"), F.max("tf").alias("most"))  # a range's texts at most
-        _write(self.spark, path, 0, made.select("term", "range", F.size("postings").alias("n"), "most", F.col("postings").cast(POSTINGS)), self.range_docs, self.folders)
+        made = by_range.agg(F.sort_array(F.collect_list(F.struct("id", "tf", "places"))).alias("p"), F.max("tf").alias("most"))  # a range's texts at most
+        _write(self.spark, path, 0, made.select("term", "range", F.size("p").alias("n"), "most", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.flatten("p.places").alias("places")), self.range_docs, self.folders)
         return TextIndex(self.spark, path)
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
@@ -120,6 +120,21 @@ class TextIndex:
         folders = [r.folder for r in wanted.select(_folder(F.col("term"), self.folders).alias("folder")).distinct().collect()]  # ``FOLDERS`` at most
         return rows.where(F.col("folder").isin(folders)).join(F.broadcast(wanted), "term", "left_semi")
 
+    def _postings(self, blocks: DataFrame) -> DataFrame:
+        """(..., id, tf, places): ``blocks(..., ids, tfs, places)`` as a row for each posting."""
+        keys = [c for c in blocks.columns if c not in ("ids", "tfs", "places")]
+        kinds = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in keys)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in small_batches(batches):
+                ids, tfs, places = (b.column(len(keys) + x) for x in range(3))
+                row = pa.array(np.repeat(np.arange(b.num_rows), ids.value_lengths().to_numpy(zero_copy_only=False)))
+                flat = tfs.flatten().to_numpy(zero_copy_only=False)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(flat)), pa.int32()), places.flatten())
+                yield pa.RecordBatch.from_arrays([*(b.column(x).take(row) for x in range(len(keys))), ids.flatten(), tfs.flatten(), lists], names=[*keys, "id", "tf", "places"])
+
+        return blocks.select(*keys, "ids", "tfs", "places").mapInArrow(run, f"{kinds}, id bigint, tf int, places array<int>")
+
     def _latest(self) -> DataFrame | None:
         """(id, latest): ids that a later segment than the first has, which makes their earlier postings dead."""
         if len(self.segments) == 1:
@@ -132,7 +147,7 @@ class TextIndex:
         latest = self._latest()
         if latest is None:
             return None
-        texts = self.postings([""]).select("segment", "range", F.explode("postings.id").alias("id"))
+        texts = self.postings([""]).select("segment", "range", F.explode("ids").alias("id"))
         return texts.join(latest, "id").where("segment < latest").select("segment", "range").distinct()
 
     def _live(self, rows: DataFrame) -> DataFrame:
@@ -167,10 +182,12 @@ class TextIndex:
             if not block:
                 continue
             wanted = staged(self.blocks(block, k, every).select("query_id", "segment", "range", "term"), "wanted-blocks")
-            rows = self.postings(sorted({t for r in block for t in r[1]})).select("segment", "range", "term", "postings")
-            each = rows.join(wanted, ["segment", "range", "term"]).select("query_id", "segment", "term", F.explode("postings").alias("p"))
-            each = self._live(each.select("query_id", "segment", "term", "p.id", "p.tf", *(["p.places"] if every else [])))
-            part = self._covers(each, block) if every else each.groupBy("query_id", "id").agg(F.round(COVER * F.sum("tf"), 6).alias("score"))
+            rows = self.postings(sorted({t for r in block for t in r[1]})).join(wanted, ["segment", "range", "term"])
+            if every:
+                part = self._covers(self._live(self._postings(rows.select("query_id", "segment", "term", "ids", "tfs", "places"))), block)
+            else:
+                each = rows.select("query_id", "segment", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).select("query_id", "segment", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"))
+                part = self._live(each).groupBy("query_id", "id").agg(F.round(COVER * F.sum("tf"), 6).alias("score"))
             order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
             part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             found = part if found is None else found.unionByName(part)
