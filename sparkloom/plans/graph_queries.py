@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.operators import graph as G
 from sparkloom.operators.excerpts import literal_excerpts
+from sparkloom.operators.claim_search import claim_search
 from sparkloom.plans.registry import query
 from sparkloom.storage import staged, table
 
@@ -252,3 +253,53 @@ def link_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("node"))
     j = n.join(d, "node", "left").na.fill(0, ["n_out", "n_in"])
     return j.select("node", "n_out", "n_in", F.when((F.col("n_out") == 0) & (F.col("n_in") == 0), "orphan").when(F.col("n_in") == 0, "unlinked").otherwise("ok").alias("finding"))
+
+
+@query("""WITH m AS (
+  SELECT p_partkey AS mention, CASE WHEN p_partkey % 2 = 0 THEN p_partkey // 7 END AS entity, p_name AS surface FROM part
+  UNION ALL SELECT 1000000 + s_suppkey, NULL, s_name FROM supplier),
+q AS (SELECT s_nationkey AS question_id, s_name AS anchor FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 2
+  UNION ALL SELECT n_nationkey, p_name FROM nation JOIN part ON p_partkey = n_nationkey + 1),
+names AS (SELECT mention, node, count(*) OVER (PARTITION BY node) > 1 AS several FROM (SELECT mention, CASE WHEN entity IS NULL THEN 'm' || mention ELSE 'e' || entity END AS node FROM m)),
+k AS (SELECT l_orderkey * 10 + l_linenumber AS claim_id, x.node AS s, y.node AS o, x.several AS s_several, y.several AS o_several FROM lineitem JOIN names x ON x.mention = l_partkey JOIN names y ON y.mention = 1000000 + l_suppkey),
+f AS (SELECT * FROM (SELECT s AS a, o AS b, claim_id, s_several AS several FROM k UNION SELECT o, s, claim_id, o_several FROM k) QUALIFY row_number() OVER (PARTITION BY a ORDER BY claim_id, b) <= 24),
+s AS (SELECT DISTINCT question_id, anchor, node FROM (SELECT DISTINCT question_id, anchor FROM q)
+  JOIN (SELECT *, row_number() OVER (PARTITION BY lower(surface) ORDER BY mention) AS n FROM m) r ON lower(surface) = lower(anchor) AND n <= 24 JOIN names USING (mention)),
+n1 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY node) AS n FROM (SELECT DISTINCT question_id, node FROM s)),
+ah AS (SELECT s.question_id, anchor, a, b, claim_id, several FROM s JOIN n1 USING (question_id, node) JOIN f ON a = node WHERE n <= 300),
+bh AS (SELECT s.question_id, anchor, a, b, claim_id, several FROM s JOIN n1 USING (question_id, node) JOIN f ON b = node WHERE n <= 300),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY claim_id) AS n FROM (SELECT question_id, claim_id FROM ah UNION SELECT question_id, claim_id FROM bh)),
+one AS (SELECT question_id, anchor, [a, b] AS nodes, [claim_id] AS claims, several AS bridged, b AS here FROM ah JOIN c1 USING (question_id, claim_id) WHERE n <= 480 AND a <> b),
+back AS (SELECT question_id, anchor AS target, a, b AS finish, claim_id AS last, several AS last_several FROM bh JOIN c1 USING (question_id, claim_id) WHERE n <= 480 AND a <> b),
+n2 AS (SELECT question_id, node, row_number() OVER (PARTITION BY question_id ORDER BY node) + (SELECT count(*) FROM n1 p WHERE p.question_id = x.question_id AND p.n <= 300) AS n
+  FROM (SELECT DISTINCT question_id, here AS node FROM one WHERE (question_id, here) NOT IN (SELECT (question_id, node) FROM n1 WHERE n <= 300)) x),
+open2 AS (SELECT question_id, node FROM n1 WHERE n <= 300 UNION ALL SELECT question_id, node FROM n2 WHERE n <= 300),
+step AS (SELECT one.question_id, anchor, nodes, claims, bridged, b, claim_id, several FROM one JOIN open2 ON open2.question_id = one.question_id AND open2.node = one.here JOIN f ON f.a = one.here WHERE NOT list_contains(nodes, b)),
+c2 AS (SELECT question_id, claim_id, row_number() OVER (PARTITION BY question_id ORDER BY claim_id) + (SELECT count(*) FROM c1 p WHERE p.question_id = x.question_id AND p.n <= 480) AS n
+  FROM (SELECT DISTINCT question_id, claim_id FROM step WHERE (question_id, claim_id) NOT IN (SELECT (question_id, claim_id) FROM c1 WHERE n <= 480)) x),
+loaded AS (SELECT question_id, claim_id FROM c1 WHERE n <= 480 UNION ALL SELECT question_id, claim_id FROM c2 WHERE n <= 480),
+two AS (SELECT question_id, anchor, list_append(nodes, b) AS nodes, list_append(claims, claim_id) AS claims, bridged OR several AS bridged, b AS here FROM step JOIN loaded USING (question_id, claim_id)),
+ends AS (SELECT question_id, anchor AS target, list(node) AS ends FROM s GROUP BY ALL),
+found AS (
+  SELECT question_id, anchor AS source, target, claims, bridged FROM one JOIN ends USING (question_id) WHERE anchor < target AND list_contains(ends, here)
+  UNION ALL
+  SELECT x.question_id, anchor, back.target, list_append(claims, last), bridged OR last_several
+  FROM (SELECT * FROM one UNION ALL SELECT * FROM two) x JOIN back ON back.question_id = x.question_id AND back.a = x.here AND anchor < back.target AND NOT list_contains(nodes, finish) JOIN ends ON ends.question_id = x.question_id AND ends.target = back.target
+  WHERE NOT list_has_any(nodes[2:], ends)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY len(claims), source, target, claims) AS rank FROM (SELECT question_id, source, target, claims, bool_or(bridged) AS bridged FROM found GROUP BY ALL)),
+cuts AS (SELECT question_id, 'node_limit' AS reason FROM n1 WHERE n > 300 UNION SELECT question_id, 'node_limit' FROM n2 WHERE n > 300 UNION SELECT question_id, 'claim_limit' FROM c1 WHERE n > 480
+  UNION SELECT question_id, 'claim_limit' FROM c2 WHERE n > 480 UNION SELECT question_id, 'path_limit' FROM r WHERE rank > 50)
+SELECT question_id, source, target, len(claims)::INT AS hops, array_to_string(claims, '>') AS claims, bridged, rank::INT AS rank,
+  coalesce((SELECT string_agg(reason, ',' ORDER BY reason) FROM cuts WHERE cuts.question_id = r.question_id), '') AS truncated FROM r WHERE rank <= 50""")
+def association_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two suppliers of each nation and a part hang together by what was shipped; one part in two is a mention of a wider entity."""
+    part, supplier, li = (table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
+    key = lambda c: F.lit(1_000_000) + F.col(c)
+    mentions = part.select(F.col("p_partkey").alias("mention"), F.when(F.col("p_partkey") % 2 == 0, F.floor(F.col("p_partkey") / 7)).alias("entity"), F.col("p_name").alias("surface"))
+    mentions = mentions.unionByName(supplier.select(key("s_suppkey").alias("mention"), F.lit(None).cast("bigint").alias("entity"), F.col("s_name").alias("surface")))
+    claims = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_partkey").alias("subject"), key("l_suppkey").alias("object"))
+    first = supplier.withColumn("n", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("n <= 2")
+    asked = first.select(F.col("s_nationkey").alias("question_id"), F.col("s_name").alias("anchor"))
+    asked = asked.unionByName(table(spark, sf_dir, "nation").join(part, F.col("p_partkey") == F.col("n_nationkey") + 1).select(F.col("n_nationkey").alias("question_id"), F.col("p_name").alias("anchor")))
+    found = claim_search(claims, mentions, asked)
+    return found.withColumn("claims", F.array_join(F.transform("claims", lambda c: c.cast("string")), ">")).withColumn("truncated", F.array_join("truncated", ","))
