@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.columns import each_copy
 from sparkloom.storage import TEXT_BATCH_ROWS, small_batches, staged
 
 WINDOW = 10
@@ -277,7 +278,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
         F.flatten(F.collect_list("spans")).alias("spans"),  # a list per block
         F.flatten(F.collect_list("matches")).alias("matches"),
     )
-    return met.select("doc_id", "n_words", "spans", "matches", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    return each_copy(met.select("doc_id", "n_words", "spans", "matches", "copies"), "copies").drop("copy")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
