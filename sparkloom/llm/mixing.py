@@ -15,7 +15,8 @@ is dropped and small sources repeat.
 
 Running sums are taken in two steps: over buckets of the permutation (as many as keep a
 bucket small), then within a bucket, so a source with a third of all rows is spread over
-its buckets. Whether a document is in the cut epoch depends on one cut-off per source.
+its buckets. Rows that are equal in id, source and text count as one in the sums, with their
+number, so a row that a third of the table repeats is no hot bucket either. Whether a document is in the cut epoch depends on one cut-off per source.
 
 Cases: a null or empty source is a source of its own, named ''. A null or blank text has no
 tokens and is drawn like any other. Rows with equal doc_id, source and text are drawn alike.
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.llm.columns import each_copy
 from sparkloom.storage import staged
 
 #: Exponents evaluated per aggregation: bisection steps are taken several at a time.
@@ -61,9 +63,13 @@ def source_name(source: Column) -> Column:
     return F.coalesce(source.cast("string"), F.lit(""))
 
 
-def order_hash(doc_id: Column, source: Column, epoch: Column, seed: int) -> Column:
-    """60 bits that order a source's documents in an epoch."""
-    key = F.concat_ws(":", F.lit(seed), epoch.cast("string"), source, F.coalesce(doc_id.cast("string"), F.lit("")))
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def order_hash(doc_id: Column, source: Column, digest: Column, epoch: Column, seed: int) -> Column:
+    """60 bits that order a source's documents in an epoch; rows without an id differ by their text."""
+    key = F.concat_ws(":", F.lit(seed), epoch.cast("string"), source, F.coalesce(doc_id.cast("string"), F.lit("")), digest)
     return F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
@@ -109,8 +115,8 @@ def exponent(sources: DataFrame, target: Target) -> float:
 
 
 def mixture(rows: DataFrame, target: Target) -> DataFrame:
-    """(source, tokens, rows, weight, goal, epochs, rest) by source, for ``rows(source, n_tokens)``."""
-    sources = staged(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "sources")
+    """(source, tokens, rows, weight, goal, epochs, rest) by source, for ``rows(source, size, copies)``."""
+    sources = staged(rows.groupBy("source").agg(F.sum("size").alias("tokens"), F.sum("copies").alias("rows")), "sources")
     a = exponent(sources, target)
     total = F.broadcast(sources.where("tokens > 0").agg(F.sum("tokens").alias("total"), F.sum(F.pow(F.col("tokens"), F.lit(a))).alias("z")))  # one row
     weight = F.when(F.col("tokens") > 0, F.round(F.pow(F.col("tokens"), F.lit(a)) / F.col("z"), 9)).otherwise(0.0)
@@ -127,35 +133,37 @@ def mixture(rows: DataFrame, target: Target) -> DataFrame:
 
 
 def _running(drawn: DataFrame, n_rows: int) -> DataFrame:
-    """``drawn(source, epoch, h, n_tokens)`` with ``before``: tokens of its source and epoch that come earlier."""
+    """``drawn(source, epoch, h, size, ...)`` with ``before``: tokens of its source and epoch that come earlier."""
     bits = max(2, min(20, (max(1, n_rows) // BUCKET_ROWS).bit_length()))
     drawn = drawn.withColumn("bucket", F.shiftright("h", HASH_BITS - bits))
-    sums = drawn.groupBy("source", "epoch", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
+    sums = drawn.groupBy("source", "epoch", "bucket").agg(F.sum("size").alias("in_bucket"))
     earlier = Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "epoch", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "epoch", "bucket").orderBy("h", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    within = drawn.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    inside = Window.partitionBy("source", "epoch", "bucket").orderBy("h", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    within = drawn.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return within.join(starts, ["source", "epoch", "bucket"]).withColumn("before", F.col("start") + F.col("inside"))
 
 
 def cut_offs(rows: DataFrame, plan: DataFrame, target: Target, n_rows: int) -> DataFrame:
     """The plan with ``cut``: documents of the last epoch whose hash is below it are drawn."""
     part = rows.join(plan.select("source", F.col("epochs").alias("epoch"), "rest"), "source").where("rest > 0")
-    part = part.withColumn("h", order_hash(F.col("doc_id"), F.col("source"), F.col("epoch"), target.seed))
-    over = _running(part, n_rows).where(F.col("before") + F.col("n_tokens") > F.col("rest"))
+    part = part.withColumn("h", order_hash(F.col("doc_id"), F.col("source"), F.col("digest"), F.col("epoch"), target.seed))
+    over = _running(part, n_rows).where(F.col("before") + F.col("size") > F.col("rest"))
     cuts = over.groupBy("source").agg(F.min("h").alias("cut"))
     nothing = F.when(F.col("rest") > 0, F.lit(1 << HASH_BITS)).otherwise(0)
     return staged(plan.join(cuts, "source", "left").withColumn("cut", F.coalesce("cut", nothing)), "cuts")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    slim = docs.select(docs["doc_id"].alias("doc_id"), source_name(docs["source"]).alias("source"), token_count(docs["text"]).alias("n_tokens"))
-    return staged(slim.withColumn("row", F.monotonically_increasing_id()), "mixing-rows")
+    """(doc_id, source, digest, n_tokens, copies, size): rows that are equal in id, source and text as one."""
+    slim = docs.select(docs["doc_id"].alias("doc_id"), source_name(docs["source"]).alias("source"), text_digest(docs["text"]).alias("digest"), token_count(docs["text"]).alias("n_tokens"))
+    once = slim.groupBy("doc_id", "source", "digest", "n_tokens").agg(F.count("*").alias("copies"))
+    return staged(once.withColumn("size", F.col("n_tokens") * F.col("copies")), "mixing-rows")
 
 
-def _epochs(doc_id: Column, source: Column, seed: int) -> Column:
+def _epochs(doc_id: Column, source: Column, digest: Column, seed: int) -> Column:
     """The epochs in which a document is drawn: all whole ones, and the last if below its cut-off."""
-    in_last = order_hash(doc_id, source, F.col("epochs"), seed) < F.col("cut")
+    in_last = order_hash(doc_id, source, digest, F.col("epochs"), seed) < F.col("cut")
     drawn = F.col("epochs") + F.when(in_last, 1).otherwise(0)
     return F.when(drawn > 0, F.sequence(F.lit(0).cast("bigint"), drawn - 1)).otherwise(F.array().cast("array<bigint>"))
 
@@ -167,12 +175,12 @@ def mix(docs: DataFrame, target: Target | None = None) -> DataFrame:
     n = rows.count()
     plan = cut_offs(rows, mixture(rows, target), target, n)
     drawn = rows.join(plan.select("source", "tokens", "weight", "epochs", "cut"), "source")
-    drawn = drawn.withColumn("epoch", F.explode(_epochs(F.col("doc_id"), F.col("source"), target.seed)))
-    drawn = drawn.withColumn("h", order_hash(F.col("doc_id"), F.col("source"), F.col("epoch"), target.seed))
-    placed = _running(drawn, n)
+    drawn = drawn.withColumn("epoch", F.explode(_epochs(F.col("doc_id"), F.col("source"), F.col("digest"), target.seed)))
+    drawn = drawn.withColumn("h", order_hash(F.col("doc_id"), F.col("source"), F.col("digest"), F.col("epoch"), target.seed))
+    placed = each_copy(_running(drawn, n), "copies")
     share = F.greatest(F.lit(1.0), F.col("weight") * target.block_tokens)
-    block = F.floor((F.col("epoch") * F.col("tokens") + F.col("before")) / share)
-    place = order_hash(F.col("doc_id"), F.col("source"), F.col("epoch"), target.seed + 1)
+    block = F.floor((F.col("epoch") * F.col("tokens") + F.col("before") + F.col("copy") * F.col("n_tokens")) / share)
+    place = order_hash(F.col("doc_id"), F.col("source"), F.col("digest"), F.col("epoch"), target.seed + 1)
     return placed.select("doc_id", "source", "n_tokens", "weight", "epoch", block.alias("block"), place.alias("place"))
 
 
@@ -181,8 +189,8 @@ def mixed_documents(docs: DataFrame, target: Target | None = None) -> DataFrame:
     target = target or Target()
     rows = _rows(docs)
     plan = cut_offs(rows, mixture(rows, target), target, rows.count()).select(F.col("source").alias("own"), "epochs", "cut")
-    keyed = docs.select(F.struct("*").alias("doc"), docs["doc_id"].alias("id"), source_name(docs["source"]).alias("own"))
-    drawn = keyed.join(plan, "own").withColumn("epoch", F.explode(_epochs(F.col("id"), F.col("own"), target.seed)))
+    keyed = docs.select(F.struct("*").alias("doc"), docs["doc_id"].alias("id"), source_name(docs["source"]).alias("own"), text_digest(docs["text"]).alias("digest"))
+    drawn = keyed.join(plan, "own").withColumn("epoch", F.explode(_epochs(F.col("id"), F.col("own"), F.col("digest"), target.seed)))
     return drawn.select("doc.*")
 
 
@@ -191,7 +199,7 @@ QUERY = Target(entropy=0.99999, most_repeats=2.0, block_tokens=50_000)
 
 ORACLE = rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row, coalesce(source, '') AS source,
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row, coalesce(source, '') AS source, md5(coalesce(text, '')) AS digest,
     len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::BIGINT AS n_tokens FROM documents
 ),
 s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source),
@@ -210,11 +218,11 @@ w AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN round(tokens ** a / (SELE
 g AS (SELECT *, CASE WHEN tokens > 0 THEN greatest(tokens, floor(round(weight * (SELECT max(tokens / weight) FROM w WHERE weight > 0), 3)))::BIGINT ELSE 0 END AS goal FROM w),
 m AS (SELECT source, tokens, weight, epochs, goal - epochs * tokens AS rest FROM (SELECT *, CASE WHEN tokens > 0 THEN goal // tokens ELSE 1 END AS epochs FROM g)),
 x AS (SELECT d.*, m.tokens, weight, epochs, rest, unnest(generate_series(0, epochs)) AS epoch FROM d JOIN m USING (source)),
-h AS (SELECT *, ('0x' || substr(md5('{QUERY.seed}:' || epoch || ':' || source || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM x),
-r AS (SELECT *, (coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY h, doc_id, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS prior FROM h),
+h AS (SELECT *, ('0x' || substr(md5('{QUERY.seed}:' || epoch || ':' || source || ':' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 1, 15))::BIGINT AS h FROM x),
+r AS (SELECT *, (coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY h, doc_id, digest, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS prior FROM h),
 c AS (SELECT source, min(h) AS cut FROM r WHERE epoch = epochs AND prior + n_tokens > rest GROUP BY source)
 SELECT doc_id, source, n_tokens, weight, epoch, floor((epoch * tokens + prior) / greatest(1.0, weight * {QUERY.block_tokens}))::BIGINT AS block,
-  ('0x' || substr(md5('{QUERY.seed + 1}:' || epoch || ':' || source || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+  ('0x' || substr(md5('{QUERY.seed + 1}:' || epoch || ':' || source || ':' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 1, 15))::BIGINT AS place
 FROM r LEFT JOIN c USING (source)
 WHERE epoch < epochs OR (rest > 0 AND h < coalesce(cut, 9223372036854775807))
 """
