@@ -2,7 +2,8 @@
 
 Statistics of each whole text are computed once and staged (some 20 numbers a document).
 The model is fitted on a bounded sample of labelled rows: at most about ``TRAIN_ROWS``,
-picked by a hash of the doc_id; every document is scored. Random Fourier features of the
+picked by a hash of the doc_id and the statistics, after rows that are equal in both became
+one; every document is scored. Random Fourier features of the
 standardised statistics approximate a Gaussian kernel. Each of a fixed number of tasks
 sums its part of the normal equations and sends one matrix of fixed size; the ridge system
 is solved once. One labelled row in five is kept from the fit: on these rows the scores
@@ -136,7 +137,7 @@ def fit(known: DataFrame, features: int = 256, ridge: float = 1e-3, seed: int =
     """The model from ``known(doc_id, x, y)``, labelled rows that may be learned from."""
     n = known.count()
     share = min(1.0, TRAIN_ROWS / max(1, n))
-    picked = staged(known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)), "training")
+    picked = staged(known.where(F.pmod(F.xxhash64("doc_id", "x", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)), "training")
     d, random = len(NAMES), np.random.default_rng(seed)
     empty = Model(np.zeros(d), np.ones(d), random.normal(size=(d, features)) / np.sqrt(d), random.uniform(0, 2 * np.pi, features), np.zeros(features + 1), np.empty(0), np.empty(0))
     moments = picked.agg(*(f(F.get("x", F.lit(k))) for k in range(d) for f in (F.avg, F.stddev_pop))).first()
@@ -152,7 +153,7 @@ def fit(known: DataFrame, features: int = 256, ridge: float = 1e-3, seed: int =
             a += z.T @ np.concatenate([z, y[:, None]], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], names=["sums"])
 
-    parts = picked.where(~calibrates).repartition(TASKS, "doc_id").mapInArrow(equations, "sums binary")
+    parts = picked.where(~calibrates).repartition(TASKS, F.xxhash64("doc_id", "x")).mapInArrow(equations, "sums binary")
     total = sum(np.frombuffer(r.sums).reshape(features + 1, -1) for r in parts.toLocalIterator())
     a, b = total[:, :-1], total[:, -1]
     penalty = ridge * max(1.0, a[0, 0]) / features * np.eye(features + 1)
@@ -175,7 +176,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     stats = staged(text_statistics(docs), "statistics", TEXT_BATCH_ROWS)
     marks = labels.where(labels["quality"].isNotNull()).groupBy(labels["doc_id"].cast("bigint").alias("doc_id")).agg(F.avg("quality").alias("y"))
-    known = stats.where(remainder(F.col("doc_id")) != 1).join(marks, "doc_id")
+    once = stats.where((remainder(F.col("doc_id")) != 1) & F.col("doc_id").isNotNull()).groupBy("doc_id", "x").agg(F.count("*").alias("copies")).drop("copies")
+    known = once.join(marks, "doc_id")
     model = spark.sparkContext.broadcast(fit(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
