@@ -3,8 +3,9 @@
 Rules decide where one fits (the longest wins). For the rest, each host has a tree of path
 segments. Segments of a plain variable shape become wildcards at once, so the tree is built
 over the distinct shaped paths of a host and not over its URLs. Level by level from the
-host down, (1) literal segments with a small share of their parent become ``*``, and
-(2) sibling branches are merged when they are statistically alike: among siblings with the
+host down, literal segments with a small share of their parent become ``*``. Then, level by
+level from the deepest up, so that subtrees are compared as they have been generalised,
+sibling branches are merged when they are statistically alike: among siblings with the
 same main subtree, a branch joins the merged one when a chi-squared test tells neither its
 distribution over subtrees nor that of its labels from these siblings pooled. A branch
 without labels says nothing against any, so what is known of one branch reaches its
@@ -90,24 +91,31 @@ def shaped_path(path: Column) -> Column:
     return F.array_join(F.transform(F.split(path, "/", -1), shape), "/")
 
 
-def _level(tree: DataFrame, level: int, limits: Purity) -> DataFrame:
-    """One level of the tree generalised: rare literals first, then branches that are alike."""
-    at = {"prefix": F.array_join(F.slice("tokens", 1, level), "/"), "token": F.get("tokens", F.lit(level)), "rest": F.array_join(F.slice("tokens", level + 2, 1 << 20), "/")}
-    deep = F.size("tokens") > level
+def _places(level: int) -> dict[str, Column]:
+    """The tokens above a level as one string, the token there, and those below."""
+    return {"prefix": F.array_join(F.slice("tokens", 1, level), "/"), "token": F.get("tokens", F.lit(level)), "rest": F.array_join(F.slice("tokens", level + 2, 1 << 20), "/")}
 
-    def renamed(decided: DataFrame) -> DataFrame:
-        """``tree`` with the tokens of this level that ``decided`` (host, prefix, token, name) renames."""
-        keyed = tree.withColumns({k: at[k] for k in ("prefix", "token")}).join(decided, ["host", "prefix", "token"], "left")
-        new = F.transform("tokens", lambda t, k: F.when((k == level) & F.col("name").isNotNull(), F.col("name")).otherwise(t))
-        return keyed.withColumn("tokens", new).select(*tree.columns)
 
-    branches = tree.where(deep).withColumns(at).groupBy("host", "prefix", "token").agg(F.sum("n").alias("n"))
+def _renamed(tree: DataFrame, level: int, decided: DataFrame) -> DataFrame:
+    """``tree`` with the tokens of a level that ``decided`` (host, prefix, token, name) renames."""
+    at = _places(level)
+    keyed = tree.withColumns({k: at[k] for k in ("prefix", "token")}).join(decided, ["host", "prefix", "token"], "left")
+    new = F.transform("tokens", lambda t, k: F.when((k == level) & F.col("name").isNotNull(), F.col("name")).otherwise(t))
+    return keyed.withColumn("tokens", new).select(*tree.columns)
+
+
+def _rare(tree: DataFrame, level: int, limits: Purity) -> DataFrame:
+    """Literals of a level with a small share of their parent become ``*``; every path has that level."""
+    branches = tree.withColumns(_places(level)).groupBy("host", "prefix", "token").agg(F.sum("n").alias("n"))
     parents = branches.groupBy("host", "prefix").agg(F.sum("n").alias("total"))
     rare = branches.join(parents, ["host", "prefix"]).where((F.col("n") < limits.rare_share * F.col("total")) & ~F.col("token").rlike(r"^([{*]|$)"))
-    tree = renamed(rare.select("host", "prefix", "token", F.lit("*").alias("name")))
+    return _renamed(tree, level, rare.select("host", "prefix", "token", F.lit("*").alias("name")))
+
 
+def _alike(tree: DataFrame, level: int) -> DataFrame:
+    """Sibling branches of a level that are statistically alike become one; what is below them is generalised, and every path has that level."""
     by = ["host", "prefix", "main"]
-    cells = tree.where(deep & F.get("tokens", F.lit(level)).rlike(r"^[^{*]")).withColumns(at).groupBy("host", "prefix", "token", "rest").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    cells = tree.where(F.get("tokens", F.lit(level)).rlike(r"^[^{*]")).withColumns(_places(level)).groupBy("host", "prefix", "token", "rest").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     own = cells.groupBy("host", "prefix", "token").agg(F.sum("n").alias("own"), F.max_by("rest", F.struct("n", "rest")).alias("main"), F.sum("bad").alias("own_bad"), F.sum("good").alias("own_good"))
     cells = cells.join(own, ["host", "prefix", "token"])
     pool = cells.groupBy(*by, "rest").agg(F.sum("n").alias("pooled"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -122,7 +130,7 @@ def _level(tree: DataFrame, level: int, limits: Purity) -> DataFrame:
     alike = fitted.join(pools, by).withColumns({"chi": chi, "df": freedom}).where(F.col("chi") <= F.col("df") + 3 * F.sqrt(2 * F.col("df")) + 1e-9)
     several = alike.groupBy(*by).agg(F.count("*").alias("members")).where("members > 1")
     merged = alike.join(several, by).select("host", "prefix", "token", F.concat(F.lit("*"), F.substring(F.md5("main"), 1, 8)).alias("name"))
-    return renamed(merged)
+    return _renamed(tree, level, merged)
 
 
 def templates(urls: DataFrame, limits: Purity | None = None, depth: int | None = None) -> DataFrame:
@@ -131,13 +139,12 @@ def templates(urls: DataFrame, limits: Purity | None = None, depth: int | None =
     grown = urls.groupBy("host", "shaped").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("bad")), F.lit(0)).alias("bad"), F.coalesce(F.sum(1 - F.col("bad")), F.lit(0)).alias("good"))
     tree = staged(grown.withColumn("tokens", F.expr("slice(split(shaped, '/', -1), 2, 1000000)")), "paths")
     deepest = tree.agg(F.max(F.size("tokens"))).first()[0] or 0
-    ended = []
-    for level in range(deepest if depth is None else min(depth, deepest)):
-        if level:  # paths without a segment at this level are done
-            ended.append(tree.where(F.size("tokens") <= level))
-            tree = tree.where(F.size("tokens") > level)
-        tree = staged(_level(tree, level, limits), "paths")
-    tree = reduce(DataFrame.unionByName, ended, tree)
+    levels, ended = deepest if depth is None else min(depth, deepest), []
+    for level in range(levels):  # down: paths that end above a level wait
+        ended.append(tree.where(F.size("tokens") <= level))
+        tree = staged(_rare(tree.where(F.size("tokens") > level), level, limits), "paths")
+    for level in reversed(range(levels)):  # up: they come back when their level's turn is next
+        tree = staged(_alike(tree, level), "paths").unionByName(ended.pop())
     tree = tree.withColumn("template", F.array_join("tokens", "/"))
     base = tree.agg((F.sum("bad") / F.greatest(F.lit(1), F.sum("bad") + F.sum("good"))).alias("base"))
     sums = tree.groupBy("host", "template").agg((F.sum("bad") + F.sum("good")).alias("labelled"), F.sum("bad").alias("bad")).join(F.broadcast(base))  # one row
@@ -181,25 +188,29 @@ r AS (SELECT *, CASE {cases(lambda k, h, p: h + p)} END AS rule, CASE {cases(lam
     WHEN regexp_full_match(s, '[0-9A-Fa-f-]{{12,}}') THEN '{{x}}' WHEN regexp_matches(s, '^[*{{\\\\]') THEN '\\' || s ELSE s END), '/') AS shaped FROM v),
 t0 AS (SELECT host, shaped, count(*) AS n, count(*) FILTER (ruled = 'block') AS bad, count(*) FILTER (ruled = 'allow') AS good, string_split(shaped, '/')[2:] AS tokens FROM r GROUP BY host, shaped)"""
     ]
+    keys = lambda k: f"array_to_string(tokens[1:{k}], '/') AS prefix, tokens[{k + 1}] AS token, array_to_string(tokens[{k + 2}:], '/') AS rest"
+    swap = lambda k: f"list_concat(tokens[1:{k}], CASE WHEN len(tokens) > {k} THEN [coalesce(d.name, tokens[{k + 1}])] ELSE [] END, tokens[{k + 2}:])"
+    join = lambda k: f"ON d.host = t.host AND d.prefix = array_to_string(t.tokens[1:{k}], '/') AND d.token = t.tokens[{k + 1}]"
     for k in range(depth):
-        keys = f"array_to_string(tokens[1:{k}], '/') AS prefix, tokens[{k + 1}] AS token, array_to_string(tokens[{k + 2}:], '/') AS rest"
-        swap = f"list_concat(tokens[1:{k}], CASE WHEN len(tokens) > {k} THEN [coalesce(d.name, tokens[{k + 1}])] ELSE [] END, tokens[{k + 2}:])"
-        join = lambda d: f"ON d.host = t.host AND d.prefix = array_to_string(t.tokens[1:{k}], '/') AND d.token = t.tokens[{k + 1}]"  # noqa: E731, B023
         parts.append(
-            f"""b{k} AS (SELECT host, prefix, token, sum(n) AS n FROM (SELECT *, {keys} FROM t{k} WHERE len(tokens) > {k}) GROUP BY ALL),
+            f"""b{k} AS (SELECT host, prefix, token, sum(n) AS n FROM (SELECT *, {keys(k)} FROM t{k} WHERE len(tokens) > {k}) GROUP BY ALL),
 d{k} AS (SELECT host, prefix, token, '*' AS name FROM (SELECT *, sum(n) OVER (PARTITION BY host, prefix) AS total FROM b{k}) WHERE n < {limits.rare_share} * total AND NOT regexp_matches(token, '^([{{*]|$)')),
-s{k} AS (SELECT t.host, shaped, n, bad, good, {swap} AS tokens FROM t{k} t LEFT JOIN d{k} d {join("d")}),
-c{k} AS (SELECT host, prefix, token, rest, sum(n) AS n, sum(bad) AS bad, sum(good) AS good FROM (SELECT *, {keys} FROM s{k} WHERE len(tokens) > {k} AND regexp_matches(tokens[{k + 1}], '^[^{{*]')) GROUP BY ALL),
+t{k + 1} AS (SELECT t.host, shaped, n, bad, good, {swap(k)} AS tokens FROM t{k} t LEFT JOIN d{k} d {join(k)})"""
+        )
+    for k in reversed(range(depth)):
+        tree = f"t{depth}" if k == depth - 1 else f"u{k + 1}"
+        parts.append(
+            f"""c{k} AS (SELECT host, prefix, token, rest, sum(n) AS n, sum(bad) AS bad, sum(good) AS good FROM (SELECT *, {keys(k)} FROM {tree} WHERE len(tokens) > {k} AND regexp_matches(tokens[{k + 1}], '^[^{{*]')) GROUP BY ALL),
 k{k} AS (SELECT host, prefix, token, sum(n) AS own, first(rest ORDER BY n DESC, rest DESC) AS main, sum(bad) AS own_bad, sum(good) AS own_good FROM c{k} GROUP BY host, prefix, token),
 p{k} AS (SELECT *, sum(n) OVER (PARTITION BY host, prefix, main, rest) AS pooled, sum(n) OVER w AS everything, sum(bad) OVER w AS all_bad, sum(good) OVER w AS all_good FROM c{k} JOIN k{k} USING (host, prefix, token) WINDOW w AS (PARTITION BY host, prefix, main)),
 z{k} AS (SELECT host, prefix, main, count(DISTINCT rest) - 1 + CASE WHEN max(all_bad) > 0 AND max(all_good) > 0 THEN 1 ELSE 0 END AS df FROM p{k} GROUP BY ALL),
 y{k} AS (SELECT host, prefix, main, token, sum(n::DOUBLE * n * everything / (own * pooled)) - max(own) AS chi, max(own_bad)::DOUBLE AS b, max(own_good)::DOUBLE AS g, max(all_bad) AS all_b, max(all_good) AS all_g FROM p{k} GROUP BY ALL),
 a{k} AS (SELECT host, prefix, main, token, df, chi + CASE WHEN b + g > 0 THEN (CASE WHEN all_b > 0 THEN b * b * (all_b + all_g) / ((b + g) * all_b) ELSE 0 END) + (CASE WHEN all_g > 0 THEN g * g * (all_b + all_g) / ((b + g) * all_g) ELSE 0 END) - b - g ELSE 0 END AS chi FROM y{k} JOIN z{k} USING (host, prefix, main)),
 m{k} AS (SELECT host, prefix, token, '*' || substr(md5(main), 1, 8) AS name, count(*) OVER (PARTITION BY host, prefix, main) AS members FROM a{k} WHERE chi <= df + 3 * sqrt(2 * df) + 1e-9),
-t{k + 1} AS (SELECT t.host, shaped, n, bad, good, {swap} AS tokens FROM s{k} t LEFT JOIN (SELECT * FROM m{k} WHERE members > 1) d {join("d")})"""
+u{k} AS (SELECT t.host, shaped, n, bad, good, {swap(k)} AS tokens FROM {tree} t LEFT JOIN (SELECT * FROM m{k} WHERE members > 1) d {join(k)})"""
         )
     parts.append(
-        f"""f AS (SELECT host, shaped, bad, good, array_to_string(tokens, '/') AS template FROM t{depth}),
+        f"""f AS (SELECT host, shaped, bad, good, array_to_string(tokens, '/') AS template FROM u0),
 j AS (SELECT host, template, sum(bad + good) AS labelled, (sum(bad) + {limits.prior_weight} * (SELECT sum(bad) / greatest(1, sum(bad + good)) FROM f)) / (sum(bad + good) + {limits.prior_weight}) AS purity FROM f GROUP BY ALL)"""
     )
     return (
