@@ -7,7 +7,7 @@ import tracemalloc
 
 import numpy as np
 
-from sparkloom.llm import decontaminate
+from sparkloom.llm import columns, decontaminate
 from sparkloom.llm.decontaminate import contamination, remove_contaminated
 
 UP = {i: i + 32 for i in range(65, 91)}
@@ -130,3 +130,13 @@ def test_a_full_block_takes_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 300 << 20
+
+
+def test_many_copies_over_several_blocks(spark, monkeypatch):
+    docs, items = sample()
+    monkeypatch.setattr(columns, "COPIES", 4)
+    rows = docs[:9] + [docs[8]] * 22 + [(None, docs[7][1])] * 9
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = contamination(d, spark.createDataFrame(items, "item_id long, text string"), block_bytes=200).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=key) == sorted(((i, *brute(t, items)) for i, t in rows), key=key)

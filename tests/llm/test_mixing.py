@@ -6,6 +6,10 @@ from collections import Counter, defaultdict
 import pytest
 
 from sparkloom.llm import mixing
+import duckdb
+import pandas as pd
+
+from sparkloom.llm import columns, mixing
 from sparkloom.llm.mixing import Target, mix, mixed_documents, mixture, _rows
 
 SCHEMA = "doc_id long, text string, source string, epoch int, weight string"
@@ -64,3 +68,19 @@ def test_cases(spark):
     got = mix(df).collect()
     assert {r.doc_id for r in got} == {1, 2, None, 3} and sum(r.doc_id == 3 for r in got) == 1
     assert Counter(r.doc_id for r in mixed_documents(df).collect()) == Counter(r.doc_id for r in got)
+
+
+def test_a_third_of_all_rows_without_an_id_or_alike(spark, monkeypatch):
+    """Hot rows are one row with a number in the sums; the result is that of the SQL over single rows."""
+    rows = [(None, f"t{i} " * (1 + i % 5), "s1", "en") for i in range(200)] + [(7, "the same words", "s2", "en")] * 300 + [(i, f"w{i} " * (1 + i % 7), f"s{i % 3}", "en") for i in range(300)]
+    monkeypatch.setattr(columns, "COPIES", 64)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    frame = pd.DataFrame(rows, columns=["doc_id", "text", "source", "lang"]).astype({"doc_id": "Int64"})
+    c = duckdb.connect()
+    c.register("documents", frame)
+    want = sorted(map(repr, c.execute(f"SELECT doc_id, source, n_tokens, weight, epoch, block, place FROM ({mixing.ORACLE})").fetchall()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    got = mix(docs, mixing.QUERY).select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "place").collect()
+    assert sorted(repr(tuple(r)) for r in got) == want
+    drawn = mixed_documents(docs, mixing.QUERY)
+    assert drawn.count() == len(want) and drawn.where("doc_id = 7 AND source = 's2'").count() == sum("'s2'" in w and w.startswith("(7,") for w in want)

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from sparkloom.llm import quality_classifier
 from sparkloom.llm.quality_classifier import NAMES, fit, isotonic, quality_scores, statistics, text_statistics
 
 
@@ -92,3 +93,18 @@ def test_summed_equations_fit_what_one_solve_over_all_rows_fits(spark):
     rise = [max(min(mean(a, b) for b in range(k, len(v))) for a in range(k + 1)) for k in range(len(v))]  # max-min form of isotonic regression
     pools = [p for k, p in enumerate(rise) if k == 0 or p > rise[k - 1] + 1e-12]
     assert np.allclose(model.values, pools, atol=1e-6)
+
+
+def test_a_third_of_all_rows_with_one_id(spark, monkeypatch):
+    """They teach once for each text, and the sample stays within its bound."""
+    monkeypatch.setattr(quality_classifier, "TRAIN_ROWS", 60)
+    good, bad = "A calm sentence about the river and its banks. " * 4, "BUY $$$ now!!! *** click | click | click "
+    rows = [(5, good)] * 300 + [(5, f"{good} {i}") for i in range(200)] + [(None, bad)] * 200 + [(i, good if i % 2 else bad) for i in range(10, 310)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(5, 1), *((i, i % 2) for i in range(10, 310))], "doc_id long, quality int")
+    sizes = []
+    fit = quality_classifier.fit
+    monkeypatch.setattr(quality_classifier, "fit", lambda known: (sizes.append((known.count(), known.where("doc_id = 5").count())), fit(known))[1])
+    got = quality_scores(docs, labels).collect()
+    assert len(got) == len(rows) and sizes[0][1] in (0, 201) and sizes[0][0] <= 501
+    assert len({r.score for r in got if r.doc_id is None}) == 1 and all(0 <= r.score <= 1 for r in got)

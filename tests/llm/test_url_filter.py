@@ -80,3 +80,14 @@ def test_levels_below_the_fourth_are_generalised(spark):
     got = run(spark, urls, labels=labels)
     assert {got[i].template for i in range(300)} == {"a/b/c/d/*"}
     assert all(got[i].verdict == "block" for i in range(300)) and all(got[i].verdict == "allow" for i in range(300, 320))
+
+
+def test_sections_of_slugs_are_merged_like_sections_of_numbers(spark):
+    """What is known of /es/ reaches /pt/, whether pages below are numbers or words: subtrees are compared after they are generalised."""
+    word = lambda i: "".join(chr(97 + (i * k) % 26) for k in (1, 3, 5, 7)) + chr(97 + i // 26) + "-story"
+    for name in (str, word):
+        urls = [f"http://site.org/{s}/{name(i)}" for s in ("es", "pt") for i in range(100)]
+        got = run(spark, urls)
+        assert len({r.template for r in got.values()}) == 1 and {r.verdict for r in got.values()} == {"block"}
+    deep = run(spark, [f"http://site.org/{s}/{word(i)}/{word(i + 1)}" for s in ("es", "pt") for i in range(100)] + [f"http://site.org/fr/{i}" for i in range(100)])
+    assert {deep[i].verdict for i in range(200)} == {"block"} and {deep[i].verdict for i in range(200, 300)} == {"allow"}
