@@ -36,7 +36,7 @@ from sparkloom.operators.topk import COVER, cover_rank, query_blocks
 from sparkloom.storage import small_batches, staged
 
 #: Texts in a range; bytes of index in a folder, about, and folders at most.
-RANGE_DOCS, FOLDER_TEXTS, FOLDERS = 256, 20_000, 4096
+RANGE_DOCS, FOLDER_TEXTS, FOLDERS = 1024, 20_000, 4096
 BLOCK = "term string, range bigint, n int, most int, ids array<bigint>, tfs array<int>, places array<int>"
 BLOCKS = f"{BLOCK}, segment int, folder int"
 
