@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from sparkloom.functions import text as T
 from sparkloom.plans.registry import query
 from sparkloom.storage import table
+from sparkloom.streaming import folds
 
 # Thresholds of warnings.
 LOW_SCORE, FAIL_RATE, MIN_SAMPLES, QUEUE_DEPTH = 0.7, 0.15, 5, 50
@@ -159,9 +160,9 @@ def session_reuse_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("user_id", "run").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
-@query("SELECT user_id, strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M') AS slot, count(*) AS n, greatest(0, count(*) - 3) AS rejected FROM events GROUP BY user_id, time_bucket(INTERVAL 10 MINUTE, ts) HAVING count(*) > 1")
+@query("SELECT user_id, strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M') AS slot, count(*) AS n, greatest(0, count(*) - 3) AS rejected FROM events GROUP BY user_id, time_bucket(INTERVAL 10 MINUTE, ts)")
 def rate_limit_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "events").groupBy("user_id", F.window(F.col("ts").cast("timestamp"), "10 minutes").alias("w")).agg(F.count("*").alias("n")).where("n > 1")
+    g = table(spark, sf_dir, "events").groupBy("user_id", F.window(F.col("ts").cast("timestamp"), "10 minutes").alias("w")).agg(F.count("*").alias("n"))
     return g.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("slot"), "n", F.greatest(F.lit(0), F.col("n") - 3).alias("rejected"))
 
 
@@ -176,20 +177,54 @@ def priority_aging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(at).select("event_id", priority.cast("bigint").alias("priority"), (wait > 900).alias("overdue")).orderBy(F.desc("priority"), "event_id").limit(5)
 
 
-@query("""WITH p AS (SELECT event_id, user_id, event_type, value, lag(event_type) OVER w AS last_type, lag(floor(value / 10)) OVER w AS last_step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id FROM p WHERE last_type IS NULL OR last_type <> event_type OR floor(value / 10) <> last_step""")
+#: Events in the order in which folds take them.
+ORDERED = "e AS (SELECT user_id, event_id, event_type, value, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events)"
+
+
+def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+
+
+@query(f"""WITH RECURSIVE {ORDERED},
+r AS (SELECT user_id, n, event_id, [ms] AS kept, true AS accepted FROM e WHERE n = 1
+  UNION ALL SELECT user_id, n, event_id, CASE WHEN len(live) < 3 THEN list_append(live, ms) ELSE live END, len(live) < 3
+  FROM (SELECT e.user_id, e.n, e.event_id, e.ms, list_filter(r.kept, lambda x: e.ms - x < 172800000) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, accepted FROM r""")
+def rate_limit_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which events pass a limit of three accepted ones in the two days before."""
+    return folds.batch(timed_events(spark, sf_dir), "user_id", folds.SlidingLimit(3, 172_800))
+
+
+@query(f"""WITH RECURSIVE {ORDERED}, s AS (SELECT user_id, n, event_id, ms, CASE WHEN event_type = 'purchase' THEN 'sold' ELSE 'seen' END AS stage, floor(value / 5)::INT AS pct FROM e),
+r AS (SELECT user_id, n, event_id, ms AS last, stage AS last_stage, pct AS last_pct, true AS sent FROM s WHERE n = 1
+  UNION ALL SELECT user_id, n, event_id, CASE WHEN ok THEN ms ELSE last END, CASE WHEN ok THEN stage ELSE last_stage END, CASE WHEN ok THEN pct ELSE last_pct END, ok
+  FROM (SELECT s.user_id, s.n, s.event_id, ms, stage, pct, last, last_stage, last_pct,
+    stage <> last_stage OR (pct IS NOT NULL AND (last_pct IS NULL OR abs(pct - last_pct) >= 5)) OR ms - last >= 86400000 AS ok FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1))
+SELECT user_id, event_id FROM r WHERE sent""")
 def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Progress is published at first, on a change of stage, and on each new step of ten."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e, step = table(spark, sf_dir, "events"), F.floor(F.col("value") / 10)
-    p = e.select("event_id", "event_type", step.alias("step"), F.lag("event_type").over(w).alias("last_type"), F.lag(step).over(w).alias("last_step"))
-    return p.where("last_type IS NULL OR last_type <> event_type OR step <> last_step").select("event_id")
+    """Progress is published at first, on a change of stage, on a step of five since the last published one, and a day after it."""
+    stage = F.when(F.col("event_type") == "purchase", "sold").otherwise("seen")
+    e = timed_events(spark, sf_dir).select("user_id", "event_id", "at", stage.alias("stage"), F.floor(F.col("value") / 5).cast("double").alias("percent"))
+    return folds.batch(e, "user_id", folds.Throttle(seconds=86_400))
 
 
-@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 32")
+@query("""WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, max(epoch_ms(ts)) OVER (PARTITION BY user_id) AS last FROM events)
+SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) AS n FROM e) WHERE n <= 32 AND last - ms <= 604800000""")
 def replay_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).where("n <= 32").select("user_id", "event_id")
+    """What a user's buffer holds after the last event: 32 at most, none older than a week then."""
+    e = timed_events(spark, sf_dir).select("user_id", "event_id", F.unix_millis("at").alias("ms"))
+    user = Window.partitionBy("user_id")
+    last = e.withColumn("last", F.max("ms").over(user)).withColumn("n", F.row_number().over(user.orderBy(F.desc("ms"), F.desc("event_id"))))
+    return last.where((F.col("n") <= folds.REPLAY_EVENTS) & (F.col("last") - F.col("ms") <= 604_800_000)).select("user_id", "event_id")
+
+
+@query()
+def job_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a queue does with each user's job: publish, retry after an hour, replay after a day, take back after two, give up; a test holds the fold."""
+    i = F.col("event_id")
+    kind = F.when(i % 5 == 0, "submit").when(i % 5 == 1, "start").when(i % 5 == 2, "beat").when(i % 10 == 3, "success").otherwise("failure")
+    e = timed_events(spark, sf_dir).select("user_id", "event_id", "at", kind.alias("kind"))
+    return folds.batch(e, "user_id", folds.Retries(retry=3600, again=86_400, lost=172_800))
 
 
 @query("SELECT o_custkey AS file_id, o_orderkey AS job, o_orderkey < max(o_orderkey) OVER (PARTITION BY o_custkey) AS superseded FROM orders")
