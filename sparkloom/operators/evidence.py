@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as T
+from sparkloom.storage import small_frames
 
 # Sizes and weights of sampled windows, the radius around a citation, bounds of a trace.
 WINDOWS, SHORTEST, LONGEST, LEAD = 20, 400, 800, 120
@@ -176,7 +177,7 @@ def verified_citations(citations: DataFrame) -> DataFrame:
     """``citations(doc_id, excerpt, text)`` checked against the text: (doc_id, excerpt, verified, start, end, context, source_sha256)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in small_frames(batches):
             found = pd.DataFrame([verify(t, e) for t, e in zip(pdf["text"], pdf["excerpt"])], columns=["verified", "start", "end", "context"])
             yield pd.concat([pdf[["doc_id", "excerpt", "source_sha256"]].reset_index(drop=True), found.astype({"start": "Int64", "end": "Int64"})], axis=1)
 

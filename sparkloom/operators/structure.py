@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as T
+from sparkloom.storage import small_frames
 
 # Sizes in characters by profile.
 PROFILES = {"default": (800, 100), "long_doc": (1200, 150), "qa_pairs": (512, 64), "table_heavy": (600, 80), "large": (1800, 150)}
@@ -132,7 +133,7 @@ def text_chunks(docs: DataFrame, size: int = 800, overlap: int = 100, recursive:
     """(doc_id, chunk_index, char_start, char_end, text) by paragraphs, long ones by separators where ``recursive``; rows stay in place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in small_frames(batches):
             rows = [(i, n, *c) for i, t in zip(pdf["doc_id"], pdf["text"]) for n, c in enumerate(paragraph_spans(t or "", size, overlap, recursive))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "char_start", "char_end", "text"])
 
@@ -167,7 +168,7 @@ def markdown_chunks(docs: DataFrame, size: int = 800, overlap: int = 100, recurs
     columns = ["doc_id", "chunk_index", "char_start", "char_end", "kind", "path", "loc_type", "loc", "loc_label", "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in small_frames(batches):
             rows = [(i, n, *c) for i, t in zip(pdf["doc_id"], pdf["text"]) for n, c in enumerate(structured_chunks(t or "", size, overlap, recursive))]
             yield pd.DataFrame(rows, columns=columns).astype({"loc": "Int32"})
 
@@ -222,7 +223,7 @@ def markdown_blocks(body: str) -> Iterator[tuple[str, str, int, int, str]]:
 
 def block_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in small_frames(batches):
             rows = [(i, n, *b) for i, t in zip(pdf["doc_id"], pdf["text"]) for n, b in enumerate(markdown_blocks(t or ""))]
             yield pd.DataFrame(rows, columns=["doc_id", "block", "kind", "path", "start", "end", "text"])
 

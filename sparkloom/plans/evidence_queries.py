@@ -17,14 +17,16 @@ from sparkloom.plans.search import SearchOptions, funnel
 from sparkloom.storage import table, texts
 
 ASKED = ["合同", " 报告 ", "发票", "AFRICA", "简历"]
-SQL_LISTS = ", ".join(f"({k}, [{', '.join(repr(t) for t in E.EXPANSIONS.get(q.strip(), [q.strip()]))}])" for k, q in enumerate(ASKED))
+SQL_LISTS = ", ".join(f"({k}, {q!r}, {terms!r})" for k, (q, terms) in enumerate(E.EXPANSIONS.items()))
 
 
-@query(f"SELECT r_regionkey AS query_id, (unnest(generate_series(1, len(l))) - 1)::INT AS n, unnest(l) AS term FROM region JOIN (VALUES {SQL_LISTS}) v(k, l) ON k = r_regionkey")
+@query(f"""WITH q AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(split_part(text, ' ', 1)) ELSE [{", ".join(repr(q.strip()) for q in ASKED)}][1 + doc_id % {len(ASKED)}] END AS t FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, coalesce(l, [t]) AS l FROM q LEFT JOIN (VALUES {SQL_LISTS}) v(k, w, l) ON w = t)
+SELECT doc_id AS query_id, (unnest(generate_series(1, len(l))) - 1)::INT AS n, unnest(l) AS term FROM x""")
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What short terms are searched as."""
-    names = F.array(*map(F.lit, ASKED))
-    asked = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.get(names, F.col("r_regionkey").cast("int")).alias("text"))
+    """What short terms are searched as: the first words of half the documents, and terms among which some are known."""
+    some = F.get(F.array(*map(F.lit, ASKED)), (F.col("doc_id") % len(ASKED)).cast("int"))
+    asked = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 2 == 0, F.substring_index("text", " ", 1)).otherwise(some).alias("text"))
     return E.expanded(asked)
 
 
@@ -128,13 +130,17 @@ def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH d AS (SELECT doc_id, text, trim(substr(text, 11, 60)) AS x FROM documents WHERE length(text) >= 100),
-e AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN x || ' zzz' ELSE x END AS x FROM d)
-SELECT doc_id, sha256(text) AS source_sha256, contains(regexp_replace(text, '\s+', ' ', 'g'), trim(regexp_replace(x, '\s+', ' ', 'g'))) AS verified FROM e""")
+e AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN x || ' zzz' ELSE x END AS x FROM d),
+p AS (SELECT doc_id, text, '(?s)^(.*?)(' || array_to_string(list_transform(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> ''), lambda w: regexp_escape(w)), '\s+') || ')' AS p FROM e),
+f AS (SELECT doc_id, text, regexp_matches(text, p) AS verified, length(regexp_extract(text, p, 1)) AS a, length(regexp_extract(text, p, 2)) AS n FROM p)
+SELECT doc_id, sha256(text) AS source_sha256, verified, CASE WHEN verified THEN a END AS start, CASE WHEN verified THEN a + n END AS "end",
+  CASE WHEN verified THEN sha256(substr(text, greatest(0, a - 240) + 1, a + n + 240 - greatest(0, a - 240))) END AS context_sha256 FROM f""")
 def citation_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts with other white space checked against their sources; one in five is not in its source."""
+    """Excerpts with other white space checked against their sources, with their places and what stands around; one in five is not in its source."""
     d = texts(spark, sf_dir).where(F.length("text") >= 100).select("doc_id", "text", F.trim(F.substring("text", 11, 60)).alias("x"))
     said = F.regexp_replace(F.when(F.col("doc_id") % 5 == 0, F.concat("x", F.lit(" zzz"))).otherwise(F.col("x")), " ", " 　\n")
-    return E.verified_citations(d.select("doc_id", said.alias("excerpt"), "text")).select("doc_id", "source_sha256", "verified")
+    found = E.verified_citations(d.select("doc_id", said.alias("excerpt"), "text"))
+    return found.select("doc_id", "source_sha256", "verified", "start", "end", F.sha2("context", 256).alias("context_sha256"))
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders), l AS (SELECT o_custkey, list(o_orderkey ORDER BY n) AS ids, count(*) AS c FROM o WHERE n <= 100 GROUP BY o_custkey),
@@ -211,12 +217,14 @@ def slug_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.renamed_slug(note, "economy", "budget").alias("text"))
 
 
-@query("""WITH t AS (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '知识库 Search' WHEN 1 THEN '发 x_1' ELSE 'Plain 检索' END AS q FROM nation)
-SELECT n_nationkey, array_to_string(CASE n_nationkey % 3 WHEN 0 THEN ['知识', '识库', 'search'] WHEN 1 THEN ['发', 'x_1'] ELSE ['plain', '检索'] END, ' ') AS tokens FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '') || ' 检索' || coalesce(lang, '') || '知识库x_1发'), '[一-鿿]+|[a-z0-9_]+') AS r FROM documents),
+f AS (SELECT doc_id, flatten(list_transform(r, lambda x: CASE WHEN regexp_full_match(x, '[一-鿿]{2,}') THEN list_transform(generate_series(1, length(x) - 1), lambda k: substr(x, k, 2)) ELSE [x] END)) AS t FROM t)
+SELECT doc_id, len(t) AS n_tokens, sha256(array_to_string(t, ' ')) AS tokens_sha256 FROM f""")
 def analyzer_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of mixed scripts."""
-    k = F.col("n_nationkey") % 3
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(T.analysed(F.when(k == 0, "知识库 Search").when(k == 1, "发 x_1").otherwise("Plain 检索"), "cjk"), " ").alias("tokens"))
+    """Tokens of whole documents that end in mixed scripts."""
+    mixed = F.concat(F.coalesce("text", F.lit("")), F.lit(" 检索"), F.coalesce("lang", F.lit("")), F.lit("知识库x_1发"))
+    tokens = texts(spark, sf_dir).select("doc_id", T.analysed(mixed, "cjk").alias("t"))
+    return tokens.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_sha256"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '|' || p_brand WHEN 1 THEN p_name || '|' || p_type || '|' || p_brand ELSE '' END AS anchors FROM part""")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -113,3 +114,10 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = TEXT_BATCH_ROWS
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def small_frames(frames: Iterator[pd.DataFrame], rows: int = TEXT_BATCH_ROWS) -> Iterator[pd.DataFrame]:
+    """Frames cut like ``small_batches``, so that what is made of whole texts is passed on a few texts at a time."""
+    for f in frames:
+        for at in range(0, len(f), rows):
+            yield f.iloc[at : at + rows].reset_index(drop=True)
