@@ -19,7 +19,8 @@ FUNCTIONAL = ("located_in", "based_in", "headquartered_in", "resides_in", "statu
 PRESENCE = "哪年|年份|何时|when|year|date|期间|时间段|period|duration"
 PROJECT = r"worked\s+on|参与.{0,8}项目|共同.{0,8}项目|哪个项目|which\s+project"
 # The words by which a question is cut. Latin ones are matched at the start of a word.
-JOINING_MARKS = ("、", "，", ",", "和", "与", "跟")
+LIST_MARKS = ("、", "，", ",")
+JOINING_MARKS = ("和", "与", "跟")
 JOINING_WORD = "and"
 RELATION_MARKS = ("同事", "合作", "关联", "关系")
 RELATION_WORDS = ("coworker", "collaborate", "collaboration", "related")
@@ -28,8 +29,8 @@ TIME_MARKS = ("哪年", "何时", "什么时候")
 SENTENCE_MARKS = ("?", "？", "。", "！", "!")
 VERBS = ("worked", "were", "was", "are", "is", "have", "had", "collaborat", "related", "cowork")
 NOT_NAMES = ("什么关系", "是不是同事", "是否合作", "有什么关系")
-#: Stands for a joining word or mark between tokens.
-JOINT = "\u0001"
+#: Stand for a joining word or mark, and for a mark of a list, between tokens.
+JOINT, NEXT = "\u0001", "\u0002"
 
 
 def squeezed(text: Column) -> Column:
@@ -37,11 +38,12 @@ def squeezed(text: Column) -> Column:
 
 
 def question_tokens(asked: Column) -> Column:
-    """Words of a question; marks and the fixed words of scripts without spaces are tokens of their own, joining ones are ``JOINT``."""
+    """Words of a question; marks and the fixed words of scripts without spaces are tokens of their own, joining ones are ``JOINT``, those of a list ``NEXT``."""
     longest = sorted((*RELATION_MARKS, *LEAD_INS, *TIME_MARKS, *SENTENCE_MARKS), key=len, reverse=True)
     spaced = F.regexp_replace(asked, "|".join(re.escape(x) for x in longest) + "|(19|20)[0-9]{2} ?年", " $0 ")
-    for mark in JOINING_MARKS:
-        spaced = F.replace(spaced, F.lit(mark), F.lit(f" {JOINT} "))
+    for marks, sign in ((JOINING_MARKS, JOINT), (LIST_MARKS, NEXT)):
+        for mark in marks:
+            spaced = F.replace(spaced, F.lit(mark), F.lit(f" {sign} "))
     words = F.filter(F.split(spaced, " "), lambda t: t != "")
     return F.transform(words, lambda t: F.when(F.lower(t) == JOINING_WORD, JOINT).otherwise(t))
 
@@ -58,8 +60,8 @@ def _before(tokens: Column, stop: Callable[[Column, Column], Column]) -> Column:
 
 
 def _names(tokens: Column) -> Column:
-    """What stands between the joints."""
-    return F.filter(F.transform(F.split(F.array_join(tokens, " "), JOINT), lambda p: F.trim(p)), lambda p: p != "")
+    """What stands between joints and marks of a list."""
+    return F.filter(F.transform(F.split(F.array_join(tokens, " "), f"[{JOINT}{NEXT}]"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def anchors(question: Column) -> Column:
@@ -79,7 +81,7 @@ def anchors(question: Column) -> Column:
         """The text up to the first joint, and from there to a verb or the sentence's end."""
         at = F.array_position(tokens, F.lit(JOINT)).cast("int")
         left, right = F.slice(tokens, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(tokens, at + 1, F.size(tokens))
-        said = lambda ts: F.array_join(F.transform(ts, lambda t: F.when(t == JOINT, JOINING_WORD).otherwise(t)), " ")
+        said = lambda ts: F.array_join(F.transform(ts, lambda t: F.when(t == JOINT, JOINING_WORD).when(t == NEXT, ",").otherwise(t)), " ")
         names = lambda r: F.array(said(left), said(F.concat(F.slice(r, 1, 1), let(F.slice(r, F.lit(2), F.size(r)), lambda rest: _before(rest, ends)))))
         return F.when(at > 1, F.filter(let(right, names), lambda p: p != "")).otherwise(none)
 

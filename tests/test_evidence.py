@@ -57,7 +57,8 @@ def test_renamed_slug(spark):
     ("Alice和张三什么关系", ["Alice", "张三"]),
     ("张三是谁？", ["张三是谁"]), ("什么关系", []),
     ("x " * 40 + "and Bob were here", [("x " * 40).strip(), "Bob"]),
-    ("a, b, c, d, e, f, g, h, i related", ["a", "b , c , d , e , f , g , h , i related"]),
+    ("a, b, c, d, e, f, g, h, i related", []),
+    ("a, b, c, d, e, f, g, h, i and j related", ["a , b , c , d , e , f , g , h , i", "j"]),
     ("Ann", []), ("", []), (None, []),
 ])
 def test_anchors(spark, question, want):
