@@ -258,7 +258,10 @@ class Ordered(StatefulProcessor):
 
 
 def stream(events: DataFrame, key: str, fold: Fold, delay: str = "1 hour") -> DataFrame:
-    """What ``batch`` gives, of a stream; the results of a key come once the watermark has passed them."""
+    """What ``batch`` gives, of a stream; the results of a key come once the watermark has passed them.
+
+    Sets the session's state store to RocksDB, which such processors need, for streams that start later.
+    """
     spark = events.sparkSession
     kind = events.schema[key].dataType.simpleString()
     timed = events.where(F.col(key).isNotNull()).withWatermark("at", delay)
