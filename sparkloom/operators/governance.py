@@ -94,8 +94,8 @@ def entity_neighbours(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """
     seeds = hits.where(F.col("rank") <= SEEDS)
     named = seeds.join(edges, ["file_id", "chunk_id"]).select("query_id", "entity").distinct()
-    files = seeds.select("query_id", "file_id").distinct().join(edges, "file_id")
-    near = files.join(named, ["query_id", "entity"], "left_semi").select("query_id", "chunk_id").distinct().join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    files = seeds.select("query_id", "file_id").distinct().join(named, "query_id")  # what may be named where, so that a file's chunks meet only these
+    near = files.join(edges, ["file_id", "entity"]).select("query_id", "chunk_id").distinct().join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))
     return near.withColumn("n", first).where(F.col("n") <= NEIGHBOURS).select("query_id", "chunk_id", F.lit(NEIGHBOUR_SCORE).alias("score"))
 

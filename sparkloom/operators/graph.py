@@ -134,14 +134,22 @@ def expand_by_links(hits: DataFrame, edges: DataFrame, seeds: int = 3, neighbour
 
 
 def expand_by_entities(seeds: DataFrame, mentions: DataFrame, hops: int = 2, most: int = 200) -> DataFrame:
-    """(query_id, event, hop) reached from ``seeds(query_id, event)`` over shared entities of ``mentions(event, entity)``."""
-    seen = staged(seeds.select("query_id", "event", F.lit(0).alias("hop")).distinct(), "events")
+    """(query_id, event, hop) reached from ``seeds(query_id, event)`` over shared entities of ``mentions(event, entity)``.
+
+    The first ``most`` of each query, by hop and event; each hop is cut likewise, for what comes
+    later in it can't be among them. At most ``most`` events of a query are known before a hop,
+    so the first ``2 * most`` events of an entity are all that a hop can use of it.
+    """
+    cut = lambda events: events.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "event"))).where(F.col("n") <= most).drop("n")
+    seen = staged(cut(seeds.select("query_id", "event", F.lit(0).alias("hop")).distinct()), "events")
+    once = mentions.select("event", "entity").distinct()
+    place = F.row_number().over(Window.partitionBy("entity").orderBy("event"))
+    first = staged(once.withColumn("n", place).where(F.col("n") <= 2 * most).drop("n"), "entity-events")
     for h in range(1, hops + 1):
         entities = seen.where(F.col("hop") == h - 1).join(mentions, "event").select("query_id", "entity").distinct()
-        found = entities.join(mentions, "entity").select("query_id", "event", F.lit(h).alias("hop")).distinct().join(seen.select("query_id", "event"), ["query_id", "event"], "left_anti")
-        seen = staged(seen.unionByName(found), "events")
-    order = Window.partitionBy("query_id").orderBy("hop", "event")
-    return seen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+        found = entities.join(first, "entity").select("query_id", "event", F.lit(h).alias("hop")).distinct().join(seen.select("query_id", "event"), ["query_id", "event"], "left_anti")
+        seen = staged(cut(seen.unionByName(found)), "events")
+    return seen
 
 
 def claim_paths(claims: DataFrame, starts: DataFrame, hops: int = 3, fan_out: int = 24) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as T
-from sparkloom.operators.topk import cosine_scorer, query_blocks, scan_terms, scan_topk
+from sparkloom.operators.topk import cosine_scorer, query_blocks, scan_terms, scan_topk, scoped_cosine_scorer
 
 # Constants that results depend on.
 RRF_K = 60
@@ -33,9 +33,16 @@ def _or_none(found: DataFrame | None, like: DataFrame) -> DataFrame:
     return found if found is not None else like.sparkSession.createDataFrame([], HITS)
 
 
-def vector_candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Nearest ``vectors(id, embedding)`` for each of ``queries(query_id, embedding)``, exactly."""
-    return _or_none(scan_topk(vectors, query_blocks(queries), cosine_scorer, k), vectors)
+def with_files(queries: DataFrame, within: DataFrame) -> DataFrame:
+    """The queries that ``within(query_id, file_id)`` names, with the ``files`` in which they search: few a query."""
+    return queries.join(within.where("file_id IS NOT NULL").groupBy("query_id").agg(F.collect_set("file_id").alias("files")), "query_id")
+
+
+def vector_candidates(vectors: DataFrame, queries: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
+    """Nearest ``vectors(id, embedding)`` for each of ``queries(query_id, embedding)``, exactly; ``within`` its files, where vectors have a ``file_id``."""
+    if within is None:
+        return _or_none(scan_topk(vectors, query_blocks(queries), cosine_scorer, k), vectors)
+    return _or_none(scan_topk(vectors.select("id", "embedding", "file_id"), query_blocks(with_files(queries, within)), scoped_cosine_scorer, k), vectors)
 
 
 def text_candidates(docs: DataFrame, queries: DataFrame, k: int, every: bool = False) -> DataFrame:
@@ -45,9 +52,10 @@ def text_candidates(docs: DataFrame, queries: DataFrame, k: int, every: bool = F
     return _or_none(None if found is None else found.drop("whole").withColumn("rank", F.row_number().over(order)), docs)
 
 
-def text_candidates_with_fallback(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best with every term; where these are few, the k best with any term stand behind them."""
-    found = scan_terms(docs, query_blocks(queries), k)
+def text_candidates_with_fallback(docs: DataFrame, queries: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
+    """The k best with every term; where these are few, the k best with any term stand behind them; ``within`` a query's files, where documents have a ``file_id``."""
+    asked = queries if within is None else with_files(queries, within)
+    found = scan_terms(docs, query_blocks(asked), k, scoped=within is not None)
     if found is None:
         return _or_none(None, docs)
     once = found.groupBy("query_id", "id").agg(F.max("whole").alias("whole"), F.max_by("score", "whole").alias("score"))

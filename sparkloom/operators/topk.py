@@ -112,6 +112,32 @@ def scan_topk(rows: DataFrame, blocks: Iterator[list], scorer: Callable[[list],
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class Scope:
+    """Which files the queries of a block may find; each row has its ``files``."""
+
+    def __init__(self, block: list):
+        self.n, queries = len(block), {}
+        for q, row in enumerate(block):
+            for f in row["files"]:
+                queries.setdefault(f, []).append(q)
+        self.queries = {f: np.array(qs, np.int64) for f, qs in queries.items()}
+
+    def mask(self, files: list) -> np.ndarray:
+        """(queries x rows): whether a query may find a row of that file."""
+        found = np.zeros((self.n, len(files)), bool)
+        for at, f in enumerate(files):
+            mine = self.queries.get(f)
+            if mine is not None:
+                found[mine, at] = True
+        return found
+
+
+def scoped_cosine_scorer(block: list) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """``cosine_scorer`` for batches (id, vector, file), where each query finds rows of its own ``files`` only."""
+    score, scope = cosine_scorer(block), Scope(block)
+    return lambda b: np.where(scope.mask(b.column(2).to_pylist()), score(b), -np.inf)
+
+
 def cosine_scorer(block: list) -> Callable[[pa.RecordBatch], np.ndarray]:
     """For query rows (id, vector) and batches (id, vector): cosine similarity clamped at 0; other lengths count as no direction."""
     q = np.array([r[1] for r in block], np.float64)
@@ -161,24 +187,25 @@ class TermBlock:
         return np.bincount(flat, np.repeat(times, many), size).reshape(shape), np.bincount(flat, minlength=size).reshape(shape)
 
 
-def scan_terms(docs: DataFrame, blocks: Iterator[list], k: int, some: bool = True, every: bool = True) -> DataFrame | None:
+def scan_terms(docs: DataFrame, blocks: Iterator[list], k: int, some: bool = True, every: bool = True, scoped: bool = False) -> DataFrame | None:
     """(query_id, id, score, whole): the k best ``docs(id, terms)`` with any term, and the k best with every term (``whole``).
 
     The JVM keeps the occurrences of a block's terms, as numbers; a text's occurrences stay
     together and in order, for a broadcast join moves no row. Any term: ``COVER`` for each
-    occurrence; every term: the density of their covers.
+    occurrence; every term: the density of their covers. ``scoped``: documents have a
+    ``file_id``, and each query finds those of its own ``files`` only.
     """
 
     def part(block: list) -> DataFrame:
         spark, held = docs.sparkSession, TermBlock(block)
-        known = spark.sparkContext.broadcast(held)
+        known = spark.sparkContext.broadcast((held, Scope(block) if scoped else None))
         codes = F.broadcast(spark.createDataFrame(list(held.codes.items()), "w string, code int"))  # six terms a query, at most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            b = known.value
+            b, scope = known.value
             ranked = [(flag, Running(len(b.names), k)) for flag, wanted in ((False, some), (True, every)) if wanted]
 
-            def texts(ids: np.ndarray, code: np.ndarray, pos: np.ndarray) -> None:
+            def texts(ids: np.ndarray, code: np.ndarray, pos: np.ndarray, *files: np.ndarray) -> None:
                 first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
                 ends = np.append(first[1:], len(ids))
                 step = max(1, CELLS // max(1, len(b.names)))
@@ -186,6 +213,8 @@ def scan_terms(docs: DataFrame, blocks: Iterator[list], k: int, some: bool = Tru
                     lo, hi, n = first[at], ends[min(at + step, len(first)) - 1], len(first[at : at + step])
                     doc = np.repeat(np.arange(n), ends[at : at + n] - first[at : at + n])
                     times, terms = b.scores(doc, code[lo:hi], n)
+                    if scope is not None:
+                        terms = np.where(scope.mask(files[0][first[at : at + n]].tolist()), terms, 0)
                     for flag, running in ranked:
                         score = np.where(terms > 0, COVER * times, -np.inf)
                         if flag:
@@ -199,22 +228,27 @@ def scan_terms(docs: DataFrame, blocks: Iterator[list], k: int, some: bool = Tru
             held_rows: list[tuple[np.ndarray, ...]] = []
             n_held = 0
             for batch in batches:
-                held_rows.append(tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in range(3)))
+                held_rows.append(tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in range(batch.num_columns)))
                 n_held += batch.num_rows
                 if n_held >= OCCURRENCES:
-                    ids, code, pos = (np.concatenate(x) for x in zip(*held_rows))
+                    columns = [np.concatenate(x) for x in zip(*held_rows)]
+                    ids = columns[0]
                     others = np.flatnonzero(ids != ids[-1])
                     cut = int(others[-1]) + 1 if len(others) else 0  # the last text may go on in the next batch
                     if cut:
-                        texts(ids[:cut], code[:cut], pos[:cut])
-                    held_rows, n_held = [(ids[cut:], code[cut:], pos[cut:])], len(ids) - cut
+                        texts(*(c[:cut] for c in columns))
+                    held_rows, n_held = [tuple(c[cut:] for c in columns)], len(ids) - cut
             if n_held:
                 texts(*(np.concatenate(x) for x in zip(*held_rows)))
             for flag, running in ranked:
                 q, score, ids = running.best()
                 yield pa.RecordBatch.from_arrays([pa.array(b.names[q]), pa.array(ids), pa.array(score), pa.array(np.full(len(q), flag))], names=["query_id", "id", "score", "whole"])
 
-        found = docs.select(docs["id"].cast("bigint").alias("id"), F.posexplode("terms").alias("pos", "w")).join(codes, "w").select("id", "code", "pos")
+        own, rows = (["file_id"], docs) if scoped else ([], docs)
+        if scoped:  # texts of other files aren't read word by word; the names are those of one block
+            names = [(f,) for f in known.value[1].queries]
+            rows = docs.join(F.broadcast(spark.createDataFrame(names, docs.select("file_id").schema)), "file_id", "left_semi")
+        found = rows.select(F.col("id").cast("bigint").alias("id"), *own, F.posexplode("terms").alias("pos", "w")).join(codes, "w").select("id", "code", "pos", *own)
         return found.mapInArrow(run, "query_id bigint, id bigint, score double, whole boolean")
 
     found = _united(part(block) for block in blocks)

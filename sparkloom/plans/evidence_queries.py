@@ -46,7 +46,8 @@ def rrf_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {HYBRID}, m AS (SELECT query_id, count(*) AS merged FROM (SELECT query_id, id FROM f UNION SELECT query_id, id FROM n) GROUP BY query_id)
 SELECT query_id, (SELECT count(*) FROM n WHERE n.query_id = m.query_id) AS vector_candidates, (SELECT count(*) FROM f WHERE f.query_id = m.query_id) AS text_candidates, merged AS merged_unique,
-  (SELECT count(*) FROM c WHERE c.query_id = m.query_id) AS after_min_score, least(8, (SELECT count(*) FROM c WHERE c.query_id = m.query_id)) AS final FROM m""")
+  (SELECT count(*) FROM c WHERE c.query_id = m.query_id) AS after_min_score, least(8, (SELECT count(*) FROM c WHERE c.query_id = m.query_id)) AS final, least(96, merged) AS after_access,
+  0::BIGINT AS filename_boosted, least(8, (SELECT count(*) FROM c WHERE c.query_id = m.query_id)) AS after_mmr, least(8, (SELECT count(*) FROM c WHERE c.query_id = m.query_id)) AS after_rerank FROM m""")
 def search_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many candidates each step of hybrid search leaves."""
     return funnel(doc_terms(spark, sf_dir), vectors(spark, sf_dir), hybrid_queries(spark, sf_dir), SearchOptions())
