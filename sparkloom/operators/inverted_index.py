@@ -27,6 +27,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,23 +42,30 @@ BLOCK = "term string, range bigint, n int, most int, ids array<bigint>, tfs arra
 BLOCKS = f"{BLOCK}, segment int, folder int"
 
 
-def _inverted(texts: list[tuple[int, list[str] | None]], number: int) -> pa.RecordBatch:
+def _inverted(texts: pa.Table, number: int) -> pa.RecordBatch:
     """The blocks of one range of (id, terms)."""
-    found: dict[str, list[tuple[int, list[int]]]] = {"": [(i, []) for i, _ in texts]}
-    for i, words in texts:
-        at: dict[str, list[int]] = {}
-        for n, w in enumerate(words or ()):
-            at.setdefault(w, []).append(n)
-        for w, places in at.items():
-            if w:
-                found.setdefault(w, []).append((i, places))
-    flat = [p for postings in found.values() for p in postings]
-    steps = [b - a for _, places in flat for a, b in zip([0, *places], places)]
-    tfs, sizes = [len(places) for _, places in flat], [len(p) for p in found.values()]
-    lists = lambda sizes, values, kind: pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), pa.array(values, kind))
-    most, spans = [max(len(places) for _, places in p) for p in found.values()], [sum(len(places) for _, places in p) for p in found.values()]
-    columns = [pa.array(list(found), pa.string()), pa.array([number] * len(found), pa.int64()), pa.array(sizes, pa.int32()), pa.array(most, pa.int32())]
-    columns += [lists(sizes, [i for i, _ in flat], pa.int64()), lists(sizes, tfs, pa.int32()), lists(spans, steps, pa.int32())]
+    ids, terms = (texts.column(x).combine_chunks() for x in range(2))
+    ids, lengths = ids.to_numpy(zero_copy_only=False).astype(np.int64), terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    words = terms.flatten()
+    real = pc.fill_null(pc.not_equal(words, ""), False)
+    some = real.to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(ids)), lengths)[some]
+    place = (np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[some]
+    coded = words.filter(real).dictionary_encode()
+    code, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    order = np.argsort(code, kind="stable")  # a term's texts and places stay in order
+    code, text, place = code[order], text[order], place[order]
+    begins = np.ones(len(code), bool)
+    begins[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(begins)
+    tfs, steps = np.diff(np.append(first, len(code))), place - np.where(begins, 0, np.append(0, place[:-1]))
+    sizes, spans = np.bincount(code[first], minlength=len(names)), np.bincount(code, minlength=len(names))
+    most = np.maximum.reduceat(tfs, np.cumsum(sizes) - sizes) if len(names) else np.empty(0, np.int64)
+    n = len(ids)
+    whole = lambda own, values: np.append(np.int64(own), values)  # noqa: E731  the empty term comes first
+    lists = lambda sizes, values, kind: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, kind))
+    columns = [pa.concat_arrays([pa.array([""], names.type), names]), pa.array(np.full(1 + len(names), number, np.int64)), pa.array(whole(n, sizes), pa.int32()), pa.array(whole(0, most), pa.int32())]
+    columns += [lists(whole(n, sizes), np.concatenate([ids, ids[text[first]]]), pa.int64()), lists(whole(n, sizes), np.concatenate([np.zeros(n, np.int64), tfs]), pa.int32()), lists(whole(0, spans), steps, pa.int32())]
     return pa.RecordBatch.from_arrays(columns, names=["term", "range", "n", "most", "ids", "tfs", "places"])
 
 
@@ -65,14 +73,16 @@ def _blocks(docs: DataFrame, range_docs: int) -> DataFrame:
     """Posting blocks of ``docs(id, terms)``; a range is of one task, numbered within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number = [], TaskContext.get().partitionId() << 32
+        held, rows, number = [], 0, TaskContext.get().partitionId() << 32
         for b in small_batches(batches):
-            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-            while len(held) >= range_docs:
-                yield _inverted(held[:range_docs], number)
-                held, number = held[range_docs:], number + 1
-        if held:
-            yield _inverted(held, number)
+            held.append(b)
+            rows += b.num_rows
+            while rows >= range_docs:
+                table = pa.Table.from_batches(held)
+                yield _inverted(table.slice(0, range_docs), number)
+                held, rows, number = table.slice(range_docs).to_batches(), rows - range_docs, number + 1
+        if rows:
+            yield _inverted(pa.Table.from_batches(held), number)
 
     return docs.where(docs["id"].isNotNull()).select(docs["id"].cast("bigint").alias("id"), docs["terms"]).mapInArrow(run, BLOCK)
 
