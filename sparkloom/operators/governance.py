@@ -12,6 +12,8 @@ from sparkloom.functions import text as T
 
 # The level from which a folder can be read, bounds and factors, and the order in which an answer is cut.
 READ = 2
+#: Users in a block, all of whom may read the same files, and groups in which such files meet them.
+USERS, PARTS = 1024, 16
 NEIGHBOURS, SEEDS, NEIGHBOUR_SCORE = 8, 20, 0.405
 SECTIONS = ("retrieval", "evidence", "answer", "extraction")
 CUT = '{"state":"partial","data":{"truncated":true}}'
@@ -36,17 +38,34 @@ def readable_files(asked: DataFrame, users: DataFrame, workspaces: DataFrame, me
     workspace_id)``, ``grants(user_id, folder_id, level)``, ``files(file_id, workspace_id,
     folder_id, user_id)``. An administrator reads all files, the owner of a personal workspace
     their own; a member those of folders with a level of ``READ`` at least, and their own
-    outside of folders. Files meet the asked workspaces first.
+    outside of folders.
+
+    The three ways give different pairs, and their inputs are made distinct before they meet,
+    so no pair is shuffled: a workspace is personal or not, and a file is in one workspace and
+    in one folder or none. Users with the same files stand in blocks of ``USERS`` at most, and
+    files meet blocks; pairs are made where their files are.
     """
-    who = asked.join(users, "user_id").join(workspaces, "workspace_id")
+    admins = users.groupBy("user_id").agg(F.coalesce(F.bool_or("is_admin"), F.lit(False)).alias("is_admin"))
     member = members.select("user_id", "workspace_id", F.lit(True).alias("member")).distinct()
-    who = who.join(member, ["user_id", "workspace_id"], "left").na.fill({"member": False, "is_admin": False})
-    owned = files.withColumnRenamed("user_id", "owner")
-    every = who.where("is_admin").join(owned, "workspace_id")
+    who = asked.select("user_id", "workspace_id").distinct().join(admins, "user_id").join(workspaces.select("workspace_id", "personal").distinct(), "workspace_id")
+    who = who.join(member, ["user_id", "workspace_id"], "left").na.fill({"member": False})
+    owned = files.select("file_id", "workspace_id", "folder_id", F.col("user_id").alias("owner")).distinct()
+    every = who.where("is_admin").select("user_id", "workspace_id").distinct()
     own = who.where("NOT is_admin AND (personal OR member)").join(owned, (who["workspace_id"] == owned["workspace_id"]) & (who["user_id"] == owned["owner"])).where("personal OR folder_id IS NULL")
     best = grants.groupBy("user_id", "folder_id").agg(F.max("level").alias("level")).where(F.col("level") >= READ)
-    shared = who.where("NOT is_admin AND NOT personal AND member").join(best, "user_id").join(owned, ["workspace_id", "folder_id"])
-    return reduce(DataFrame.unionByName, [x.select("user_id", "file_id") for x in (every, own, shared)]).distinct()
+    shared = who.where("NOT is_admin AND NOT personal AND member").join(best, "user_id").select("user_id", "workspace_id", "folder_id")
+    pairs = [_readers(every, owned, ["workspace_id"]), own.select("user_id", "file_id"), _readers(shared, owned, ["workspace_id", "folder_id"])]
+    return reduce(DataFrame.unionByName, pairs)
+
+
+def _readers(users: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
+    """(user_id, file_id) of the same ``key``: each file meets blocks of users, and the files of a key are ``PARTS`` groups, as small tables make many pairs."""
+    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.floor((F.row_number().over(Window.partitionBy(*key).orderBy("user_id")) - 1) / USERS)
+    blocks = users.withColumn("block", block).groupBy(*key, "block").agg(F.collect_list("user_id").alias("users"))
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).repartition(spread, *key, "part")
+    dealt = files.withColumn("part", F.pmod(F.xxhash64("file_id"), F.lit(PARTS)).cast("int")).repartition(spread, *key, "part")
+    return dealt.join(blocks, [*key, "part"]).select(F.explode("users").alias("user_id"), "file_id")
 
 
 def typed_edges(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -19,6 +19,23 @@ def test_readable_files(spark):
     assert got == {(1, f) for f in range(100, 106)} | {(2, 100), (2, 101), (3, 103), (3, 104)}
 
 
+def test_readable_files_makes_each_pair_once_without_a_shuffle_of_pairs(spark, monkeypatch):
+    """Blocks of two users, repeated rows of each table; what comes behind the last shuffle are files, not pairs."""
+    monkeypatch.setattr(V, "USERS", 2, raising=False)
+    of = spark.createDataFrame
+    asked = of([(u, 10) for u in range(8)] * 2, "user_id long, workspace_id long")
+    users = of([(u, u == 0) for u in range(8)] * 2, "user_id long, is_admin boolean")
+    places = of([(10, False)] * 2, "workspace_id long, personal boolean")
+    members = of([(u, 10) for u in range(8)] * 2, "user_id long, workspace_id long")
+    grants = of([(u, 7, 2) for u in range(7)], "user_id long, folder_id long, level int")
+    files = of([(f, 10, 7, 1) for f in range(100, 150)] * 2 + [(200, 10, None, 3)], "file_id long, workspace_id long, folder_id long, user_id long")
+    found = V.readable_files(asked, users, places, members, grants, files)
+    got = sorted((r.user_id, r.file_id) for r in found.collect())
+    assert got == sorted([(u, f) for u in range(7) for f in range(100, 150)] + [(0, 200), (3, 200)])
+    top = found._jdf.queryExecution().optimizedPlan().nodeName()
+    assert top == "Union", top
+
+
 def test_answers_are_cut_in_their_order(spark):
     stub = len(V.CUT)
     rows = [(1, "r" * 100, "e" * 100, None, ""), (2, "r" * 300, "e" * 300, "a" * 10, ""), (3, "r" * 300, "", "a" * 300, "x" * 300)]
