@@ -65,13 +65,12 @@ def html_title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir, "pages").select("page_id", S.markdown_of("html").alias("markdown"))
+    return S.markdown_pages(texts(spark, sf_dir, "pages"))
 
 
 @query()
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = texts(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), S.markdown_of("html").alias("text"))
-    return S.block_table(pages)
+    return S.block_table(texts(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), S.html_to_markdown)
 
 
 @query()
@@ -87,9 +86,14 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown, every other one with marks of its slides, cut by location, block and size."""
-    pages = texts(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), S.markdown_of("html").alias("text"))
-    marked = F.concat(F.lit("<!-- loc type=slide slide=1 -->\n"), F.regexp_replace("text", "\n\n", "\n\n<!-- loc type=slide slide=2 -->\n\n"))
-    return S.markdown_chunks(pages.withColumn("text", F.when(F.col("doc_id") % 2 == 0, marked).otherwise(F.col("text"))))
+
+    def read(page_id: int, html: str | None) -> str:
+        text = S.html_to_markdown(html)
+        if page_id is None or page_id % 2:
+            return text
+        return "<!-- loc type=slide slide=1 -->\n" + text.replace("\n\n", "\n\n<!-- loc type=slide slide=2 -->\n\n")
+
+    return S.markdown_chunks(texts(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), read=read)
 
 
 @query()

@@ -46,3 +46,24 @@ def test_structure_comes_before_size(spark):
     df = spark.createDataFrame([(1, body), (2, None), (3, "")], "doc_id long, text string")
     rows = S.markdown_chunks(df, 80, 10).collect()
     assert [(r.char_start, r.char_end, r.kind, r.path, r.loc_type, r["loc"], r.loc_label, r.text) for r in sorted(rows, key=lambda r: r.chunk_index)] == got
+
+
+def test_texts_become_objects_a_few_bytes_at_a_time():
+    """Long texts stand in slices of few bytes, each row once and in order; a row alone may be larger."""
+    import pyarrow as pa
+
+    from sparkloom.storage import TEXT_BATCH_BYTES, small_batches
+
+    texts = [("x" * (1 << 20))] * 20 + ["y" * (TEXT_BATCH_BYTES + 1), "z"]
+    cut = list(small_batches([pa.RecordBatch.from_arrays([pa.array(range(22)), pa.array(texts)], names=["id", "text"])]))
+    assert [i for b in cut for i in b.column(0).to_pylist()] == list(range(22))
+    assert all(b.num_rows == 1 or b.nbytes <= TEXT_BATCH_BYTES for b in cut) and len(cut) >= 7
+
+
+def test_pages_become_chunks_in_one_python_step(spark):
+    """Mark-up and chunks are one function over slices of Arrow data: no second worker, no whole batch as pandas objects."""
+    from sparkloom.plans.registry import QUERIES
+
+    for name in ("markdown_chunks", "html_to_markdown", "markdown_blocks", "paragraph_chunks"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "MapInPandas" not in plan, plan
