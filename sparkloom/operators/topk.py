@@ -20,7 +20,7 @@ from sparkloom.storage import small_batches
 #: Queries in a broadcast.
 BLOCK = 2048
 #: Candidates held before a running top-k is cut back, and numbers in a matrix of scores.
-HELD, CELLS = 1 << 20, 1 << 22
+HELD, CELLS = 1 << 18, 1 << 18
 #: Rows of vectors scored at once, and occurrences of terms.
 VECTORS, OCCURRENCES = 1024, 1 << 16
 #: A fixed value: what a cover without other words in it adds to a text's rank.
@@ -67,6 +67,11 @@ class Running:
         return q, score, ids
 
 
+def rows_at_once(queries: int, most: int = VECTORS) -> int:
+    """Rows whose scores for so many queries are one matrix of ``CELLS`` numbers at most."""
+    return max(1, min(most, CELLS // max(1, queries)))
+
+
 def query_blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[list]:
     """The rows of ``queries`` in order of their first column, ``size`` at a time."""
     block: list = []
@@ -97,7 +102,7 @@ def scan_topk(rows: DataFrame, blocks: Iterator[list], scorer: Callable[[list],
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             score, running = scorer(held.value), Running(len(held.value), k)
-            for b in small_batches(batches, VECTORS):
+            for b in small_batches(batches, rows_at_once(len(held.value))):
                 running.add(np.round(score(b), 6), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
             q, best, ids = running.best()
             names = np.array([r[0] for r in held.value], np.int64)
@@ -208,7 +213,7 @@ def scan_terms(docs: DataFrame, blocks: Iterator[list], k: int, some: bool = Tru
             def texts(ids: np.ndarray, code: np.ndarray, pos: np.ndarray, *files: np.ndarray) -> None:
                 first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
                 ends = np.append(first[1:], len(ids))
-                step = max(1, CELLS // max(1, len(b.names)))
+                step = rows_at_once(len(b.names), CELLS)
                 for at in range(0, len(first), step):
                     lo, hi, n = first[at], ends[min(at + step, len(first)) - 1], len(first[at : at + step])
                     doc = np.repeat(np.arange(n), ends[at : at + n] - first[at : at + n])

@@ -149,3 +149,21 @@ def test_relational_cases(spark):
     names = spark.createDataFrame([(1, "100%"), (10, "100x"), (100, "z")], "i long, name string")
     ids = lambda q: sorted(r.i for r in search_box(names, q, "i", "name").collect())
     assert ids("100%") == [1] and ids("100") == [1, 10, 100] and ids("id: 10") == [10] and ids("") == [1, 10, 100]
+
+
+def test_scores_of_a_full_block_are_small_matrices():
+    """A full block of queries: matrices of 2 MB, and no more candidates held than a few of them make."""
+    import numpy as np
+
+    from sparkloom.operators.topk import BLOCK, Running, rows_at_once
+
+    rng, running, n = np.random.default_rng(3), Running(BLOCK, 10), rows_at_once(BLOCK)
+    assert BLOCK * n * 8 <= 2 << 20 and rows_at_once(10**9) == 1 and rows_at_once(0) >= 1
+    whole, most = np.round(rng.random((BLOCK, 8 * n)), 6), 0
+    for at in range(0, 8 * n, n):
+        running.add(whole[:, at : at + n], np.arange(at, at + n))
+        most = max(most, sum(len(p[0]) for p in running.parts))
+    assert most <= 4 * BLOCK * n
+    q, score, ids = running.best()
+    order = np.argsort(-whole, axis=1, kind="stable")[:, :10]
+    assert (ids.reshape(BLOCK, 10) == order).all() and (score.reshape(BLOCK, 10) == np.take_along_axis(whole, order, 1)).all()
