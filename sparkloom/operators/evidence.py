@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as T
+from sparkloom.functions.columns import let
 from sparkloom.storage import small_frames
 
 # Sizes and weights of sampled windows, the radius around a citation, bounds of a trace.
@@ -109,22 +110,23 @@ def sampled_windows(docs: DataFrame, terms: list[str], k: int, seed_at: Column |
     document's id, so that a sample can be repeated.
     """
     terms = [t.lower() for t in terms if len(t) >= 2]
-    lower, n = F.lower("text"), F.length("text")
+    lower, n = F.lower("text"), F.col("n")
     draw = lambda what, below: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), what)), 1, 8), 16, 10).cast("bigint"), below)
 
-    def places(term: str) -> Column:
-        parts = F.split(lower, "\\Q" + term + "\\E", WINDOWS + 1)
-        before = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * len(term)
-        found = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.greatest(F.lit(0).cast("bigint"), before(i) - draw(F.concat(F.lit(f"{term}:"), i.cast("string")), F.lit(LEAD + 1))))
-        return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<bigint>"))
+    def places(term: str, body: Column) -> Column:
+        lengths = F.transform(F.split(body, "\\Q" + term + "\\E", WINDOWS + 1), lambda x: F.length(x))
+        before = lambda sizes, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x) + (i - 1) * len(term)
+        found = lambda sizes: F.transform(F.sequence(F.lit(1), F.size(sizes) - 1), lambda i: F.greatest(F.lit(0).cast("bigint"), before(sizes, i) - draw(F.concat(F.lit(f"{term}:"), i.cast("string")), F.lit(LEAD + 1))))
+        return let(lengths, lambda sizes: F.when(F.size(sizes) > 1, found(sizes)).otherwise(F.array().cast("array<bigint>")))  # each text is cut once a term, not once a place
 
-    hits = F.flatten(F.array(*(places(t) for t in terms[:5]))) if terms else F.array().cast("array<bigint>")
+    hits = let(lower, lambda body: F.flatten(F.array(*(places(t, body) for t in terms[:5])))) if terms else F.array().cast("array<bigint>")
     wide = F.transform(F.sequence(F.lit(1), F.lit(WINDOWS)), lambda i: draw(F.concat(F.lit("any:"), i.cast("string")), n - SHORTEST + 1))
     near = F.transform(F.sequence(F.lit(1), F.lit(WINDOWS)), lambda i: F.least(n.cast("bigint") - 1, F.greatest(F.lit(0).cast("bigint"), F.col("seed") + draw(F.concat(F.lit("near:"), i.cast("string")), F.lit(SHORTEST + 1)) - SHORTEST // 2)))
     drawn = F.concat(F.slice(wide, 1, WINDOWS // 3), near)
     starts = F.slice(F.array_distinct(F.concat(F.slice(hits, 1, WINDOWS), drawn)), 1, WINDOWS)
-    seeded = docs.where(n >= SHORTEST).select("doc_id", "text", F.coalesce(seed_at.cast("bigint") if seed_at is not None else F.lit(0).cast("bigint"), F.lit(0).cast("bigint")).alias("seed"))
-    each = seeded.select("doc_id", "text", "seed", F.explode(starts).alias("start"))
+    seeded = docs.withColumn("n", F.length("text")).where(n >= SHORTEST)
+    seeded = seeded.select("doc_id", "text", "n", F.coalesce(seed_at.cast("bigint") if seed_at is not None else F.lit(0).cast("bigint"), F.lit(0).cast("bigint")).alias("seed"))
+    each = seeded.select("doc_id", "text", "n", "seed", F.explode_outer(starts).alias("start"))  # never empty; explode would make the starts twice, to see whether there are any
     size = draw(F.concat(F.lit("size:"), F.col("start").cast("string")), F.lit(LONGEST - SHORTEST + 1)) + SHORTEST
     each = each.withColumn("end", F.least(n.cast("bigint"), F.col("start") + size)).where(F.col("end") - F.col("start") >= 80)
     own = F.lower(F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")))

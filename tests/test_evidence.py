@@ -110,3 +110,12 @@ def test_windows_hold_terms_first(spark):
 def test_trace_keeps_one_id_at_least(spark):
     ids = spark.createDataFrame([(list(range(1000, 1300)),), ([],)], "ids array<long>").select(E.bounded_ids(F.col("ids"), 100, 61).alias("a"), E.bounded_ids(F.col("ids"), 100, 1).alias("b")).collect()
     assert ids[0].a == list(range(1000, 1012)) and ids[0].b == [1000] and ids[1].a == []
+
+
+def test_sampled_windows_cut_a_text_once_a_term(spark):
+    """The plan splits and lowers a text once for each use, not inside the loop over places."""
+    docs = spark.createDataFrame([(1, "The and the " * 50 + "x" * 400)], "doc_id long, text string")
+    found = E.sampled_windows(docs, ["the", "und"], 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2, plan.count("split(")
+    assert found.count() == 3
