@@ -37,7 +37,7 @@ is rejected. Extra columns are ignored by ``identify`` and kept by ``keep_identi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,8 @@ LEAST_DOCS, LEAST_TRIGRAMS, MOST_LANGUAGES = 5, 200, 1024
 #: Trigrams from which on a language is smoothed in full, by half a trigram a slot.
 SMOOTH_TRIGRAMS = 50_000
 SLOTS = 1 << 14
+#: Trigrams of a text that are numbers at once, and trigrams that are counted at once.
+PIECE, HELD = 1 << 14, 1 << 19
 FULL, TEMPER = 300, 0.2
 KAPPA = 20.0
 #: Prior probability that a text is in no language.
@@ -61,13 +63,33 @@ NOISE = 0.01
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def trigrams(text: str | None) -> np.ndarray:
-    """Slots of the trigrams of a text: letters in lower case, runs of all else as one space."""
+def trigram_pieces(text: str | None) -> Iterator[np.ndarray]:
+    """Slots of the trigrams of a text, at most ``PIECE`` at once: letters in lower case, runs of all else as one space."""
     data = b" ".join((text or "").lower().encode().translate(LETTERS).split())
-    if not data:
-        return np.empty(0, np.int64)
-    b = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.int64)
-    return (b[:-2] * 0x9E3B + b[1:-1] * 0x85EB + b[2:] * 0xC2B3 + (b[:-2] * b[1:-1] * b[2:] >> 3)) & (SLOTS - 1)
+    whole = np.frombuffer(b" " + data + b" " if data else b"", np.uint8)
+    for at in range(0, len(whole) - 2, PIECE):
+        b = whole[at : at + PIECE + 2].astype(np.int64)
+        yield (b[:-2] * 0x9E3B + b[1:-1] * 0x85EB + b[2:] * 0xC2B3 + (b[:-2] * b[1:-1] * b[2:] >> 3)) & (SLOTS - 1)
+
+
+def trigrams(text: str | None) -> np.ndarray:
+    """All slots of ``trigram_pieces``."""
+    return np.concatenate([np.empty(0, np.int64), *trigram_pieces(text)])
+
+
+def counted(texts: Iterable[tuple[int, str | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cell, n) of texts (language, text), from at most about twice ``HELD`` trigrams at once."""
+    held: list[np.ndarray] = []
+    size = 0
+    for k, text in texts:
+        for slots in trigram_pieces(text):
+            held.append(k * SLOTS + slots)
+            size += len(slots)
+            if size >= HELD:
+                yield np.unique(np.concatenate(held), return_counts=True)
+                held, size = [], 0
+    if held:
+        yield np.unique(np.concatenate(held), return_counts=True)
 
 
 def text_model(df: DataFrame, text: str, label: str) -> tuple[list[str], np.ndarray]:
@@ -86,11 +108,11 @@ def text_model(df: DataFrame, text: str, label: str) -> tuple[list[str], np.ndar
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             if b.num_rows:
-                found = [k * SLOTS + trigrams(t) for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                cell, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+                for cell, n in counted(zip(b.column(1).to_pylist(), b.column(0).to_pylist())):
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
 
     cells = sample.select(text, "k").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = staged(cells, "trigrams", TEXT_BATCH_ROWS)  # else thousands of texts would be one batch, in the JVM and in the worker
     table = np.zeros((len(languages), SLOTS), np.float32)
     for r in cells.toLocalIterator():  # SLOTS rows a language at most
         table.reshape(-1)[r.cell] += r.n
@@ -145,12 +167,12 @@ def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys:
         for b in small_batches(batches):
             out, n = [], []
             for t in b.column(at).to_pylist():
-                slots = trigrams(t)
-                n.append(len(slots))
-                sums = np.zeros(logs.shape[1])
-                for start in range(0, len(slots), 1 << 14):
-                    sums += logs[slots[start : start + (1 << 14)]].sum(axis=0, dtype=np.float64)
-                sums = np.append(sums, -len(slots) * np.log(SLOTS)) * TEMPER * min(1.0, FULL / max(1, len(slots)))
+                sums, length = np.zeros(logs.shape[1]), 0
+                for slots in trigram_pieces(t):
+                    length += len(slots)
+                    sums += logs[slots].sum(axis=0, dtype=np.float64)
+                n.append(length)
+                sums = np.append(sums, -length * np.log(SLOTS)) * TEMPER * min(1.0, FULL / max(1, length))
                 out.append((sums - sums[:-1].max()).tolist())
             kept = [c for k, c in enumerate(b.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=[*(x for x in b.schema.names if x != "text"), "n", "logs"])

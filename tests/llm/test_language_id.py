@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from sparkloom.llm import language_id
 from sparkloom.llm.language_id import corpus_languages, document_languages, keep_identified, page_languages
 
@@ -162,3 +164,20 @@ def test_thousands_of_codes_make_no_larger_model(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     languages, table = language_id.text_model(df, "text", "lang")
     assert languages == ["de", "en", "fr"] and table.shape == (3, language_id.SLOTS)
+
+
+def test_trigrams_are_counted_a_few_at_a_time():
+    """Long texts are read in pieces, with the same trigrams as in one go, and none is lost between counts."""
+    from sparkloom.llm import language_id as L
+
+    text = "Der schnelle Fuchs, the lazy dog; " * 40_000
+    assert all(len(p) <= L.PIECE for p in L.trigram_pieces(text))
+    b = np.frombuffer(b" " + b" ".join(text.lower().encode().translate(L.LETTERS).split()) + b" ", np.uint8).astype(np.int64)
+    whole = (b[:-2] * 0x9E3B + b[1:-1] * 0x85EB + b[2:] * 0xC2B3 + (b[:-2] * b[1:-1] * b[2:] >> 3)) & (L.SLOTS - 1)
+    assert (L.trigrams(text) == whole).all() and len(L.trigrams(None)) == len(L.trigrams("12 34")) == 0
+    parts = list(L.counted([(0, text), (2, "ab"), (2, None)]))
+    assert len(parts) > 1 and all(n.sum() <= L.HELD + L.PIECE for _, n in parts)
+    total = np.zeros(3 * L.SLOTS, np.int64)
+    for cell, n in parts:
+        total[cell] += n
+    assert (total[: L.SLOTS] == np.bincount(whole, minlength=L.SLOTS)).all() and total[L.SLOTS : 2 * L.SLOTS].sum() == 0 and total[2 * L.SLOTS :].sum() == len(L.trigrams("ab"))
