@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from sparkloom.operators.claim_search import claim_search
+from sparkloom.operators.claim_search import claim_search, followed, identities, neighbourhood
 
 
 def brute(claims, mentions, questions, fan_out, nodes, most_claims, paths):
@@ -103,3 +103,14 @@ def test_a_bridge_joins_mentions_of_one_entity(spark):
     assert [tuple(r) for r in claim_search(claims, frame(mentions), asked).collect()] == [(1, "BOB", "ann", 2, [11, 10], True, 1, [])]
     apart = [(m, None, s) for m, _, s in mentions]
     assert claim_search(claims, frame(apart), asked).count() == 0 and claim_search(claims.limit(0), frame(mentions), asked).count() == 0
+
+
+def test_lists_are_made_for_anchors_and_their_neighbours_only(spark):
+    mentions = spark.createDataFrame([(m, m // 2 if m < 4 else None, f"n{m}") for m in range(40)], "mention long, entity long, surface string")
+    chain = [(100 + m, m, m + 1) for m in range(39)]
+    claims = spark.createDataFrame([*chain, *chain, (99, 5, 5)], "claim_id long, subject long, object long")
+    known = identities(mentions)
+    near = neighbourhood(claims, known, spark.createDataFrame([("m5",)], "node string"))
+    assert {r.node for r in near.collect()} == {"m4", "m5", "m6"}
+    lists = {(r.a, r.claim_id, r.b) for r in followed(claims, known, near, 2).collect()}
+    assert lists == {("m4", 103, "e1"), ("m4", 104, "m5"), ("m5", 99, "m5"), ("m5", 104, "m4"), ("m6", 105, "m5"), ("m6", 106, "m7")}
