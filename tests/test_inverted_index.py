@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators.inverted_index import TextIndex
+from sparkloom.operators.inverted_index import TextIndex, _packed_texts, _texts, packed, unpacked
 from sparkloom.operators.retrieval import text_candidates
 
 DOCS = "id bigint, terms array<string>"
@@ -88,3 +89,22 @@ def test_empty(spark, tmp_path):
     assert index.search(asked, 5).count() == 0 and index.search(asked.limit(0), 5).count() == 0
     index = index.refresh(spark.createDataFrame([(1, ["w1"])], DOCS))
     assert [r.id for r in index.search(spark.createDataFrame([(1, ["w1"])], "query_id bigint, terms array<string>"), 5).collect()] == [1]
+
+
+def test_numbers_take_few_bytes_and_come_back():
+    ids, tfs, sizes = np.array([5, 3, -7, 2**63 - 1, -(2**63), 0, 1, 2]), np.arange(8), np.array([2, 0, 3, 3])
+    cells = _packed_texts(ids, tfs, sizes)
+    got = _texts(cells, sizes)
+    assert (got[0] == ids).all() and (got[1] == tfs).all() and len(cells[3].as_py()) == 6
+    values, sizes = np.array([0, 127, 128, 2**62, 2**63 - 1, 300]), np.array([0, 3, 3, 0])
+    assert (unpacked(packed(values, sizes)) == values).all() and unpacked(packed(values[:0], sizes[:1])).size == 0
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_a_block_is_dealt_once_for_all_queries(spark, corpus, tmp_path, monkeypatch, every):
+    index = TextIndex.build(spark.createDataFrame(corpus, DOCS), str(tmp_path / "index"), range_docs=64)
+    dealt, own = [], TextIndex._best
+    monkeypatch.setattr(TextIndex, "_best", lambda self, rows, *more: dealt.append(rows) or own(self, rows, *more))
+    asked = spark.createDataFrame([(q, ["w1", "w2"]) for q in range(30)], "query_id bigint, terms array<string>")
+    assert index.search(asked, 4, every).count() == 120
+    assert dealt[0].count() == dealt[0].select("segment", "range", "term").distinct().count() > 0
