@@ -231,7 +231,8 @@ class TextIndex:
         """(query_id, segment, range, term, n): the blocks that a block of queries (id, terms) has to read."""
         asked = self.spark.createDataFrame(sorted({(int(r[0]), t) for r in block for t in r[1]}), "query_id bigint, term string")
         need = self.spark.createDataFrame([(int(r[0]), len(set(r[1]))) for r in block], "query_id bigint, need int")
-        heads = self.postings(sorted({t for r in block for t in r[1]})).select("segment", "range", "term", "n", "most").join(F.broadcast(asked), "term")
+        heads = self.postings(sorted({t for r in block for t in r[1]})).select("segment", "range", "term", "n", "most")
+        heads = staged(heads, "block-maxima").join(F.broadcast(asked), "term")  # it is read twice
         by = ["query_id", "segment", "range"]
         sums = heads.groupBy(*by).agg(F.sum("most").alias("bound"), F.max("most").alias("reached"), F.count("*").alias("terms"))
         if every:
@@ -323,6 +324,7 @@ def _folder(term: Column, folders: int) -> Column:
 def _write(spark: SparkSession, path: str, segment: int, blocks: DataFrame, range_docs: int, folders: int) -> None:
     """One segment of ``blocks``; its entry comes last."""
     placed = blocks.withColumn("folder", _folder(F.col("term"), folders)).repartition(F.col("folder"), F.pmod("range", F.lit(8)))
-    placed.sortWithinPartitions("folder", "term", "range").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings/segment={segment}")
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("texts", "places")}  # hardly two cells are equal
+    placed.sortWithinPartitions("folder", "term", "range").write.mode("overwrite").options(**plain).partitionBy("folder").parquet(f"{path}/postings/segment={segment}")
     entry = spark.createDataFrame([(segment, range_docs, folders)], "segment int, range_docs int, folders int")
     entry.coalesce(1).write.mode("append").parquet(f"{path}/segments")
