@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.operators.topk import Running, query_blocks
+from sparkloom.operators.topk import Running, query_blocks, rows_at_once
 from sparkloom.storage import small_batches, staged
 
 #: Rows that centroids and code book are trained on, at most, and rounds of the training.
@@ -121,11 +121,10 @@ class Codes:
             out[:, s] = (2 * p @ book.T - (book**2).sum(1)).argmax(1)
         return out
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of each query with each word: queries x subspaces x words."""
-        padded = np.zeros((len(q), len(self.books) * SUBSPACE))
-        padded[:, : q.shape[1]] = q
-        return np.einsum("qsn,swn->qsw", padded.reshape(len(q), -1, SUBSPACE), self.books)
+    def decode(self, codes: np.ndarray, n: int) -> np.ndarray:
+        """What the codes of rows of list ``n`` stand for: one product with them is the sum of those of all subspaces."""
+        words = self.books[np.arange(len(self.books)), codes].reshape(len(codes), -1)
+        return (self.centroids[n] + words[:, : self.centroids.shape[1]]).astype(np.float32)
 
 
 class VectorIndex:
@@ -191,20 +190,19 @@ class VectorIndex:
 
         def estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qs, ids_of, centroids, books, asked = held.value
-            tables, running = Codes(centroids, books).tables(qs), Running(len(qs), refined * k)
+            trained, slim, running, step = Codes(centroids, books), qs.astype(np.float32), Running(len(qs), refined * k), rows_at_once(len(qs))
             for b in small_batches(batches, ROWS):
                 ids, lists = (b.column(x).to_numpy(zero_copy_only=False) for x in (0, 1))
                 codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
                 for n in np.unique(lists):
                     mine, who = np.flatnonzero(lists == n), asked[n]
-                    score = np.repeat((qs[who] @ centroids[n])[:, None], len(mine), axis=1)
-                    for s in range(codes.shape[1]):
-                        score += tables[who, s][:, codes[mine, s]]
-                    running.add_some(who, score, ids[mine])
+                    for part in np.array_split(mine, -(-len(mine) // step)):
+                        running.add_some(who, slim[who] @ trained.decode(codes[part], n).T, ids[part])
             at, score, ids = running.best()
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of[at]), pa.array(ids), pa.array(score)], names=["query_id", "id", "guess"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids_of[at]), pa.array(ids), pa.array(score.astype(np.float64))], names=["query_id", "id", "guess"])
 
-        codes = self.rows().where(F.col("list").isin(opened)).select("id", "list", "code")
+        # a task passes on its best of each query, so the many small files of lists are a few tasks for each core
+        codes = self.rows().where(F.col("list").isin(opened)).select("id", "list", "code").coalesce(2 * self.spark.sparkContext.defaultParallelism)
         guessed = codes.mapInArrow(estimates, "query_id bigint, id bigint, guess double")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("guess"), "id"))
         first = staged(guessed.withColumn("n", place).where(F.col("n") <= refined * k).select("query_id", "id").distinct(), "nearest-guesses")

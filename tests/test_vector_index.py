@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators.retrieval import vector_candidates
-from sparkloom.operators.vector_index import VectorIndex
+from sparkloom.operators.vector_index import Codes, VectorIndex, unit
 
 ROWS = "id bigint, embedding array<float>"
 
@@ -73,3 +73,15 @@ def test_empty(spark, tmp_path):
     index = VectorIndex.build(none, str(tmp_path / "index"), 8)
     assert index.search(none.withColumnRenamed("id", "query_id"), 3).count() == 0
     assert index.search(spark.createDataFrame([(1, [1.0] * 8)], "query_id bigint, embedding array<float>"), 3).count() == 0
+
+
+def test_decoded_rows_have_the_products_of_their_words():
+    rng = np.random.default_rng(5)
+    x = unit(rng.normal(size=(400, 10)))
+    codes = Codes.train(x, 6, 1)
+    lists = codes.nearest(x, 1)[:, 0]
+    rows = np.flatnonzero(lists == lists[0])
+    coded, q = codes.encode(x[rows], lists[rows]), unit(rng.normal(size=(3, 10)))
+    padded = np.pad(q, ((0, 0), (0, 2))).reshape(3, 3, 4)
+    want = np.array([[a @ codes.centroids[lists[0]] + sum(p[s] @ codes.books[s, c[s]] for s in range(3)) for c in coded] for a, p in zip(q, padded)])
+    assert np.allclose(q @ codes.decode(coded, lists[0]).T, want, atol=1e-6)
